@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
+from faultline.functions.arrays import group_starts
 from faultline.operators.steps import catastrophic_edit, produced_patch
 from faultline.taxonomy import FINGERPRINTS, LABELS
 
@@ -276,11 +277,7 @@ def _repeats(commands: Column) -> Column:
 
     Sorting brings equal commands together; the distance between group starts is the count."""
     ordered = F.array_sort(commands)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(ordered)),
-        lambda i: (i == 0) | (i == F.size(ordered))
-        | (F.get(ordered, i)["command"] != F.get(ordered, i - 1)["command"]),
-    )
+    starts = group_starts(ordered, lambda c: c["command"])
     groups = F.transform(
         starts,
         lambda start, j: F.struct(
