@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
+_TOKEN = r'"(?:[^"\\]|\\.)*+"|[,:]|\s++|[^",:\s]++'
 
 
 def parse_strict(text: Column) -> Column:
@@ -15,9 +16,10 @@ def parse_strict(text: Column) -> Column:
     closing member makes leftovers visible: the object must come out whole, with just these two members.
     """
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":0}')))
-    members = F.size(F.try_variant_get(wrapped, "$", "map<string,variant>"))
-    complete = F.variant_get(wrapped, "$.end", "variant").isNotNull() & (members == 2)
-    return F.when(complete, F.variant_get(wrapped, "$.v", "variant"))
+    members = F.try_variant_get(wrapped, "$", "map<string,variant>")
+    # The one-element array binds the members to a name, so the text is parsed once.
+    complete = F.filter(F.array(members), lambda m: (F.size(m) == 2) & m["end"].isNotNull())
+    return F.get(complete, 0)["v"]
 
 
 def child(value: Column, path: str) -> Column:
@@ -94,3 +96,15 @@ def truthy(value: Column) -> Column:
 def first_truthy_text(*values: Column) -> Column:
     """Text of the first value that counts as true, else null."""
     return F.coalesce(*[F.when(truthy(v), text_of(v)) for v in values])
+
+
+def spaced_json(text: Column) -> Column:
+    """JSON text with one blank after every comma and colon and no other white space between tokens."""
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0))
+    return F.array_join(
+        F.transform(
+            tokens,
+            lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.rlike(r"^\s"), F.lit("")).otherwise(t),
+        ),
+        "",
+    )

@@ -42,28 +42,13 @@ TOOLS = {
 FAILURE_MARKS = ["error", "traceback", "not found", "failed"]
 ARGUMENT_CHARS, TEXT_CHARS, OBSERVATION_CHARS = 300, 2000, 4000
 
-_TOKEN = r'"(?:[^"\\]|\\.)*+"|[,:]|\s++|[^",:\s]++'
-
-
-def spaced_json(text: Column) -> Column:
-    """JSON text with one blank after every comma and colon and no other white space between tokens."""
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.rlike(r"^\s"), F.lit("")).otherwise(t),
-        ),
-        "",
-    )
-
-
 def rendered_arguments(call: Column) -> Column:
     """The arguments as JSON, cut to 300 characters; text that is no JSON goes under ``raw``."""
     raw = j.child(call, "$.function.arguments")
     text = F.when(raw.isNull(), F.lit("{}")).otherwise(j.text_of(raw))
     valid = F.when(j.is_string(raw), j.parse_strict(text).isNotNull()).otherwise(True)
     wrapped = F.to_json(F.struct(text.alias("raw")))
-    return F.substring(spaced_json(F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(wrapped)), 1, ARGUMENT_CHARS)
+    return F.substring(j.spaced_json(F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(wrapped)), 1, ARGUMENT_CHARS)
 
 
 def inferred_exit(answer: Column) -> Column:

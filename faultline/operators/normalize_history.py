@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
 from faultline.functions.text import lookup, not_blank, strip
-from faultline.operators.normalize_common import metadata, numbered, observation, shown_at, step, task, to_runs
+from faultline.operators.normalize_common import numbered, observation, step, task, to_runs
 from faultline.schema import STEP
 
 AGENT = "openhands"
@@ -69,7 +69,7 @@ def event_text(event: Column, replaced: dict[str, Column] | None = None) -> Colu
         candidates.append(_nonblank(j.string_at(event, f"$.{key}")))
         candidates += [_nonblank(j.string_at(event, f"$.{key}.{sub}")) for sub in CONTENT_SUBKEYS]
     args = j.child(event, "$.args")
-    rendered = F.when(j.truthy(args), F.substring(F.to_json(args), 1, ARGS_CHARS))
+    rendered = F.when(j.truthy(args), F.substring(j.spaced_json(F.to_json(args)), 1, ARGS_CHARS))
     return F.coalesce(*candidates, rendered, F.lit(""))
 
 
@@ -199,8 +199,8 @@ def pair_events(records: DataFrame, events: str = "events", result: str = "steps
     ordered = F.transform(
         F.array_sort(emitted, lambda a, b: (a["pos"] - b["pos"]).cast("int")), lambda x: x["step"]
     )
-    ends_waiting = F.when(F.size("_pieces") > 0, last_waits(F.element_at("_pieces", -1))).otherwise(False)
-    trailing = F.when(ends_waiting, F.array(unanswered(F.element_at("_linked", -1)))).otherwise(
+    ends_waiting = F.when(F.size("_pieces") > 0, last_waits(F.try_element_at("_pieces", F.lit(-1)))).otherwise(False)
+    trailing = F.when(ends_waiting, F.array(unanswered(F.try_element_at("_linked", F.lit(-1))))).otherwise(
         F.array().cast(f"array<{STEP}>")
     )
     return known.withColumn(result, numbered(F.concat(ordered, trailing))).drop("_linked", "_pieces", "_waiting")

@@ -66,7 +66,7 @@ def summary_steps(record: Column) -> Column:
         j.truthy(error), F.array(step(F.lit("command"), F.lit("(aider internal)"), observation(shown(error), F.lit(1))))
     ).otherwise(_NO_STEPS)
     commits = j.array_at(record, "$.commits")
-    message = shown_at(F.element_at(commits, -1), "$.message", "")
+    message = shown_at(F.try_element_at(commits, F.lit(-1)), "$.message", "")
     commit = F.when(
         F.size(commits) > 0,
         F.array(step(F.lit("finish"), F.concat(F.lit("git commit: "), message), observation(F.lit("committed"), F.lit(0)))),
@@ -99,7 +99,7 @@ def normalize_sessions(records: DataFrame) -> DataFrame:
         ),
         steps=F.when(F.col("_blocks").isNotNull(), transcript_steps(F.col("_blocks"))).otherwise(summary_steps(r)),
         final_patch=F.coalesce(
-            j.first_truthy_text(j.child(r, "$.patch")), j.text_of(F.element_at(commits, -1), "$.diff")
+            j.first_truthy_text(j.child(r, "$.patch")), j.text_of(F.try_element_at(commits, F.lit(-1)), "$.diff")
         ),
         resolved=solved,
         metadata=metadata({

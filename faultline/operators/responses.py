@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import contains_any, strip
 from faultline.schema import CATEGORY_SCORE, EVIDENCE
 from faultline.taxonomy import is_code
@@ -86,7 +87,7 @@ def read_responses(responses: DataFrame) -> DataFrame:
     cited = F.filter(
         F.transform(j.array_at(raw, "$.evidence_step_indices"), j.integer_of), lambda i: i.isNotNull()
     )
-    return responses.withColumn("raw", repaired_json(F.col("text"))).select(
+    return computed_once(responses, raw=repaired_json(F.col("text"))).select(
         "run_id",
         raw.isNotNull().alias("parsed"),
         F.when(is_code(primary), primary).otherwise("OTHER").alias("primary_category"),
@@ -159,6 +160,12 @@ def baseline_rank(text: Column) -> Column:
     return case
 
 
+def baseline_cause(code: Column) -> Column:
+    return F.concat(
+        F.lit("[MOCK] Deterministic offline classification based on keyword signals. Selected "), code, F.lit(".")
+    )
+
+
 def keyword_baseline(texts: DataFrame) -> DataFrame:
     """Keyword guess per run over ``run_id, text``, which may hold several parts per run: every part is
     ranked by itself and the lowest rank wins."""
@@ -176,10 +183,7 @@ def baseline_responses(texts: DataFrame) -> DataFrame:
     guess = keyword_baseline(texts)
     body = F.struct(
         "primary_category", "confidence",
-        F.concat(
-            F.lit("[MOCK] Deterministic offline classification based on keyword signals. Selected "),
-            "primary_category", F.lit("."),
-        ).alias("root_cause"),
+        baseline_cause(F.col("primary_category")).alias("root_cause"),
         F.array(F.lit(0)).alias("evidence_step_indices"),
     )
     return guess.select("run_id", F.to_json(body).alias("text"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.barrier import computed_once
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,8 +85,7 @@ def apply_rules(signals: DataFrame, rationale: bool = False) -> DataFrame:
     """Add ``rule_id``, ``rule_code``, ``rule_confidence`` (null where no rule decides), and with
     ``rationale`` also ``rule_rationale``, which needs a ``first_files`` column."""
     rules = cascade()
-    columns = {"rule_id": _first_match(rules, lambda r: F.lit(r.rule_id))}
-    matched = signals.withColumns(columns)
+    matched = computed_once(signals, rule_id=_first_match(rules, lambda r: F.lit(r.rule_id)))
     rule = F.col("rule_id")
     code = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.code)])
     confidence = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.confidence)])

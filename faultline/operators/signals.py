@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
 from faultline.functions.arrays import group_starts
+from faultline.functions.barrier import computed_once
 from faultline.operators.steps import catastrophic_edit, produced_patch
 from faultline.taxonomy import FINGERPRINTS, LABELS
 
@@ -198,7 +199,7 @@ def signals_from_runs(runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def last(value) -> Column:
         """Value of the last step where it is not null."""
         held = F.filter(F.transform(f, value), lambda x: x.isNotNull())
-        return F.element_at(held, -1)
+        return F.try_element_at(held, F.lit(-1))
 
     def with_fp(i: int) -> Column:
         return where(lambda s: s["fp"] == i)
@@ -297,9 +298,8 @@ def _repeats(commands: Column) -> Column:
 def fingerprints(steps: DataFrame) -> DataFrame:
     """One row per fingerprinted step: ``run_id, step_index, code, label``."""
     failed = stepflags.failed(F.col("action_type"), F.col("has_obs"), F.col("exit_code"))
-    found = steps.filter(failed).select(
-        "run_id", F.col("index").alias("step_index"), stepflags.fingerprint(F.col("obs_content"), F.lit(True)).alias("_fp")
-    )
+    rejected = steps.filter(failed).select("run_id", F.col("index").alias("step_index"), "obs_content")
+    found = computed_once(rejected, _fp=stepflags.fingerprint(F.col("obs_content"), F.lit(True)))
     return found.filter(F.col("_fp").isNotNull()).select(
         "run_id", "step_index", stepflags.code_of(F.col("_fp")).alias("code"),
         stepflags.label_of(F.col("_fp")).alias("label"),
@@ -308,9 +308,10 @@ def fingerprints(steps: DataFrame) -> DataFrame:
 
 def edited_files(steps: DataFrame) -> DataFrame:
     """One row per edit whose content names a file."""
-    paths = steps.filter(F.col("action_type") == "file_edit").select(
-        "run_id", F.col("index").alias("step_index"), stepflags.touched_path(F.col("content")).alias("path")
+    edits = steps.filter(F.col("action_type") == "file_edit").select(
+        "run_id", F.col("index").alias("step_index"), "content"
     )
+    paths = computed_once(edits, path=stepflags.touched_path(F.col("content"))).drop("content")
     return paths.filter(F.col("path").isNotNull())
 
 
@@ -327,9 +328,8 @@ def repeated_commands(steps: DataFrame) -> DataFrame:
 
 def opened_files(steps: DataFrame) -> DataFrame:
     """How many distinct files each run opened, and how many open steps named one."""
-    opened = steps.filter(F.col("action_type") == "file_read").select(
-        "run_id", stepflags.touched_path(F.col("content")).alias("path")
-    )
+    reads = steps.filter(F.col("action_type") == "file_read").select("run_id", "content")
+    opened = computed_once(reads, path=stepflags.touched_path(F.col("content")))
     per_file = opened.filter(F.col("path").isNotNull()).groupBy("run_id", "path").agg(F.count("*").alias("opens"))
     return per_file.groupBy("run_id").agg(
         F.count("*").alias("unique_files_opened"), F.sum("opens").alias("n_opens")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import not_blank, strip
 from faultline.operators.normalize_actions import normalize_action_lists
 from faultline.operators.normalize_chats import normalize_chats
@@ -61,46 +62,71 @@ def checked_gold(gold: DataFrame) -> DataFrame:
     return gold.withColumn("true_category", valid).fillna({"labeler": "unknown", "notes": ""})
 
 
-def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """``record VARIANT`` from JSON-lines files, JSON arrays, or single indented documents.
+def _record_lines(spark: SparkSession, paths) -> DataFrame:
+    """One record per line that is a whole JSON object; blank and broken lines are dropped."""
+    line = strip(F.col("value"))
+    lines = spark.read.text(paths).select(line.alias("line")).filter(F.col("line").startswith("{"))
+    parsed = computed_once(lines, record=j.parse_strict(F.col("line")))
+    return parsed.filter(F.col("record").isNotNull()).select("record")
 
-    Lines are read in parallel. A line that is a whole JSON object is a record; broken lines are dropped.
-    Only files without any such first line are read again as a whole, as an array or as one document.
-    """
-    lines = spark.read.text(path).select(
-        strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-    ).filter(not_blank(F.col("line")))
-    first = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("line"))
-    line_files = first.filter(F.col("line").startswith("{") & j.parse_strict(F.col("line")).isNotNull()).select("file")
-    # A file whose first line starts an object that continues below may still hold records further down.
-    by_line = (
-        lines.join(first.filter(F.col("line").startswith("{")).select("file"), "file", "left_semi")
-        .select(j.parse_strict(F.col("line")).alias("record"), "line")
-        .filter(F.col("record").isNotNull() & F.col("line").startswith("{"))
-        .select("record")
-    )
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+def _record_documents(spark: SparkSession, paths) -> DataFrame:
+    """The records of whole files: an array's objects, or a single object. Broken files give no row."""
     value = j.parse_strict(F.col("value"))
-    documents = (
-        whole.join(line_files, "file", "left_anti").select(value.alias("value")).filter(F.col("value").isNotNull())
+    documents = computed_once(spark.read.option("wholetext", True).text(paths), value=value)
+    items = F.when(j.is_array(F.col("value")), j.array_at(F.col("value"), "$")).otherwise(F.array("value"))
+    return documents.filter(F.col("value").isNotNull()).select(F.explode(items).alias("record")).filter(
+        j.is_object(F.col("record"))
     )
-    items = documents.select(
-        F.explode(F.when(j.is_array(F.col("value")), j.array_at(F.col("value"), "$")).otherwise(F.array("value"))).alias("record")
-    ).filter(j.is_object(F.col("record")))
-    return by_line.unionByName(items)
-
 
-def read_action_lists(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_action_lists(read_raw_records(spark, path))
 
+def read_raw_records(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+    """``record VARIANT`` from JSON lines, JSON arrays, or single indented documents.
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_sessions(read_raw_records(spark, path))
-
-
-def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_chats(read_raw_records(spark, path))
+    ``layout`` "lines" and "document" read in one pass; use "lines" for large inputs. "auto" first looks
+    at each file's first line (one scan; only file names reach the driver) and tells the two apart.
+    """
+    if layout == "lines":
+        return _record_lines(spark, path)
+    if layout == "document":
+        return _record_documents(spark, path)
+    lines = spark.read.text(path).select(
+        strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    ).filter(not_blank(F.col("line")))
+    first = lines.groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "at").alias("opens"), F.min_by("line", "at").alias("line"))
+    whole_line = j.parse_strict(F.col("line")).isNotNull()
+    kinds = first.select("file", (F.col("opens") == "{").alias("object"), whole_line.alias("whole")).collect()
+    line_files = [k["file"] for k in kinds if k["object"] and k["whole"]]
+    other = [k["file"] for k in kinds if not (k["object"] and k["whole"])]
+    if other:
+        # A broken first line, or a document spread over lines? Only a document parses as a whole.
+        texts = spark.read.option("wholetext", True).text(other)
+        parsed = texts.filter(j.parse_strict(F.col("value")).isNotNull()).select(F.col("_metadata.file_path").alias("file"))
+        documents = {row["file"] for row in parsed.collect()}
+        line_files += [k["file"] for k in kinds if k["object"] and not k["whole"] and k["file"] not in documents]
+    else:
+        documents = set()
+    parts = []
+    if line_files:
+        parts.append(_record_lines(spark, line_files))
+    if documents:
+        parts.append(_record_documents(spark, sorted(documents)))
+    if not parts:
+        return spark.range(0).select(F.parse_json(F.lit("null")).alias("record"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_action_lists(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+    return normalize_action_lists(read_raw_records(spark, path, layout))
+
+
+def read_sessions(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+    return normalize_sessions(read_raw_records(spark, path, layout))
+
+
+def read_chats(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+    return normalize_chats(read_raw_records(spark, path, layout))
 
 
 def _whole_files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
