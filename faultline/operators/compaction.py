@@ -13,7 +13,6 @@ from faultline.functions import stepflags
 from faultline.functions.sequence import join_by_chunk, with_previous
 from faultline.functions.text import shorten
 from faultline.operators.signals import signals_from_runs, signals_from_steps
-from faultline.operators.steps import step_failed
 from faultline.taxonomy import CATEGORIES
 
 KEEP_HEAD, KEEP_TAIL = 2, 6
@@ -64,17 +63,16 @@ def _gap(index: Column, previous: Column) -> Column:
     return F.when(skipped > 0, F.concat(F.lit("... ["), skipped.cast("string"), F.lit(" step(s) omitted] ...\n"))).otherwise("")
 
 
-def is_salient(failed: Column, action: Column, index: Column, n: Column) -> Column:
+def is_salient(failed: str, action: str, index: str, n: str) -> str:
     """Failed (which covers fingerprinted) steps, edits, the first two and the last six."""
-    return failed | (action == "file_edit") | (index >= n - KEEP_TAIL) | (index < KEEP_HEAD)
+    return f"({failed} OR {action} = 'file_edit' OR {index} >= {n} - {KEEP_TAIL} OR {index} < {KEEP_HEAD})"
 
 
 def salient_steps(steps: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The kept rows of a steps table, with ``previous`` (the kept index before) and ``skipped``."""
     sizes = steps.groupBy("run_id").agg(F.count("*").alias("n"))
     spread = join_by_chunk(steps, sizes, "run_id", "index", "n", chunk_rows)
-    failed = stepflags.failed(F.col("action_type"), F.col("has_obs"), F.col("exit_code"))
-    kept = spread.filter(is_salient(failed, F.col("action_type"), F.col("index"), F.col("n")))
+    kept = spread.filter(is_salient(stepflags.failed(*stepflags.STEP_COLUMNS), "action_type", "index", "n"))
     linked = with_previous(kept, "run_id", "chunk", "index", F.col("index"), "previous")
     return linked.withColumn("skipped", F.coalesce(F.col("index") - F.col("previous") - 1, F.lit(0))).drop("chunk")
 
@@ -137,10 +135,8 @@ def compacted_runs(runs: DataFrame) -> DataFrame:
 
 def with_text(signals: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Add ``text`` to the signals of nested runs that kept ``TEXT_COLUMNS``; null where not ``wanted``."""
-    n = F.col("step_count")
-    kept = F.filter(
-        "steps", lambda s: is_salient(step_failed(s), s["action_type"], s["index"], n)
-    )
+    failed = stepflags.failed("s.action_type", "s.observation IS NOT NULL", "s.observation.exit_code")
+    kept = F.expr(f"filter(steps, s -> {is_salient(failed, 's.action_type', 's.index', 'step_count')})")
     cut = signals.withColumn("_signals", signals_json(signals.columns)).withColumn("_kept", kept)
 
     def line(s: Column, i: Column) -> Column:

@@ -9,174 +9,151 @@ Two forms give the same columns:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
 from faultline.functions.arrays import group_starts
 from faultline.functions.barrier import computed_once
+from faultline.functions.sqltext import quoted
 from faultline.operators.steps import catastrophic_edit, produced_patch
 from faultline.taxonomy import FINGERPRINTS, LABELS
 
 REPEATED = 3  # identical commands that count as thrashing
 NARROW_STEPS, NARROW_FILES = 20, 3
 
-_ENVIRONMENT = [i for i, (_, code, _) in enumerate(FINGERPRINTS) if code == "ENVIRONMENT"]
-_BROKEN_COMMAND = [LABELS.index("missing binary"), LABELS.index("wrong path")]
+_ALL = range(len(FINGERPRINTS))
+_MISSING_BINARY, _WRONG_PATH = LABELS.index("missing binary"), LABELS.index("wrong path")
+_BROKEN_COMMAND = [_MISSING_BINARY, _WRONG_PATH]
 
 
 def _ids(code: str) -> list[int]:
-    return [i for i, (_, c, _) in enumerate(FINGERPRINTS) if c == code]
+    return [i for i in _ALL if FINGERPRINTS[i][1] == code]
+
 
+_ENVIRONMENT = _ids("ENVIRONMENT")
 
-def _labels(present: dict[int, Column]) -> Column:
+
+def _labels(present: dict[int, str]) -> str:
     """Sorted, distinct labels of the fingerprints whose condition holds."""
     ordered = sorted(present, key=lambda i: LABELS[i])
-    shown = [F.when(present[i], F.lit(LABELS[i])) for i in ordered]
-    return F.array_compact(F.array(*shown))
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {present[i]} THEN {quoted(LABELS[i])} END" for i in ordered) + "))"
 
 
 def step_facts(steps: DataFrame) -> DataFrame:
     """The narrow per-step facts the fold needs: all regexes run here, before any shuffle, and the
     long texts end here."""
-    action, content = F.col("action_type"), F.col("content")
-    observation, index = F.coalesce("obs_content", F.lit("")), F.col("index")
-    flagged = steps.select(
-        "run_id", "index", "action_type", "exit_code", "has_obs",
-        content.alias("_content"), observation.alias("_obs"),
-        stepflags.failed(action, F.col("has_obs"), F.col("exit_code")).alias("failed"),
-        stepflags.runs_tests(action, content).alias("is_test"),
-        stepflags.runs_test_harness(action, content).alias("is_harness"),
-        stepflags.command_text(action, content).alias("_command"),
-        stepflags.opened_path(action, content).alias("_opened"),
-    )
-    observation = F.col("_obs")
-    # A long command is grouped by its digest, a short one by itself; both exact.
-    command = F.when(F.length("_command") <= 64, F.concat(F.lit("c"), "_command")).otherwise(
-        F.concat(F.lit("C"), F.sha2("_command", 256))
+    flagged = steps.selectExpr(
+        "run_id", "index", "action_type", "exit_code", "has_obs", "coalesce(obs_content, '') AS _obs",
+        f"{stepflags.failed(*stepflags.STEP_COLUMNS)} AS failed",
+        f"{stepflags.runs_tests('action_type', 'content')} AS is_test",
+        f"{stepflags.runs_test_harness('action_type', 'content')} AS is_harness",
+        f"{stepflags.command_text('action_type', 'content')} AS _command",
+        f"{stepflags.opened_path('action_type', 'content')} AS _opened",
     )
-    return flagged.select(
-        "run_id", index, "failed", "is_test",
-        (F.col("action_type") == "file_edit").alias("is_edit"),
-        (F.col("action_type") == "finish").alias("is_finish"),
-        F.when(F.col("_command").isNotNull(), command)
-        .when(F.col("_opened").isNotNull(), F.concat(F.lit("r"), "_opened"))
-        .alias("item"),
-        stepflags.fingerprint(observation, F.col("failed")).alias("fp"),
-        stepflags.assertion_failure(F.col("failed"), observation).alias("is_assertion"),
-        stepflags.test_verdict(F.col("is_test"), observation).alias("verdict"),
-        F.when(F.col("is_harness"), (F.col("has_obs") & F.coalesce(F.col("exit_code") == 0, F.lit(False))).cast("int"))
-        .alias("harness_ok"),
+    return flagged.selectExpr(
+        "run_id", "index", "failed", "is_test", "action_type = 'file_edit' AS is_edit",
+        "action_type = 'finish' AS is_finish",
+        # A long command is grouped by its digest, a short one by itself; both exact.
+        """CASE WHEN length(_command) <= 64 THEN concat('c', _command)
+                WHEN _command IS NOT NULL THEN concat('C', sha2(_command, 256))
+                WHEN _opened IS NOT NULL THEN concat('r', _opened) END AS item""",
+        f"{stepflags.fingerprint('_obs', 'failed')} AS fp",
+        f"{stepflags.assertion_failure('failed', '_obs')} AS is_assertion",
+        f"{stepflags.test_verdict('is_test', '_obs')} AS verdict",
+        f"{stepflags.harness_ok('is_harness', 'has_obs', 'exit_code')} AS harness_ok",
     )
 
 
-def _count(condition: Column) -> Column:
-    return F.sum(condition.cast("long"))
+_SUMS = {
+    "step_count": "count(*)",
+    "n_failed_steps": "count_if(failed)",
+    "n_edits": "count_if(is_edit)",
+    "n_tests": "count_if(is_test)",
+    "n_finish": "count_if(is_finish)",
+    **{f"fp{i}": f"count_if(fp = {i})" for i in _ALL},
+}
+# The latest value of a fact is the maximum of ``index * 2 + flag``.
+_MAXIMA = {
+    "last_edit": "max(CASE WHEN is_edit THEN index END)",
+    "last_assertion": "max(CASE WHEN is_assertion THEN index END)",
+    "last_verdict": "max(index * 2 + verdict)",
+    "last_harness": "max(index * 2 + harness_ok)",
+    **{f"late{i}": f"max(CASE WHEN fp = {i} THEN index END)" for i in _BROKEN_COMMAND},
+}
+_MINIMA = {
+    "first_edit": "min(CASE WHEN is_edit THEN index END)",
+    **{f"early{i}": f"min(CASE WHEN fp = {i} THEN index END)" for i in _ENVIRONMENT},
+}
 
 
 def fold_steps(steps: DataFrame) -> DataFrame:
-    """Per-run sums, first and last positions over a steps table. Order-dependent facts are packed as
-    ``index * 2 + flag`` so that a plain ``max`` finds the latest one."""
-    index, fp = F.col("index"), F.col("fp")
-    sums = {
-        "step_count": F.count("*"),
-        "n_failed_steps": _count(F.col("failed")),
-        "n_edits": _count(F.col("is_edit")),
-        "n_tests": _count(F.col("is_test")),
-        "n_finish": _count(F.col("is_finish")),
-        **{f"fp{i}": _count(F.coalesce(fp == i, F.lit(False))) for i in range(len(FINGERPRINTS))},
-    }
-    maxima = {
-        "last_edit": F.max(F.when(F.col("is_edit"), index)),
-        "last_assertion": F.max(F.when(F.col("is_assertion"), index)),
-        "last_verdict": F.max(index * 2 + F.col("verdict")),
-        "last_harness": F.max(index * 2 + F.col("harness_ok")),
-        **{f"late{i}": F.max(F.when(fp == i, index)) for i in _BROKEN_COMMAND},
-    }
-    minima = {
-        "first_edit": F.min(F.when(F.col("is_edit"), index)),
-        **{f"early{i}": F.min(F.when(fp == i, index)) for i in _ENVIRONMENT},
-    }
+    """Per-run sums, first and last positions over a steps table. All buffers are plain numbers, so both
+    aggregations hash and combine before they shuffle."""
     per_item = step_facts(steps).groupBy("run_id", "item").agg(
-        *[c.alias(n) for part in (sums, maxima, minima) for n, c in part.items()]
+        *[F.expr(f"{e} AS {n}") for part in (_SUMS, _MAXIMA, _MINIMA) for n, e in part.items()]
     )
     return per_item.groupBy("run_id").agg(
-        *[F.sum(n).alias(n) for n in sums],
-        *[F.max(n).alias(n) for n in maxima],
-        *[F.min(n).alias(n) for n in minima],
-        F.coalesce(_count(F.col("item").startswith("r")), F.lit(0)).alias("unique_files_opened"),
-        F.coalesce(
-            _count(F.lower(F.substring("item", 1, 1)).eqNullSafe("c") & (F.col("step_count") >= REPEATED)), F.lit(0)
-        ).alias("n_repeated_commands"),
+        *[F.expr(f"sum({n}) AS {n}") for n in _SUMS],
+        *[F.expr(f"max({n}) AS {n}") for n in _MAXIMA],
+        *[F.expr(f"min({n}) AS {n}") for n in _MINIMA],
+        F.expr("count_if(startswith(item, 'r')) AS unique_files_opened"),
+        F.expr(f"count_if(lower(substring(item, 1, 1)) = 'c' AND step_count >= {REPEATED}) AS n_repeated_commands"),
     )
 
 
-_RUN_COLUMNS = ("run_id", "task_id", "agent", "model", "final_patch", "test_passed", "error")
-
-
 def signals_from_steps(steps: DataFrame, runs: DataFrame) -> DataFrame:
     """Signals from a steps table and the runs' own columns
     (``run_id, task_id, agent, model, final_patch, test_passed, error``, one row per run)."""
     own = runs.select(
-        "run_id", "task_id", "agent", "model",
-        F.col("test_passed"),
+        "run_id", "task_id", "agent", "model", "test_passed",
         produced_patch(F.col("final_patch")).alias("produced_patch"),
         catastrophic_edit(F.col("final_patch")).alias("catastrophic_edit"),
-        not_empty(F.col("error")).alias("framework_error"),
+        F.expr("coalesce(length(error) > 0, false) AS framework_error"),
     )
     return _derive(own.join(fold_steps(steps), "run_id", "left"))
 
 
-def not_empty(text: Column) -> Column:
-    return F.coalesce(F.length(text) > 0, F.lit(False))
+def _total(code: str) -> str:
+    return " + ".join(f"fp{i}" for i in _ids(code))
 
 
 def _derive(folded: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Turn the folded columns into the signals the rules read; ``extra`` columns pass through."""
-    zero = ["step_count", "n_failed_steps", "n_edits", "n_tests", "n_finish", "unique_files_opened",
-            "n_repeated_commands", *[f"fp{i}" for i in range(len(FINGERPRINTS))]]
-    n = F.col("step_count")
-    fp = {i: F.col(f"fp{i}") > 0 for i in range(len(FINGERPRINTS))}
-    late_cutoff = n - F.greatest(F.lit(2), F.floor(n / 10))
-    early_cutoff = F.greatest(F.lit(3), F.floor(n / 4))
-    no_edits = F.col("n_edits") == 0
-    last_harness_index = F.floor(F.col("last_harness") / 2)
-    false = F.lit(False)
-
-    base = folded.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).withColumns(
-        {"tests_passed": F.coalesce("test_passed", F.col("last_verdict") % 2 == 1)}
+    counts = [*_SUMS, "unique_files_opened", "n_repeated_commands"]
+    kept = [c for c in folded.columns if c not in counts]
+    filled = folded.selectExpr(
+        *[f"`{c}`" for c in kept], *[f"coalesce({c}, 0) AS {c}" for c in counts],
+        "coalesce(test_passed, last_verdict % 2 = 1) AS tests_passed",
     )
-    return base.select(
+    found = {i: f"fp{i} > 0" for i in _ALL}
+    return filled.selectExpr(
         "run_id", "task_id", "agent", "model", "step_count", "produced_patch",
-        no_edits.alias("no_file_edits"),
-        (F.col("n_tests") > 0).alias("ran_tests"),
-        "tests_passed",
-        (F.col("n_finish") > 0).alias("finished_explicitly"),
-        ((F.col("n_finish") > 0) & (F.col("n_tests") == 0)).alias("finished_without_testing"),
-        ((F.col("n_finish") > 0) & F.coalesce(~F.col("tests_passed"), false)).alias("finished_on_red"),
-        reduce(lambda a, b: a | b, [fp[i] for i in _ids("RESOURCE_LIMIT")]).alias("hit_resource_limit"),
+        "n_edits = 0 AS no_file_edits", "n_tests > 0 AS ran_tests", "tests_passed",
+        "n_finish > 0 AS finished_explicitly",
+        "n_finish > 0 AND n_tests = 0 AS finished_without_testing",
+        "n_finish > 0 AND coalesce(NOT tests_passed, false) AS finished_on_red",
+        f"{_total('RESOURCE_LIMIT')} > 0 AS hit_resource_limit",
         "framework_error", "catastrophic_edit",
-        (
-            no_edits & F.coalesce(F.col("last_harness") % 2 == 1, false)
-            & F.coalesce(last_harness_index >= n - F.greatest(F.lit(1), F.floor(n / 5)), false)
-        ).alias("verified_without_editing"),
+        """n_edits = 0 AND coalesce(last_harness % 2 = 1, false)
+           AND coalesce(last_harness DIV 2 >= step_count - greatest(1, step_count DIV 5), false)
+           AS verified_without_editing""",
         "unique_files_opened",
-        F.coalesce(F.col("last_assertion") >= F.col("first_edit"), false).alias("assertion_after_edit"),
-        ((n >= NARROW_STEPS) & no_edits & (F.col("unique_files_opened") < NARROW_FILES)).alias("narrow_file_search"),
-        F.coalesce("last_edit", F.lit(-1)).alias("last_edit_step_index"),
+        "coalesce(last_assertion >= first_edit, false) AS assertion_after_edit",
+        f"step_count >= {NARROW_STEPS} AND n_edits = 0 AND unique_files_opened < {NARROW_FILES} AS narrow_file_search",
+        "coalesce(last_edit, -1) AS last_edit_step_index",
         "n_failed_steps", "n_repeated_commands",
-        sum((F.col(f"fp{i}") for i in range(len(FINGERPRINTS))), F.lit(0)).alias("n_error_fingerprints"),
-        sum((F.col(f"fp{i}") for i in _ids("INFRA_ERROR")), F.lit(0)).alias("n_infra_fps"),
-        sum((F.col(f"fp{i}") for i in _ids("ENVIRONMENT")), F.lit(0)).alias("n_env_fps"),
-        sum((F.col(f"fp{i}") for i in _ids("TOOL_USE")), F.lit(0)).alias("n_tool_fps"),
-        _labels({i: fp[i] for i in _ids("INFRA_ERROR")}).alias("infra_labels"),
-        _labels({i: fp[i] for i in _ids("RESOURCE_LIMIT")}).alias("resource_labels"),
-        _labels({i: fp[i] for i in _ids("TOOL_USE")}).alias("tool_labels"),
-        _labels({i: F.col(f"early{i}") < early_cutoff for i in _ENVIRONMENT}).alias("early_env_labels"),
-        _labels({i: F.col(f"late{i}") >= late_cutoff for i in _BROKEN_COMMAND}).alias("late_command_labels"),
-        fp[LABELS.index("missing binary")].alias("has_missing_binary"),
+        " + ".join(f"fp{i}" for i in _ALL) + " AS n_error_fingerprints",
+        f"{_total('INFRA_ERROR')} AS n_infra_fps",
+        f"{_total('ENVIRONMENT')} AS n_env_fps",
+        f"{_total('TOOL_USE')} AS n_tool_fps",
+        _labels({i: found[i] for i in _ids("INFRA_ERROR")}) + " AS infra_labels",
+        _labels({i: found[i] for i in _ids("RESOURCE_LIMIT")}) + " AS resource_labels",
+        _labels({i: found[i] for i in _ids("TOOL_USE")}) + " AS tool_labels",
+        _labels({i: f"early{i} < greatest(3, step_count DIV 4)" for i in _ENVIRONMENT}) + " AS early_env_labels",
+        _labels({i: f"late{i} >= step_count - greatest(2, step_count DIV 10)" for i in _BROKEN_COMMAND})
+        + " AS late_command_labels",
+        f"{found[_MISSING_BINARY]} AS has_missing_binary",
         *extra,
     )
 
@@ -184,93 +161,78 @@ def _derive(folded: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # Nested runs
 
+_LISTS = ("failed_step_indices", "edited_files", "error_fingerprints", "repeated_commands")
+
 
 def signals_from_runs(runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Signals of nested runs, row by row and without a shuffle. Adds the ordered lists
     (``edited_files``, ``failed_step_indices``, ``error_fingerprints``, ``repeated_commands``) which a
     nested run bounds by its own row, and passes the ``keep`` columns through."""
     empty = F.coalesce("steps", F.array().cast(runs.schema["steps"].dataType))
-    facts = runs.withColumn("steps", empty).withColumn("_facts", F.transform("steps", _nested_facts))
-    f = F.col("_facts")
+    facts = runs.withColumn("steps", empty).withColumn("_facts", F.expr(_nested_facts()))
 
-    def where(test) -> Column:
-        return F.filter(f, test)
+    def where(condition: str) -> str:
+        return f"filter(_facts, s -> {condition})"
 
-    def last(value) -> Column:
-        """Value of the last step where it is not null."""
-        held = F.filter(F.transform(f, value), lambda x: x.isNotNull())
-        return F.try_element_at(held, F.lit(-1))
+    def pick(value: str, condition: str) -> str:
+        return f"transform({where(condition)}, s -> {value})"
 
-    def with_fp(i: int) -> Column:
-        return where(lambda s: s["fp"] == i)
+    def last(value: str, condition: str) -> str:
+        return f"try_element_at({pick(value, condition)}, -1)"
 
-    def indices_of(i: int) -> Column:
-        return F.transform(with_fp(i), lambda s: s["index"])
-
-    commands = F.transform(
-        where(lambda s: s["command"].isNotNull()), lambda s: F.struct(s["command"], s["pos"])
-    )
-    edits = F.transform(where(lambda s: s["is_edit"]), lambda s: s["pos"])
+    commands = F.expr(pick("struct(s.command AS command, s.pos AS pos)", "s.command IS NOT NULL"))
+    found = f"named_struct('step', s.index, 'code', {stepflags.code_of('s.fp')}, 'label', {stepflags.label_of('s.fp')})"
     own = facts.select(
         *dict.fromkeys(["run_id", "agent", "model", *keep]),
-        F.col("task.task_id").alias("task_id"),
-        F.col("test_result.passed").alias("test_passed"),
+        F.expr("task.task_id AS task_id"),
+        F.expr("test_result.passed AS test_passed"),
         produced_patch(F.col("final_patch")).alias("produced_patch"),
         catastrophic_edit(F.col("final_patch")).alias("catastrophic_edit"),
-        not_empty(F.col("error")).alias("framework_error"),
-        F.size("steps").alias("step_count"),
-        F.transform(where(lambda s: s["failed"]), lambda s: s["index"]).alias("failed_step_indices"),
-        F.filter(F.transform(f, lambda s: s["edited"]), lambda p: p.isNotNull()).alias("edited_files"),
-        F.size(F.array_distinct(F.filter(F.transform(f, lambda s: s["opened"]), lambda p: p.isNotNull())))
-        .alias("unique_files_opened"),
-        F.transform(
-            where(lambda s: s["fp"].isNotNull()),
-            lambda s: F.struct(
-                s["index"].alias("step"), stepflags.code_of(s["fp"]).alias("code"),
-                stepflags.label_of(s["fp"]).alias("label"),
-            ),
-        ).alias("error_fingerprints"),
+        F.expr("coalesce(length(error) > 0, false) AS framework_error"),
+        F.expr("size(steps) AS step_count"),
+        F.expr(pick("s.index", "s.failed") + " AS failed_step_indices"),
+        F.expr(pick("s.edited", "s.edited IS NOT NULL") + " AS edited_files"),
+        F.expr(f"size(array_distinct({pick('s.opened', 's.opened IS NOT NULL')})) AS unique_files_opened"),
+        F.expr(pick(found, "s.fp IS NOT NULL") + " AS error_fingerprints"),
         _repeats(commands).alias("repeated_commands"),
-        F.size(edits).alias("n_edits"),
-        F.array_min(edits).alias("first_edit"),
-        last(lambda s: F.when(s["is_edit"], s["index"])).alias("last_edit"),
-        last(lambda s: F.when(s["is_assertion"], s["pos"])).alias("last_assertion"),
-        F.size(where(lambda s: s["is_test"])).alias("n_tests"),
-        last(lambda s: s["verdict"]).alias("last_verdict"),
-        last(lambda s: F.when(s["harness_ok"].isNotNull(), s["index"] * 2 + s["harness_ok"])).alias("last_harness"),
-        F.size(where(lambda s: s["is_finish"])).alias("n_finish"),
-        *[F.size(with_fp(i)).alias(f"fp{i}") for i in range(len(FINGERPRINTS))],
-        *[F.array_min(indices_of(i)).alias(f"early{i}") for i in _ENVIRONMENT],
-        *[F.array_max(indices_of(i)).alias(f"late{i}") for i in _BROKEN_COMMAND],
-    ).withColumns({"n_failed_steps": F.size("failed_step_indices"), "n_repeated_commands": F.size("repeated_commands")})
-
-    lists = ("failed_step_indices", "edited_files", "error_fingerprints", "repeated_commands")
-    return _derive(own, (*keep, *lists))
-
-
-def _nested_facts(step: Column, pos: Column) -> Column:
-    action, content = step["action_type"], F.coalesce(step["content"], F.lit(""))
-    observation = F.coalesce(step["observation"]["content"], F.lit(""))
-    has_obs, exit_code = step["observation"].isNotNull(), step["observation"]["exit_code"]
-    failed = stepflags.failed(action, has_obs, exit_code)
-    return F.struct(
-        pos.alias("pos"),
-        step["index"].alias("index"),
-        failed.alias("failed"),
-        (action == "file_edit").alias("is_edit"),
-        (action == "finish").alias("is_finish"),
-        stepflags.runs_tests(action, content).alias("is_test"),
-        stepflags.command_text(action, content).alias("command"),
-        stepflags.opened_path(action, content).alias("opened"),
-        stepflags.edited_path(action, content).alias("edited"),
-        stepflags.fingerprint(observation, failed).alias("fp"),
-        stepflags.assertion_failure(failed, observation).alias("is_assertion"),
-        stepflags.test_verdict(stepflags.runs_tests(action, content), observation).alias("verdict"),
-        F.when(
-            stepflags.runs_test_harness(action, content),
-            (has_obs & F.coalesce(exit_code == 0, F.lit(False))).cast("int"),
-        ).alias("harness_ok"),
+        F.expr(f"size({where('s.is_edit')}) AS n_edits"),
+        F.expr(f"array_min({pick('s.pos', 's.is_edit')}) AS first_edit"),
+        F.expr(last("s.index", "s.is_edit") + " AS last_edit"),
+        F.expr(last("s.pos", "s.is_assertion") + " AS last_assertion"),
+        F.expr(f"size({where('s.is_test')}) AS n_tests"),
+        F.expr(last("s.verdict", "s.verdict IS NOT NULL") + " AS last_verdict"),
+        F.expr(last("s.index * 2 + s.harness_ok", "s.harness_ok IS NOT NULL") + " AS last_harness"),
+        F.expr(f"size({where('s.is_finish')}) AS n_finish"),
+        *[F.expr(f"size({where(f's.fp = {i}')}) AS fp{i}") for i in _ALL],
+        *[F.expr(f"array_min({pick('s.index', f's.fp = {i}')}) AS early{i}") for i in _ENVIRONMENT],
+        *[F.expr(f"array_max({pick('s.index', f's.fp = {i}')}) AS late{i}") for i in _BROKEN_COMMAND],
+    ).selectExpr(
+        "*", "size(failed_step_indices) AS n_failed_steps", "size(repeated_commands) AS n_repeated_commands"
     )
+    return _derive(own, (*keep, *_LISTS))
+
+
+def _nested_facts() -> str:
+    """The facts of every nested step, as one expression over ``steps``."""
+    action, content, seen = "s.action_type", "coalesce(s.content, '')", "coalesce(s.observation.content, '')"
+    has_obs, code = "s.observation IS NOT NULL", "s.observation.exit_code"
+    failed = stepflags.failed(action, has_obs, code)
+    fields = {
+        "pos": "pos",
+        "index": "s.index",
+        "failed": failed,
+        "is_edit": f"{action} = 'file_edit'",
+        "is_finish": f"{action} = 'finish'",
+        "is_test": stepflags.runs_tests(action, content),
+        "command": stepflags.command_text(action, content),
+        "opened": stepflags.opened_path(action, content),
+        "edited": stepflags.edited_path(action, content),
+        "fp": stepflags.fingerprint(seen, failed),
+        "is_assertion": stepflags.assertion_failure(failed, seen),
+        "verdict": stepflags.test_verdict(stepflags.runs_tests(action, content), seen),
+        "harness_ok": stepflags.harness_ok(stepflags.runs_test_harness(action, content), has_obs, code),
+    }
+    return "transform(steps, (s, pos) -> named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + "))"
 
 
 def _repeats(commands: Column) -> Column:
@@ -297,28 +259,26 @@ def _repeats(commands: Column) -> Column:
 
 def fingerprints(steps: DataFrame) -> DataFrame:
     """One row per fingerprinted step: ``run_id, step_index, code, label``."""
-    failed = stepflags.failed(F.col("action_type"), F.col("has_obs"), F.col("exit_code"))
-    rejected = steps.filter(failed).select("run_id", F.col("index").alias("step_index"), "obs_content")
-    found = computed_once(rejected, _fp=stepflags.fingerprint(F.col("obs_content"), F.lit(True)))
-    return found.filter(F.col("_fp").isNotNull()).select(
-        "run_id", "step_index", stepflags.code_of(F.col("_fp")).alias("code"),
-        stepflags.label_of(F.col("_fp")).alias("label"),
+    rejected = steps.filter(stepflags.failed(*stepflags.STEP_COLUMNS)).selectExpr(
+        "run_id", "index AS step_index", "obs_content"
+    )
+    found = computed_once(rejected, _fp=F.expr(stepflags.fingerprint("obs_content"))).filter("_fp IS NOT NULL")
+    return found.selectExpr(
+        "run_id", "step_index", f"{stepflags.code_of('_fp')} AS code", f"{stepflags.label_of('_fp')} AS label"
     )
 
 
 def edited_files(steps: DataFrame) -> DataFrame:
     """One row per edit whose content names a file."""
-    edits = steps.filter(F.col("action_type") == "file_edit").select(
-        "run_id", F.col("index").alias("step_index"), "content"
-    )
-    paths = computed_once(edits, path=stepflags.touched_path(F.col("content"))).drop("content")
-    return paths.filter(F.col("path").isNotNull())
+    edits = steps.filter("action_type = 'file_edit'").selectExpr("run_id", "index AS step_index", "content")
+    paths = computed_once(edits, path=F.expr(stepflags.touched_path("content"))).drop("content")
+    return paths.filter("path IS NOT NULL")
 
 
 def repeated_commands(steps: DataFrame) -> DataFrame:
     """Commands issued at least three times in a run, with their first position."""
-    commands = steps.filter(F.col("action_type") == "command").select(
-        "run_id", "index", stepflags.command_text(F.col("action_type"), F.col("content")).alias("command")
+    commands = steps.filter("action_type = 'command'").selectExpr(
+        "run_id", "index", f"{stepflags.command_text('action_type', 'content')} AS command"
     )
     counted = commands.groupBy("run_id", "command").agg(
         F.count("*").alias("count"), F.min("index").alias("first_index")
@@ -328,21 +288,20 @@ def repeated_commands(steps: DataFrame) -> DataFrame:
 
 def opened_files(steps: DataFrame) -> DataFrame:
     """How many distinct files each run opened, and how many open steps named one."""
-    reads = steps.filter(F.col("action_type") == "file_read").select("run_id", "content")
-    opened = computed_once(reads, path=stepflags.touched_path(F.col("content")))
-    per_file = opened.filter(F.col("path").isNotNull()).groupBy("run_id", "path").agg(F.count("*").alias("opens"))
+    reads = steps.filter("action_type = 'file_read'").select("run_id", "content")
+    opened = computed_once(reads, path=F.expr(stepflags.touched_path("content"))).filter("path IS NOT NULL")
+    per_file = opened.groupBy("run_id", "path").agg(F.count("*").alias("opens"))
     return per_file.groupBy("run_id").agg(
         F.count("*").alias("unique_files_opened"), F.sum("opens").alias("n_opens")
     )
 
 
 def first_fingerprints(steps: DataFrame, per_code: int = 3) -> DataFrame:
-    """Per run and code, the first fingerprints as an ordered array of at most ``per_code``."""
+    """Per run and code, the first fingerprints as an ordered array of at most ``per_code``. The rank
+    filter keeps as many rows per group and task before the shuffle."""
     order = Window.partitionBy("run_id", "code").orderBy("step_index")
     head = fingerprints(steps).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_code)
-    return head.groupBy("run_id", "code").agg(
-        F.array_sort(F.collect_list(F.struct("step_index", "label"))).alias("hits")
-    )
+    return head.groupBy("run_id", "code").agg(F.expr("array_sort(collect_list(struct(step_index, label))) AS hits"))
 
 
 def first_edited_files(steps: DataFrame, n: int = 3) -> DataFrame:
@@ -350,5 +309,5 @@ def first_edited_files(steps: DataFrame, n: int = 3) -> DataFrame:
     order = Window.partitionBy("run_id").orderBy("step_index")
     head = edited_files(steps).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
     return head.groupBy("run_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step_index", "path"))), lambda x: x["path"]).alias("first_files")
+        F.expr("transform(array_sort(collect_list(struct(step_index, path))), x -> x.path) AS first_files")
     )

@@ -9,11 +9,7 @@ from faultline.functions import stepflags
 from faultline.functions.text import not_blank, occurrences
 
 
-def step_failed(step: Column) -> Column:
-    """``failed`` of a nested step."""
-    return stepflags.failed(
-        step["action_type"], step["observation"].isNotNull(), step["observation"]["exit_code"]
-    )
+_NESTED_FAILED = stepflags.failed("s.action_type", "s.observation IS NOT NULL", "s.observation.exit_code")
 
 
 def produced_patch(patch: Column) -> Column:
@@ -62,9 +58,9 @@ def keep_failed(runs: DataFrame) -> DataFrame:
     return runs.filter(run_failed(F.col("resolved"), F.col("test_result.passed")))
 
 
-def failed_steps(steps: Column) -> Column:
+def failed_steps(steps: str = "steps") -> Column:
     """The rejected steps of a nested run, in order."""
-    return F.filter(steps, step_failed)
+    return F.expr(f"filter({steps}, s -> {_NESTED_FAILED})")
 
 
 def last_steps(steps: Column, n: int = 5) -> Column:
@@ -75,9 +71,7 @@ def last_steps(steps: Column, n: int = 5) -> Column:
 
 def with_step_failed(steps: DataFrame) -> DataFrame:
     """Add ``failed`` to a steps table."""
-    return steps.withColumn(
-        "failed", stepflags.failed(F.col("action_type"), F.col("has_obs"), F.col("exit_code"))
-    )
+    return steps.withColumn("failed", F.expr(stepflags.failed(*stepflags.STEP_COLUMNS)))
 
 
 def last_step_rows(steps: DataFrame, n: int = 5) -> DataFrame:

@@ -78,7 +78,7 @@ def summary_tiles(cards: DataFrame) -> DataFrame:
 def zero_filled_distribution(cards: DataFrame) -> DataFrame:
     """Every taxonomy code in order with its count and its bar length in percent of the largest."""
     counts = category_distribution(cards)
-    dim = taxonomy(cards.sparkSession).select("position", F.col("code").alias("primary_category"), "owner")
+    dim = taxonomy(cards.sparkSession, ("position", "code", "owner")).withColumnRenamed("code", "primary_category")
     filled = F.broadcast(dim).join(counts, "primary_category", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # Ten rows: the unpartitioned window is bounded by the taxonomy.
     largest = F.greatest(F.max("count").over(Window.partitionBy()), F.lit(1))
@@ -100,7 +100,7 @@ def stored_distribution(cards: DataFrame) -> DataFrame:
 def version_pivot(cards: DataFrame, version: str, versions: list[str]) -> DataFrame:
     """Categories against versions; absent pairs count 0. The versions are given, so no pass is spent
     on finding them."""
-    wide = cards.groupBy("primary_category").pivot(version, versions).agg(F.count("*"))
+    wide = cards.groupBy("primary_category").pivot(version, versions).agg(F.count(F.lit(1)))
     return wide.select("primary_category", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in versions])
 
 

@@ -7,7 +7,7 @@ grows with the events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.sequence import with_ordinal
@@ -17,28 +17,43 @@ from faultline.taxonomy import CODES
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.from_json("props", "k INT")["k"]
-    return events.select(
-        "event_id", "ts", "user_id", "event_type", k.alias("k"),
-        (F.col("user_id") * 8 + F.floor((F.dayofmonth("ts") - 1) / 7)).alias("rk"),
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "ts", "user_id", "event_type", "from_json(props, 'k INT').k AS k",
+        "user_id * 8 + (day(ts) - 1) DIV 7 AS rk",
     )
 
 
-def run_id(rk: Column) -> Column:
-    return F.concat(F.lit("run-"), rk.cast("string"))
+RUN_ID = "concat('run-', rk)"
 
+_ACTION = """CASE WHEN event_type = 'view' THEN 'file_read'
+  WHEN event_type = 'purchase' AND k < 25 AND rk % 3 <> 0 THEN 'file_edit'
+  WHEN event_type = 'signup' AND k < 20 THEN 'finish'
+  WHEN event_type = 'signup' THEN 'message'
+  WHEN event_type = 'error' AND k < 5 THEN 'error'
+  ELSE 'command' END"""
 
-def _chain(*pairs, otherwise: Column) -> Column:
-    (first, *rest) = pairs
-    case = F.when(*first)
-    for condition, value in rest:
-        case = case.when(condition, value)
-    return case.otherwise(otherwise)
+_CONTENT = """CASE WHEN action_type = 'file_read' THEN concat('open src/mod_', k % 4, '.py')
+  WHEN action_type = 'file_edit' THEN concat('edit src/mod_', k % 4, '.py')
+  WHEN action_type <> 'command' THEN action_type
+  WHEN k % 5 = 0 THEN concat('pytest tests/test_', k % 3)
+  WHEN k % 5 = 1 THEN 'python runtests.py app'
+  WHEN k % 5 = 2 THEN 'grep -rn foo src'
+  WHEN k % 5 = 3 THEN 'make build'
+  ELSE 'git status' END"""
 
+_OBSERVATION = """CASE WHEN action_type IN ('message', 'finish') THEN NULL
+  WHEN event_type <> 'error' THEN if(action_type = 'command' AND k % 5 = 0, '3 passed', 'ok')
+  WHEN k < 3 THEN 'Error 429 rate limit exceeded'
+  WHEN k < 6 THEN 'maximum iterations reached'
+  WHEN k < 12 THEN 'ModuleNotFoundError: No module named foo'
+  WHEN k < 20 THEN 'bash: python: command not found'
+  WHEN k < 26 THEN 'patch does not apply'
+  WHEN k < 40 THEN 'AssertionError: expected 1 but got 2'
+  WHEN k < 48 THEN 'No such file or directory'
+  ELSE '1 failed' END"""
 
-def _lit(x: str) -> Column:
-    return F.lit(x)
+_EXIT_CODE = """CASE WHEN action_type IN ('message', 'finish') THEN NULL
+  WHEN event_type = 'error' THEN 1 ELSE 0 END"""
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,79 +62,31 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     A run covers seven days, so the minute of its event is an order-preserving bucket with at most
     10,080 values per run.
     """
-    e = _events(spark, sf_dir).withColumn(
-        "minute", F.dayofmonth("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts")
-    )
-    e = with_ordinal(e, ["rk"], "minute", ["ts", "event_id"])
-    kind, k, rk = F.col("event_type"), F.col("k"), F.col("rk")
-    action = _chain(
-        (kind == "view", _lit("file_read")),
-        ((kind == "purchase") & (k < 25) & (rk % 3 != 0), _lit("file_edit")),
-        ((kind == "signup") & (k < 20), _lit("finish")),
-        (kind == "signup", _lit("message")),
-        ((kind == "error") & (k < 5), _lit("error")),
-        otherwise=_lit("command"),
-    )
-    e = e.withColumn("action_type", action)
-    a, module = F.col("action_type"), F.concat(F.lit("src/mod_"), (k % 4).cast("string"), F.lit(".py"))
-    content = _chain(
-        (a == "file_read", F.concat(F.lit("open "), module)),
-        (a == "file_edit", F.concat(F.lit("edit "), module)),
-        ((a == "command") & (k % 5 == 0), F.concat(F.lit("pytest tests/test_"), (k % 3).cast("string"))),
-        ((a == "command") & (k % 5 == 1), _lit("python runtests.py app")),
-        ((a == "command") & (k % 5 == 2), _lit("grep -rn foo src")),
-        ((a == "command") & (k % 5 == 3), _lit("make build")),
-        (a == "command", _lit("git status")),
-        otherwise=a,
-    )
-    silent = a.isin("message", "finish")
-    observation = _chain(
-        (silent, F.lit(None).cast("string")),
-        ((kind == "error") & (k < 3), _lit("Error 429 rate limit exceeded")),
-        ((kind == "error") & (k < 6), _lit("maximum iterations reached")),
-        ((kind == "error") & (k < 12), _lit("ModuleNotFoundError: No module named foo")),
-        ((kind == "error") & (k < 20), _lit("bash: python: command not found")),
-        ((kind == "error") & (k < 26), _lit("patch does not apply")),
-        ((kind == "error") & (k < 40), _lit("AssertionError: expected 1 but got 2")),
-        ((kind == "error") & (k < 48), _lit("No such file or directory")),
-        (kind == "error", _lit("1 failed")),
-        ((a == "command") & (k % 5 == 0), _lit("3 passed")),
-        otherwise=_lit("ok"),
-    )
-    exit_code = F.when(silent, F.lit(None)).when(kind == "error", 1).otherwise(0)
-    return e.select(
-        run_id(rk).alias("run_id"), "index", "action_type", content.alias("content"),
-        observation.alias("obs_content"), exit_code.alias("exit_code"), (~silent).alias("has_obs"), "ts",
-    )
-
-
-def patch_of(rk: Column) -> Column:
-    head = "diff --git a/src/mod.py b/src/mod.py"
-    return F.when(rk % 20 == 1, F.concat(F.lit(head), F.repeat(F.lit("\n-x"), 12))).when(
-        rk % 4 == 1, F.lit(head + "\n-x\n+y")
+    events = _events(spark, sf_dir).selectExpr("*", "day(ts) * 1440 + hour(ts) * 60 + minute(ts) AS minute")
+    ordered = with_ordinal(events, ["rk"], "minute", ["ts", "event_id"])
+    typed = ordered.selectExpr("*", f"{_ACTION} AS action_type")
+    return typed.selectExpr(
+        f"{RUN_ID} AS run_id", "index", "action_type", f"{_CONTENT} AS content", f"{_OBSERVATION} AS obs_content",
+        f"{_EXIT_CODE} AS exit_code", "action_type NOT IN ('message', 'finish') AS has_obs", "ts",
     )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run with its own columns (no steps)."""
-    e = _events(spark, sf_dir)
-    rk = F.col("rk")
-    own = e.groupBy("rk").agg(
-        F.count("*").alias("n_steps"), F.min("user_id").alias("user_id"), F.max("ts").alias("ended_at")
+    own = _events(spark, sf_dir).groupBy("rk").agg(
+        F.expr("count(*) AS n_steps"), F.expr("min(user_id) AS user_id"), F.expr("max(ts) AS ended_at")
     )
-    return own.select(
-        "rk",
-        run_id(rk).alias("run_id"),
-        F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task_id"),
-        F.when(rk % 2 == 0, F.lit("openhands")).otherwise(F.lit("swe-agent")).alias("agent"),
-        F.when(rk % 3 != 0, F.concat(F.lit("model-"), (rk % 3).cast("string"))).alias("model"),
-        F.when(rk % 5 != 0, F.concat(F.lit("org/repo-"), (rk % 5).cast("string"))).alias("repo"),
-        F.concat(F.lit("Fix issue "), F.repeat(F.concat(rk.cast("string"), F.lit(" ")), (rk % 400).cast("int")))
-        .alias("problem_statement"),
-        patch_of(rk).alias("final_patch"),
-        F.when(rk % 4 != 0, rk % 4 == 1).alias("test_passed"),
-        F.when(rk % 7 == 0, rk % 14 == 0).alias("resolved"),
-        F.when(rk % 50 == 3, F.lit("RuntimeError: agent crashed")).alias("error"),
+    return own.selectExpr(
+        "rk", f"{RUN_ID} AS run_id", "concat('task-', user_id) AS task_id",
+        "if(rk % 2 = 0, 'openhands', 'swe-agent') AS agent",
+        "if(rk % 3 <> 0, concat('model-', rk % 3), NULL) AS model",
+        "if(rk % 5 <> 0, concat('org/repo-', rk % 5), NULL) AS repo",
+        "concat('Fix issue ', repeat(concat(rk, ' '), CAST(rk % 400 AS INT))) AS problem_statement",
+        r"""CASE WHEN rk % 20 = 1 THEN concat('diff --git a/src/mod.py b/src/mod.py', repeat('\n-x', 12))
+                 WHEN rk % 4 = 1 THEN 'diff --git a/src/mod.py b/src/mod.py\n-x\n+y' END AS final_patch""",
+        "if(rk % 4 <> 0, rk % 4 = 1, NULL) AS test_passed",
+        "if(rk % 7 = 0, rk % 14 = 0, NULL) AS resolved",
+        "if(rk % 50 = 3, 'RuntimeError: agent crashed', NULL) AS error",
         "n_steps", "ended_at",
     )
 

@@ -15,10 +15,9 @@ def fingerprint_windows(steps: DataFrame, window: str = "1 day", watermark: str
     With ``watermark`` the input may be a stream; rows later than that are dropped and a window is
     written once it is closed. The state holds one counter per open window and code.
     """
-    failed = stepflags.failed(F.col("action_type"), F.col("has_obs"), F.col("exit_code"))
-    rejected = steps.filter(failed).select(F.col("ts").cast("timestamp").alias("ts"), "obs_content")
-    found = computed_once(rejected, _fp=stepflags.fingerprint(F.col("obs_content"), F.lit(True)))
-    found = found.filter(F.col("_fp").isNotNull()).withColumn("code", stepflags.code_of(F.col("_fp")))
+    rejected = steps.filter(stepflags.failed(*stepflags.STEP_COLUMNS)).selectExpr("CAST(ts AS TIMESTAMP) AS ts", "obs_content")
+    found = computed_once(rejected, _fp=F.expr(stepflags.fingerprint("obs_content")))
+    found = found.filter(F.col("_fp").isNotNull()).withColumn("code", F.expr(stepflags.code_of("_fp")))
     if watermark:
         found = found.withWatermark("ts", watermark)
     counted = found.groupBy(F.window("ts", window), "code").agg(F.count("*").alias("count"))
