@@ -16,7 +16,10 @@ EVIDENCE_PER_RULE = 3
 RULE_PROVIDER = "rule-based"
 
 _ADVICE = ("owner", "recommended_action", "prevention", "fix_suggestion")
-_NO_EVIDENCE = F.array().cast(f"array<{EVIDENCE}>")
+
+
+def _no_evidence() -> Column:
+    return F.array().cast(f"array<{EVIDENCE}>")
 
 
 def evidence_from_hits(hits: Column) -> Column:
@@ -28,7 +31,7 @@ def evidence_from_hits(hits: Column) -> Column:
             F.lit("deterministic fingerprint").alias("why"),
         ),
     )
-    return F.coalesce(shown.cast(f"array<{EVIDENCE}>"), _NO_EVIDENCE)
+    return F.coalesce(shown.cast(f"array<{EVIDENCE}>"), _no_evidence())
 
 
 def match_rules(steps: DataFrame, runs: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def _card(rows: DataFrame, **values: Column) -> DataFrame:
         "human_note": F.lit(None).cast("string"),
         **values,
     }
-    fields["evidence"] = F.coalesce(fields["evidence"], _NO_EVIDENCE)
+    fields["evidence"] = F.coalesce(fields["evidence"], _no_evidence())
     fields["all_categories"] = F.coalesce(
         fields["all_categories"].cast(f"array<{CATEGORY_SCORE}>"), F.array().cast(f"array<{CATEGORY_SCORE}>")
     )

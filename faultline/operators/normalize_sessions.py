@@ -19,7 +19,9 @@ EDIT_MARK = r"(?:Applied edit|Edited|Updated|Modified)\s+`?([^`\n]+)`?"
 ERROR_MARK = r"(?:Error|Failed|Traceback|Aider v\S+ is not installed)"
 CONTENT_CHARS, OBSERVATION_CHARS = 2000, 4000
 
-_NO_STEPS = F.array().cast(f"array<{STEP}>")
+
+def _no_steps() -> Column:
+    return F.array().cast(f"array<{STEP}>")
 
 
 def transcript_blocks(text: Column) -> Column:
@@ -64,13 +66,13 @@ def summary_steps(record: Column) -> Column:
     error = j.child(record, "$.error")
     crash = F.when(
         j.truthy(error), F.array(step(F.lit("command"), F.lit("(aider internal)"), observation(shown(error), F.lit(1))))
-    ).otherwise(_NO_STEPS)
+    ).otherwise(_no_steps())
     commits = j.array_at(record, "$.commits")
     message = shown_at(F.try_element_at(commits, F.lit(-1)), "$.message", "")
     commit = F.when(
         F.size(commits) > 0,
         F.array(step(F.lit("finish"), F.concat(F.lit("git commit: "), message), observation(F.lit("committed"), F.lit(0)))),
-    ).otherwise(_NO_STEPS)
+    ).otherwise(_no_steps())
     return numbered(F.concat(files, crash, commit))
 
 
