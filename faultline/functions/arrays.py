@@ -8,8 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to ``value``, which is evaluated once.
+
+    A column named inside a lambda may be replaced by its expression and would then run once per
+    element; the variable of a one-element array cannot.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def group_starts(ordered: Column, key: Callable[[Column], Column]) -> Column:
-    """Positions where a new key begins in a sorted array, followed by the array's size."""
+    """Positions where a new key begins in a sorted array (a bound variable), followed by its size."""
     return F.filter(
         F.sequence(F.lit(0), F.size(ordered)),
         lambda i: (i == 0) | (i == F.size(ordered)) | (key(F.get(ordered, i)) != key(F.get(ordered, i - 1))),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
+from faultline.functions.barrier import computed_once
 from faultline.functions.sequence import join_by_chunk, with_previous
 from faultline.functions.text import shorten
 from faultline.operators.signals import signals_from_runs, signals_from_steps
@@ -137,7 +138,7 @@ def with_text(signals: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Add ``text`` to the signals of nested runs that kept ``TEXT_COLUMNS``; null where not ``wanted``."""
     failed = stepflags.failed("s.action_type", "s.observation IS NOT NULL", "s.observation.exit_code")
     kept = F.expr(f"filter(steps, s -> {is_salient(failed, 's.action_type', 's.index', 'step_count')})")
-    cut = signals.withColumn("_signals", signals_json(signals.columns)).withColumn("_kept", kept)
+    cut = computed_once(signals, _signals=signals_json(signals.columns), _kept=kept)
 
     def line(s: Column, i: Column) -> Column:
         previous = F.get(F.col("_kept"), i - 1)["index"]

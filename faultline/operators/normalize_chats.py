@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
-from faultline.functions.arrays import group_starts, groups
+from faultline.functions.arrays import group_starts, groups, let
 from faultline.functions.text import contains_any, lookup, nullif_empty, strip
 from faultline.operators.normalize_common import (
     NO_STATEMENT, metadata, numbered, observation, shown, shown_at, step, task, to_runs,
@@ -93,12 +93,16 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
     """
     entries = F.flatten(F.transform(messages, _entries))
     split = records.withColumn("_entries", F.coalesce(entries, F.array().cast("array<struct<id:string,is_call:int,pos:int,sub:int,name:string,content:string>>")))
-    sorted_ = split.withColumn("_sorted", F.array_sort(F.filter("_entries", lambda e: e["is_call"] < 2)))
-    grouped = sorted_.withColumn("_starts", group_starts(F.col("_sorted"), lambda e: e["id"]))
-    answered = grouped.withColumn(
+    grouped = let(
+        F.array_sort(F.filter("_entries", lambda e: e["is_call"] < 2)),
+        lambda ordered: let(
+            group_starts(ordered, lambda e: e["id"]), lambda starts: groups(ordered, starts)
+        ),
+    )
+    answered = split.withColumn(
         "_groups",
         F.transform(
-            groups(F.col("_sorted"), F.col("_starts")),
+            grouped,
             lambda g: F.struct(
                 F.filter(g, lambda e: e["is_call"] == 1).alias("calls"),
                 F.get(F.reverse(F.filter(g, lambda e: e["is_call"] == 0)), 0)["content"].alias("answer"),
@@ -126,7 +130,7 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
         lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(a["sub"] - b["sub"]),
     )
     return answered.withColumn(result, numbered(F.transform(ordered, lambda x: x["step"]))).drop(
-        "_entries", "_sorted", "_starts", "_groups"
+        "_entries", "_groups"
     )
 
 

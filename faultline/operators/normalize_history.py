@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import lookup, not_blank, strip
 from faultline.operators.normalize_common import numbered, observation, step, task, to_runs
 from faultline.schema import STEP
@@ -150,11 +151,13 @@ def block_text(value: Column) -> Column:
 
 
 def pair_events(records: DataFrame, events: str = "events", result: str = "steps") -> DataFrame:
-    """Replace the event array of each record by its steps."""
+    """Replace the event array of each record by its steps.
+
+    The arrays that lambdas index into are computed in a step of their own, once per record."""
     # 1. Leave out events of neither kind and cut the letters into pieces.
-    linked = records.withColumn("_linked", F.filter(events, lambda e: e["letter"] != "N"))
+    linked = computed_once(records, _linked=F.filter(events, lambda e: e["letter"] != "N"))
     letters = F.array_join(F.transform("_linked", lambda e: e["letter"]), "")
-    cut = linked.withColumn("_pieces", F.regexp_extract_all(letters, F.lit("[AO]B*|B+"), F.lit(0)))
+    cut = computed_once(linked, _pieces=F.regexp_extract_all(letters, F.lit("[AO]B*|B+"), F.lit(0)))
 
     # 2. Per piece: is an action waiting after its first letter, and after its last?
     def first_waits(piece: Column) -> Column:
@@ -173,7 +176,7 @@ def pair_events(records: DataFrame, events: str = "events", result: str = "steps
         )
 
     waiting = F.when(F.size("_pieces") > 0, F.flatten(F.transform("_pieces", before))).otherwise(F.array().cast("array<boolean>"))
-    known = cut.withColumn("_waiting", waiting)
+    known = computed_once(cut, _waiting=waiting)
 
     # 3. Each event emits at most one step, at its own position.
     def unanswered(e: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.arrays import let
 from faultline.functions.text import LINE_BREAK, matches, nullif_empty, strip
 from faultline.operators.normalize_common import (
     NO_STATEMENT, metadata, numbered, observation, shown, shown_at, step, task, to_runs,
@@ -28,15 +29,18 @@ def transcript_blocks(text: Column) -> Column:
     """Cut a transcript before every line that starts with "> ". Each block holds the action (its first
     line) and what followed; lines before the first action are dropped."""
     lines = F.concat(F.lit("\n"), F.regexp_replace(text, LINE_BREAK, "\n"))
-    blocks = F.split(lines, "\n> ")
-    return F.transform(
-        F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),
-        lambda b, i: F.struct(
-            strip(F.substring_index(b, "\n", 1)).alias("action"),
-            strip(F.when(b.contains("\n"), F.substring(b, F.instr(b, "\n") + 1, F.length(b))).otherwise("")).alias("seen"),
-            (i == F.size(blocks) - 2).alias("is_last"),
-        ),
-    )
+
+    def parts(blocks: Column) -> Column:
+        return F.transform(
+            F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),
+            lambda b, i: F.struct(
+                strip(F.substring_index(b, "\n", 1)).alias("action"),
+                strip(F.when(b.contains("\n"), F.substring(b, F.instr(b, "\n") + 1, F.length(b))).otherwise("")).alias("seen"),
+                (i == F.size(blocks) - 2).alias("is_last"),
+            ),
+        )
+
+    return let(F.split(lines, "\n> "), parts)
 
 
 def _block_step(block: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
-from faultline.functions.arrays import group_starts
+from faultline.functions.arrays import group_starts, let
 from faultline.functions.barrier import computed_once
 from faultline.functions.sqltext import quoted
 from faultline.operators.steps import catastrophic_edit, produced_patch
@@ -239,14 +239,21 @@ def _repeats(commands: Column) -> Column:
     """(command, count) of commands seen at least ``REPEATED`` times, in first-seen order.
 
     Sorting brings equal commands together; the distance between group starts is the count."""
-    ordered = F.array_sort(commands)
-    starts = group_starts(ordered, lambda c: c["command"])
-    groups = F.transform(
-        starts,
-        lambda start, j: F.struct(
-            F.get(ordered, start)["pos"].alias("pos"),
-            F.get(ordered, start)["command"].alias("command"),
-            (F.get(starts, j + 1) - start).alias("count"),
+
+    def counted(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda start, j: F.struct(
+                F.get(ordered, start)["pos"].alias("pos"),
+                F.get(ordered, start)["command"].alias("command"),
+                (F.get(starts, j + 1) - start).alias("count"),
+            ),
+        )
+
+    groups = let(
+        F.array_sort(commands),
+        lambda ordered: let(
+            group_starts(ordered, lambda c: c["command"]), lambda starts: counted(ordered, starts)
         ),
     )
     kept = F.array_sort(F.filter(groups, lambda g: g["count"] >= REPEATED))

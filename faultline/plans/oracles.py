@@ -388,17 +388,17 @@ kinded AS (SELECT doc_id, i, s, (length(s) + i) % 7 AS kind, length(trim(s, {_SP
 
 # Expects ``events(doc_id, i, letter, as_action, alone, text, seen, seen_exit, has_seen)``.
 _PAIRING = """
-, core AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM events WHERE letter <> 'N'),
-islands AS (SELECT *, sum(CASE WHEN letter <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM core),
+, core AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM events WHERE letter <> 'N'),
+islands AS (SELECT *, sum(CASE WHEN letter <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth) AS island FROM core),
 placed AS (
-  SELECT *, first_value(letter) OVER (PARTITION BY doc_id, island ORDER BY at) AS opener,
-    row_number() OVER (PARTITION BY doc_id, island ORDER BY at) - 1 AS inside FROM islands),
+  SELECT *, first_value(letter) OVER (PARTITION BY doc_id, island ORDER BY nth) AS opener,
+    row_number() OVER (PARTITION BY doc_id, island ORDER BY nth) - 1 AS inside FROM islands),
 after AS (
   -- Waiting after an event: openers A and a leading B start waiting, O does not; every B flips it.
   SELECT *, (CASE WHEN opener = 'O' THEN 0 ELSE 1 END + inside) % 2 = 1 AS waits_after FROM placed),
 state AS (
   SELECT *, coalesce(lag(waits_after) OVER w, false) AS waits, lag(as_action) OVER w AS last_action, lag(text) OVER w AS last_text,
-    lead(at) OVER w IS NULL AS is_last FROM after WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+    lead(nth) OVER w IS NULL AS is_last FROM after WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
 emitted AS (
   SELECT doc_id, i AS place, last_action AS action_type, last_text AS content, NULL AS seen, NULL AS seen_exit, false AS has_seen
   FROM state WHERE waits AND letter = 'A'
@@ -426,7 +426,7 @@ SDK = SENTENCES + f"""
     CASE kind WHEN 0 THEN 'command' WHEN 2 THEN 'file_edit' WHEN 4 THEN 'finish' ELSE 'unknown' END AS as_action,
     CASE kind WHEN 3 THEN 'command' WHEN 5 THEN 'message' ELSE 'unknown' END AS alone,
     CASE kind WHEN 0 THEN trim(s, {_SPACE}) WHEN 1 THEN '' WHEN 2 THEN trim(CASE WHEN s = '' THEN 'a' ELSE 'a ' || s END, {_SPACE})
-      WHEN 4 THEN CASE WHEN filled THEN s ELSE '' END WHEN 6 THEN ''
+      WHEN 4 THEN CASE WHEN filled THEN s ELSE '' END WHEN 6 THEN 'x' || i
       ELSE CASE WHEN filled THEN s ELSE '' END END AS text,
     CASE WHEN kind IN (3, 5) THEN s END AS seen, NULL::INTEGER AS seen_exit, kind IN (3, 5) AND s <> '' AS has_seen
   FROM kinded)
