@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultline.functions.arrays import let
+
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 _TOKEN = r'"(?:[^"\\]|\\.)*+"|[,:]|\s++|[^",:\s]++'
 
@@ -33,7 +35,8 @@ def has_key(value: Column, key: str) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """JSON type name: STRING, BIGINT, BOOLEAN, VOID, or one starting with OBJECT or ARRAY."""
+    """JSON type name: STRING, BIGINT, BOOLEAN, VOID, or one starting with OBJECT or ARRAY. It describes
+    the whole value, so it is meant for small ones."""
     return F.schema_of_variant(value)
 
 
@@ -42,11 +45,11 @@ def is_string(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def text_of(value: Column, path: str = "$") -> Column:
@@ -56,8 +59,7 @@ def text_of(value: Column, path: str = "$") -> Column:
 
 def string_at(value: Column, path: str) -> Column:
     """The member if it is a JSON string, else null."""
-    member = child(value, path)
-    return F.when(is_string(member), text_of(member))
+    return let(child(value, path), lambda member: F.when(is_string(member), text_of(member)))
 
 
 def array_at(value: Column, path: str) -> Column:
@@ -81,12 +83,16 @@ def integer_of(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """The value counts as true: not absent, null, false, zero, or empty."""
+    return let(value, _truthy)
+
+
+def _truthy(value: Column) -> Column:
     shape, text = kind(value), text_of(value)
     return F.coalesce(
         F.when(shape == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(shape == "VOID", F.lit(False))
         .when(shape == "STRING", F.length(text) > 0)
-        .when(shape.startswith("ARRAY"), text != "[]")
+        .when(shape.startswith("ARRAY"), child(value, "$[0]").isNotNull())
         .when(shape.startswith("OBJECT"), text != "{}")
         .otherwise(F.try_variant_get(value, "$", "double") != 0),
         F.lit(False),
@@ -95,7 +101,7 @@ def truthy(value: Column) -> Column:
 
 def first_truthy_text(*values: Column) -> Column:
     """Text of the first value that counts as true, else null."""
-    return F.coalesce(*[F.when(truthy(v), text_of(v)) for v in values])
+    return F.coalesce(*[let(v, lambda x: F.when(_truthy(x), text_of(x))) for v in values])
 
 
 def spaced_json(text: Column) -> Column:

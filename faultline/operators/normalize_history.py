@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.arrays import let
 from faultline.functions.barrier import computed_once
 from faultline.functions.text import lookup, not_blank, strip
 from faultline.operators.normalize_common import numbered, observation, step, task, to_runs
@@ -58,7 +59,38 @@ def _nonblank(text: Column) -> Column:
     return F.when(not_blank(text), text)
 
 
-def event_text(event: Column, replaced: dict[str, Column] | None = None) -> Column:
+# The members of an event that are looked at.
+MEMBERS = (
+    "action", "observation", "source", "type", "command", "code", "content", "thought", "message", "path", "args",
+    "output", "exit_code",
+)
+
+
+def members(event: Column, position: Column) -> Column:
+    """The event's members with text and JSON type, each read once; type and text are null where absent."""
+
+    def member(key: str) -> Column:
+        return let(
+            j.child(event, f"$.{key}"), lambda v: F.struct(j.kind(v).alias("kind"), j.text_of(v).alias("text"))
+        )
+
+    return F.struct(
+        position.alias("pos"), event.alias("event"), *[member(key).alias(key) for key in MEMBERS],
+        j.child(event, "$.extras").alias("extras"),
+    )
+
+
+def _string(member: Column) -> Column:
+    return F.when(member["kind"] == "STRING", member["text"])
+
+
+def _truthy_text(member: Column) -> Column:
+    """The member's text if it counts as true (numbers are no names and count as such)."""
+    empty = member["text"].isin("", "false", "[]", "{}", "0")
+    return F.when((member["kind"] != "VOID") & ~empty, member["text"])
+
+
+def event_text(m: Column, replaced: dict[str, Column] | None = None) -> Column:
     """The first non-blank text among the content keys, looking one level into objects; else the
     arguments as JSON."""
     replaced = replaced or {}
@@ -67,70 +99,83 @@ def event_text(event: Column, replaced: dict[str, Column] | None = None) -> Colu
         if key in replaced:
             candidates.append(_nonblank(replaced[key]))
             continue
-        candidates.append(_nonblank(j.string_at(event, f"$.{key}")))
-        candidates += [_nonblank(j.string_at(event, f"$.{key}.{sub}")) for sub in CONTENT_SUBKEYS]
-    args = j.child(event, "$.args")
-    rendered = F.when(j.truthy(args), F.substring(j.spaced_json(F.to_json(args)), 1, ARGS_CHARS))
+        inner = [_nonblank(j.string_at(m["event"], f"$.{key}.{sub}")) for sub in CONTENT_SUBKEYS]
+        candidates.append(
+            F.when(m[key]["kind"] == "STRING", _nonblank(m[key]["text"])).when(
+                m[key]["kind"].startswith("OBJECT"), F.coalesce(*inner)
+            )
+        )
+    rendered = F.when(_truthy_text(m["args"]).isNotNull(), F.substring(j.spaced_json(
+        F.when(m["args"]["kind"] == "STRING", F.to_json(j.child(m["event"], "$.args"))).otherwise(m["args"]["text"])
+    ), 1, ARGS_CHARS))
     return F.coalesce(*candidates, rendered, F.lit(""))
 
 
-def event_observation(event: Column) -> Column:
+def event_observation(m: Column) -> Column:
     """The event as an observation: its first text and the last valid exit code; null without both."""
-    content = F.coalesce(*[j.string_at(event, f"$.{key}") for key in OBSERVATION_KEYS], F.lit(""))
-    code = F.coalesce(j.integer_of(j.child(event, "$.extras.exit_code")), j.integer_of(j.child(event, "$.exit_code")))
-    extra = F.coalesce(F.try_variant_get(event, "$.extras", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.when((F.length(content) > 0) | code.isNotNull(), observation(content, code, extra))
+    content = F.coalesce(*[_string(m[key]) for key in OBSERVATION_KEYS], F.lit(""))
+    own = F.when(m["exit_code"]["kind"].isNotNull(), j.integer_of(j.child(m["event"], "$.exit_code")))
+    code = F.when(m["extras"].isNotNull(), F.coalesce(j.integer_of(j.child(m["extras"], "$.exit_code")), own)).otherwise(own)
+    extra = F.coalesce(F.try_variant_get(m["extras"], "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return let(
+        F.struct(content.alias("content"), code.alias("code")),
+        lambda o: F.when(
+            (F.length(o["content"]) > 0) | o["code"].isNotNull(), observation(o["content"], o["code"], extra)
+        ),
+    )
 
 
-def _first_name(*values: Column) -> Column:
-    return F.coalesce(j.first_truthy_text(*values), F.lit(""))
+def _first_name(*found: Column) -> Column:
+    return F.coalesce(*[_truthy_text(m) for m in found], F.lit(""))
 
 
-def plain_event(event: Column, position: Column, extra_types: dict[str, str] | None = None) -> Column:
-    """What pairing needs to know of one event."""
-    source = j.string_at(event, "$.source")
-    action, observed, type_ = (j.child(event, f"$.{k}") for k in ("action", "observation", "type"))
+def plain_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
+    """What pairing needs to know of one event (its ``members``)."""
     return _event(
-        position,
-        acts=action.isNotNull() | source.eqNullSafe("agent"),
-        observes=observed.isNotNull() | source.eqNullSafe("environment"),
-        as_action=action_type(_first_name(action, type_), extra_types),
-        alone=action_type(_first_name(action, observed, type_), extra_types),
-        text=event_text(event), seen=event_observation(event), raw=j.text_of(action),
+        m["pos"],
+        acts=m["action"]["kind"].isNotNull() | m["source"]["text"].eqNullSafe("agent"),
+        observes=m["observation"]["kind"].isNotNull() | m["source"]["text"].eqNullSafe("environment"),
+        as_action=action_type(_first_name(m["action"], m["type"]), extra_types),
+        alone=action_type(_first_name(m["action"], m["observation"], m["type"]), extra_types),
+        text=event_text(m), seen=event_observation(m), raw=m["action"]["text"],
     )
 
 
-def sdk_event(event: Column, position: Column, extra_types: dict[str, str] | None = None) -> Column:
+def sdk_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
     """The same for events whose action is an object with a ``kind`` and whose texts are block lists."""
-    source = j.string_at(event, "$.source")
-    action, observed, type_ = (j.child(event, f"$.{k}") for k in ("action", "observation", "type"))
-    structured = j.is_object(action)
-    kind = F.coalesce(j.text_of(action, "$.kind"), F.lit(""))
+    structured = F.coalesce(m["action"]["kind"].startswith("OBJECT"), F.lit(False))
+    kind = F.coalesce(j.text_of(m["event"], "$.action.kind"), F.lit(""))
     kind = F.lower(F.when(kind.endswith("Action"), F.replace(kind, F.lit("Action"), F.lit(""))).otherwise(kind))
 
     def flattened(key: str) -> Column:
-        own, inner = j.child(event, f"$.{key}"), j.child(action, f"$.{key}")
-        return F.when(structured, block_text(F.coalesce(own, inner))).otherwise(j.string_at(event, f"$.{key}"))
+        own, inner = j.child(m["event"], f"$.{key}"), j.child(m["event"], f"$.action.{key}")
+        return F.when(structured, block_text(F.coalesce(own, inner))).otherwise(_string(m[key]))
 
-    name = F.when(structured, F.coalesce(F.nullif(kind, F.lit("")), j.first_truthy_text(type_), F.lit(""))).otherwise(
-        _first_name(action, type_)
-    )
+    name = F.when(
+        structured, F.coalesce(F.nullif(kind, F.lit("")), _truthy_text(m["type"]), F.lit(""))
+    ).otherwise(_first_name(m["action"], m["type"]))
     seen_name = F.when(
-        j.is_object(observed), F.coalesce(j.string_at(observed, "$.content"), F.lit(""))
-    ).otherwise(j.first_truthy_text(observed))
+        m["observation"]["kind"].startswith("OBJECT"), j.string_at(m["event"], "$.observation.content")
+    ).otherwise(_truthy_text(m["observation"]))
     alone = F.when(structured, name).otherwise(
-        F.coalesce(j.first_truthy_text(action), F.nullif(seen_name, F.lit("")), j.first_truthy_text(type_), F.lit(""))
+        F.coalesce(_truthy_text(m["action"]), F.nullif(seen_name, F.lit("")), _truthy_text(m["type"]), F.lit(""))
     )
     return _event(
-        position,
-        acts=action.isNotNull() | source.eqNullSafe("agent"),
-        observes=observed.isNotNull() | source.eqNullSafe("environment"),
+        m["pos"],
+        acts=m["action"]["kind"].isNotNull() | m["source"]["text"].eqNullSafe("agent"),
+        observes=m["observation"]["kind"].isNotNull() | m["source"]["text"].eqNullSafe("environment"),
         as_action=action_type(name, extra_types), alone=action_type(alone, extra_types),
-        text=event_text(event, {k: flattened(k) for k in ("thought", "message")}),
-        seen=event_observation(event), raw=F.when(structured, kind).otherwise(j.text_of(action)),
+        text=event_text(m, {k: flattened(k) for k in ("thought", "message")}),
+        seen=event_observation(m), raw=F.when(structured, kind).otherwise(m["action"]["text"]),
     )
 
 
+def with_events(records: DataFrame, history: Column, read, extra_types: dict[str, str] | None) -> DataFrame:
+    """Read the members of every event once, then describe the events by them."""
+    read_once = computed_once(records, _members=F.transform(history, members))
+    return computed_once(read_once, events=F.transform("_members", lambda m: read(m, extra_types))).drop("_members")
+
+
 def _event(position, acts, observes, as_action, alone, text, seen, raw) -> Column:
     letter = F.when(acts & observes, "B").when(acts, "A").when(observes, "O").otherwise("N")
     return F.struct(
@@ -210,12 +255,13 @@ def pair_events(records: DataFrame, events: str = "events", result: str = "steps
 
 
 def _history(record: Column) -> Column:
-    """The event list: the record itself if it is a list, else ``history`` or ``events``."""
-    return F.when(j.is_array(record), j.array_at(record, "$")).otherwise(
-        F.when(j.truthy(j.child(record, "$.history")), j.array_at(record, "$.history")).otherwise(
-            j.array_at(record, "$.events")
-        )
-    )
+    """The event list: the record itself if it is a list, else ``history`` or ``events``. Only the first
+    elements are looked at to tell them apart, as a record may be large."""
+    paths = ("$", "$.history", "$.events")
+    case = F.when(j.child(record, "$[0]").isNotNull(), F.try_variant_get(record, "$", "array<variant>"))
+    for path in paths[1:]:
+        case = case.when(j.child(record, f"{path}[0]").isNotNull(), F.try_variant_get(record, path, "array<variant>"))
+    return F.coalesce(case, F.array().cast("array<variant>"))
 
 
 def _boolean(value: Column) -> Column:
@@ -232,10 +278,7 @@ def normalize_histories(
     outcome makes a test result. Without it the presence of the key alone makes one.
     """
     r = F.col("record")
-    events = records.withColumn(
-        "events", F.transform(_history(r), lambda e, i: plain_event(e, i, extra_types))
-    )
-    rows = pair_events(events)
+    rows = pair_events(with_events(records, _history(r), plain_event, extra_types))
     top, block = j.child(r, "$.resolved"), j.child(r, "$.test_result.resolved")
     unknown = F.lit("unknown") if keep_unnumbered_id is None else keep_unnumbered_id
     instance_id = F.coalesce(
@@ -273,11 +316,7 @@ def _test_result(passed: Column) -> Column:
 def normalize_sdk(records: DataFrame, extra_types: dict[str, str] | None = None) -> DataFrame:
     """Runs from records ``record VARIANT, file_stem STRING``, one per trace file."""
     r = F.col("record")
-    rows = pair_events(
-        records.withColumn(
-            "events", F.transform(j.array_at(r, "$.events"), lambda e, i: sdk_event(e, i, extra_types))
-        )
-    )
+    rows = pair_events(with_events(records, j.array_at(r, "$.events"), sdk_event, extra_types))
     instance_id = F.coalesce(j.text_of(r, "$.instance_id"), F.col("file_stem"))
     return to_runs(
         rows,

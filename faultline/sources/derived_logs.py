@@ -16,11 +16,17 @@ KINDS = 7
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     sentences = F.split(F.regexp_replace("text", LINE_BREAK, "."), r"\.")
     return docs.select("doc_id", sentences.alias("s"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores when the files have fewer splits than that; larger inputs stay where they are."""
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def _kind(sentence: Column, i: Column) -> Column:
     return (F.length(sentence) + i) % KINDS
 
