@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.arrays import let
 from faultline.schema import OBSERVATION, RUN_DDL, STEP, struct
 
 NO_STATEMENT = "No problem statement provided."
@@ -40,18 +41,17 @@ def numbered(steps: Column) -> Column:
 
 def shown(value: Column) -> Column:
     """Text of a present value the way the logs' own tools print it: ``None``, ``True``, ``False``."""
-    kind = j.kind(value)
-    return (
-        F.when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(j.text_of(value)))
-        .otherwise(j.text_of(value))
+    text = j.text_of(value)
+    capital = F.when(text == "true", "True").when(text == "false", "False")
+    return F.coalesce(
+        F.when(text.isin("true", "false"), F.when(j.kind(value) == "BOOLEAN", capital)), text,
+        F.when(value.isNotNull(), "None"),
     )
 
 
 def shown_at(record: Column, path: str, default: str) -> Column:
     """Printed member, or ``default`` where the key is absent."""
-    member = j.child(record, path)
-    return F.when(member.isNull(), F.lit(default)).otherwise(shown(member))
+    return F.coalesce(let(j.child(record, path), shown), F.lit(default))
 
 
 def task(task_id: Column, source: str, repo: Column, base_commit: Column, statement: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
 from faultline.functions.arrays import let
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import LINE_BREAK, matches, nullif_empty, strip
 from faultline.operators.normalize_common import (
     NO_STATEMENT, metadata, numbered, observation, shown, shown_at, step, task, to_runs,
@@ -88,9 +89,8 @@ def normalize_sessions(records: DataFrame) -> DataFrame:
     code = F.when(status.isNull(), j.truthy(error).cast("int")).otherwise(j.integer_of(status))
     commits = j.array_at(r, "$.commits")
     history = j.child(r, "$.chat_history")
-    rows = records.withColumn("_exit", code).filter(F.col("_exit").isNotNull()).withColumn(
-        "_blocks", F.when(j.truthy(history), transcript_blocks(shown(history)))
-    )
+    checked = computed_once(records, _exit=code).filter(F.col("_exit").isNotNull())
+    rows = computed_once(checked, _blocks=let(history, lambda h: F.when(j.truthy(h), transcript_blocks(shown(h)))))
     instance_id = F.when(j.has_key(r, "instance_id"), shown(j.child(r, "$.instance_id"))).otherwise(
         shown_at(r, "$.task_id", "aider-run")
     )

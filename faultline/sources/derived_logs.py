@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import LINE_BREAK
 
 KINDS = 7
@@ -49,7 +50,7 @@ def _list(items: Column) -> Column:
 
 def _record(docs: DataFrame, *members: Column) -> DataFrame:
     text = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-    return docs.select("doc_id", j.parse_strict(text).alias("record"))
+    return computed_once(docs, record=j.parse_strict(text)).select("doc_id", "record")
 
 
 def _member(name: str, json_text: Column) -> Column:
