@@ -27,7 +27,6 @@ def _re(text: str, pattern: str) -> str:
 
 _CODES = "[" + ", ".join(_q(c) for c in CODES) + "]"
 _SPACE = "'" + "".join(c if c != "'" else "''" for c in WHITESPACE) + "'"
-_EXCLUSIVE = ("first_edit", "last_assert")
 
 RUNS = r"""
 ev AS (
@@ -225,7 +224,7 @@ cites AS (
     (VALUES (0, 0, 2, 'third'), (0, 1, 0, 'first'), (0, 2, 1, ''), (0, 3, 999999, ''), (1, 0, 1, ''), (3, 0, 0, ''))
     AS c(kind, pos, step_index, why) ON runs.rk % 6 = c.kind),
 cited AS (
-  SELECT c.run_id, c.pos AS rank, c.step_index, left(s.content, 200) AS excerpt, c.why
+  SELECT c.run_id, row_number() OVER (PARTITION BY c.run_id ORDER BY c.pos) - 1 AS rank, c.step_index, left(s.content, 200) AS excerpt, c.why
   FROM cites c JOIN steps s ON s.run_id = c.run_id AND s.idx = c.step_index)
 """
 
