@@ -73,7 +73,7 @@ def _record_lines(spark: SparkSession, paths) -> DataFrame:
 def _record_documents(spark: SparkSession, paths) -> DataFrame:
     """The records of whole files: an array's objects, or a single object. Broken files give no row."""
     value = j.parse_strict(F.col("value"))
-    documents = computed_once(spark.read.option("wholetext", True).text(paths), value=value)
+    documents = computed_once(spark.read.text(paths, wholetext=True), value=value)
     items = F.when(j.is_array(F.col("value")), j.array_at(F.col("value"), "$")).otherwise(F.array("value"))
     return documents.filter(F.col("value").isNotNull()).select(F.explode(items).alias("record")).filter(
         j.is_object(F.col("record"))
@@ -101,7 +101,7 @@ def read_raw_records(spark: SparkSession, path, layout: str = "auto") -> DataFra
     other = [k["file"] for k in kinds if not (k["object"] and k["whole"])]
     if other:
         # A broken first line, or a document spread over lines? Only a document parses as a whole.
-        texts = spark.read.option("wholetext", True).text(other)
+        texts = spark.read.text(other, wholetext=True)
         parsed = texts.filter(j.parse_strict(F.col("value")).isNotNull()).select(F.col("_metadata.file_path").alias("file"))
         documents = {row["file"] for row in parsed.collect()}
         line_files += [k["file"] for k in kinds if k["object"] and not k["whole"] and k["file"] not in documents]
@@ -130,12 +130,10 @@ def read_chats(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
 
 
 def _whole_files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
-    if name:
-        reader = reader.option("pathGlobFilter", name)
+    documents = spark.read.text(path, wholetext=True, pathGlobFilter=name)
     message = F.concat(F.lit("not a JSON document: "), F.col("_metadata.file_path"))
     parsed = j.parse_strict(F.col("value"))
-    return reader.text(path).select(
+    return documents.select(
         F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("variant")).alias("record"),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file_stem"),
     )
