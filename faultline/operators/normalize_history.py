@@ -66,17 +66,20 @@ MEMBERS = (
 )
 
 
+_MEMBERS_TYPE = "struct<" + ",".join(f"`{key}`:variant" for key in (*MEMBERS, "extras")) + ">"
+
+
 def members(event: Column, position: Column) -> Column:
-    """The event's members with text and JSON type, each read once; type and text are null where absent."""
+    """The event's members with value, JSON type and text, taken apart in one go; null where absent."""
 
-    def member(key: str) -> Column:
-        return let(
-            j.child(event, f"$.{key}"), lambda v: F.struct(j.kind(v).alias("kind"), j.text_of(v).alias("text"))
-        )
+    def member(v: Column) -> Column:
+        return F.struct(v.alias("value"), j.kind(v).alias("kind"), j.text_of(v).alias("text"))
 
-    return F.struct(
-        position.alias("pos"), event.alias("event"), *[member(key).alias(key) for key in MEMBERS],
-        j.child(event, "$.extras").alias("extras"),
+    return let(
+        F.try_variant_get(event, "$", _MEMBERS_TYPE),
+        lambda e: F.struct(
+            position.alias("pos"), *[member(e[key]).alias(key) for key in MEMBERS], e["extras"].alias("extras")
+        ),
     )
 
 
@@ -99,14 +102,14 @@ def event_text(m: Column, replaced: dict[str, Column] | None = None) -> Column:
         if key in replaced:
             candidates.append(_nonblank(replaced[key]))
             continue
-        inner = [_nonblank(j.string_at(m["event"], f"$.{key}.{sub}")) for sub in CONTENT_SUBKEYS]
+        inner = [_nonblank(j.string_at(m[key]["value"], f"$.{sub}")) for sub in CONTENT_SUBKEYS]
         candidates.append(
             F.when(m[key]["kind"] == "STRING", _nonblank(m[key]["text"])).when(
                 m[key]["kind"].startswith("OBJECT"), F.coalesce(*inner)
             )
         )
     rendered = F.when(_truthy_text(m["args"]).isNotNull(), F.substring(j.spaced_json(
-        F.when(m["args"]["kind"] == "STRING", F.to_json(j.child(m["event"], "$.args"))).otherwise(m["args"]["text"])
+        F.when(m["args"]["kind"] == "STRING", F.to_json(m["args"]["value"])).otherwise(m["args"]["text"])
     ), 1, ARGS_CHARS))
     return F.coalesce(*candidates, rendered, F.lit(""))
 
@@ -114,7 +117,7 @@ def event_text(m: Column, replaced: dict[str, Column] | None = None) -> Column:
 def event_observation(m: Column) -> Column:
     """The event as an observation: its first text and the last valid exit code; null without both."""
     content = F.coalesce(*[_string(m[key]) for key in OBSERVATION_KEYS], F.lit(""))
-    own = F.when(m["exit_code"]["kind"].isNotNull(), j.integer_of(j.child(m["event"], "$.exit_code")))
+    own = F.when(m["exit_code"]["kind"].isNotNull(), j.integer_of(m["exit_code"]["value"]))
     code = F.when(m["extras"].isNotNull(), F.coalesce(j.integer_of(j.child(m["extras"], "$.exit_code")), own)).otherwise(own)
     extra = F.coalesce(F.try_variant_get(m["extras"], "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return let(
@@ -144,18 +147,18 @@ def plain_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
 def sdk_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
     """The same for events whose action is an object with a ``kind`` and whose texts are block lists."""
     structured = F.coalesce(m["action"]["kind"].startswith("OBJECT"), F.lit(False))
-    kind = F.coalesce(j.text_of(m["event"], "$.action.kind"), F.lit(""))
+    kind = F.coalesce(j.text_of(m["action"]["value"], "$.kind"), F.lit(""))
     kind = F.lower(F.when(kind.endswith("Action"), F.replace(kind, F.lit("Action"), F.lit(""))).otherwise(kind))
 
     def flattened(key: str) -> Column:
-        own, inner = j.child(m["event"], f"$.{key}"), j.child(m["event"], f"$.action.{key}")
+        own, inner = m[key]["value"], j.child(m["action"]["value"], f"$.{key}")
         return F.when(structured, block_text(F.coalesce(own, inner))).otherwise(_string(m[key]))
 
     name = F.when(
         structured, F.coalesce(F.nullif(kind, F.lit("")), _truthy_text(m["type"]), F.lit(""))
     ).otherwise(_first_name(m["action"], m["type"]))
     seen_name = F.when(
-        m["observation"]["kind"].startswith("OBJECT"), j.string_at(m["event"], "$.observation.content")
+        m["observation"]["kind"].startswith("OBJECT"), j.string_at(m["observation"]["value"], "$.content")
     ).otherwise(_truthy_text(m["observation"]))
     alone = F.when(structured, name).otherwise(
         F.coalesce(_truthy_text(m["action"]), F.nullif(seen_name, F.lit("")), _truthy_text(m["type"]), F.lit(""))
