@@ -78,8 +78,9 @@ def _fit_stepwise(groups: DataFrame, lr: float, steps: int) -> DataFrame:
 
 def calibrate(scores: DataFrame, parameters: DataFrame, column: str = "confidence") -> DataFrame:
     """Add ``calibrated``; ``parameters`` is the one-row table of ``fit_platt``."""
-    one = F.broadcast(parameters.select(F.col("a").alias("_a"), F.col("b").alias("_b")).limit(1))
-    return scores.join(one).withColumn("calibrated", sigmoid(F.col("_a") * F.col(column) + F.col("_b"))).drop("_a", "_b")
+    fitted = scores.withColumn("_fit", parameters.select(F.struct("a", "b")).scalar())
+    line = F.col("_fit.a") * F.col(column) + F.col("_fit.b")
+    return fitted.withColumn("calibrated", sigmoid(line)).drop("_fit")
 
 
 def bin_of(confidence: Column, bins: int = BINS) -> Column:
@@ -118,8 +119,7 @@ def calibration_error(pairs: DataFrame, bins: int = BINS) -> DataFrame:
         F.coalesce(F.sum(F.abs("gap") * F.col("count")), F.lit(0.0)).alias("weighted"),
         F.coalesce(F.max(F.abs("gap")), F.lit(0.0)).alias("mce"),
     )
-    n = pairs.agg(F.count("*").alias("n"))
-    return sums.join(n).select(  # one row each
+    return sums.withColumn("n", pairs.agg(F.count("*")).scalar()).select(
         F.round(F.when(F.col("n") > 0, F.col("weighted") / F.col("n")).otherwise(0.0), 4).alias("ece"),
         F.round("mce", 4).alias("mce"), "n",
     )

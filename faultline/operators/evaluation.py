@@ -170,7 +170,8 @@ def report(pairs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """The one-row evaluation report, rounded to four decimals."""
     numbers = agreement(pairs).select("n", F.round("accuracy", 4).alias("accuracy"), F.round("kappa", 4).alias("kappa"))
     interval = bootstrap_interval(pairs, iterations)
-    return numbers.join(interval.select(*[F.round(c, 4).alias(c) for c in interval.columns]))
+    bounds = interval.select(F.struct(*[F.round(c, 4).alias(c) for c in interval.columns]))
+    return numbers.withColumn("_bounds", bounds.scalar()).select("*", "_bounds.*").drop("_bounds")
 
 
 def half_split(pairs: DataFrame, key: str = "run_id", seed: int = SEED) -> DataFrame:
@@ -184,10 +185,9 @@ def half_split(pairs: DataFrame, key: str = "run_id", seed: int = SEED) -> DataF
         pairs.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 4)),
         [], "_bucket", ["_digest"], "_rank",
     )
-    total = pairs.agg(F.count("*").alias("_total"))
-    split = ranked.join(F.broadcast(total))  # one row
-    half = F.when(F.col("_rank") < F.ceil(F.col("_total") / 2), 1).otherwise(2)
-    return split.withColumn("half", half).drop("_digest", "_bucket", "_rank", "_total")
+    total = pairs.agg(F.count("*")).scalar()
+    half = F.when(F.col("_rank") < F.ceil(total / 2), 1).otherwise(2)
+    return ranked.withColumn("half", half).drop("_digest", "_bucket", "_rank")
 
 
 # ---------------------------------------------------------------------------------------------

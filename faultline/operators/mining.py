@@ -100,6 +100,13 @@ def cluster_report(texts: DataFrame, k: int = CLUSTERS, key: str = "run_id", n_t
     return sizes.join(top, "cluster").join(shown, "cluster")
 
 
+def explain_other(cards: DataFrame, k: int = CLUSTERS) -> DataFrame:
+    """Clusters of the OTHER cards, or their keywords when there are fewer cards than clusters."""
+    texts = other_bucket(cards).select("run_id", card_text().alias("text"))
+    enough = texts.limit(k).count() == k
+    return cluster_report(texts, k) if enough else top_keywords(texts)
+
+
 # ---------------------------------------------------------------------------------------------
 # Rules from labels
 

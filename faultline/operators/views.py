@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.schema import CORRECTION_DDL
+from faultline.schema import CORRECTION_DDL, struct
 from faultline.taxonomy import is_code, taxonomy, with_taxonomy
 
 TREND_LIMIT, CORRECTIONS_LIMIT = 500, 1000
@@ -166,13 +166,7 @@ def correction_rows(requests: DataFrame, cards: DataFrame) -> DataFrame:
     return joined.select(
         "run_id", F.coalesce("auto_label", F.lit("unknown")).alias("auto_label"), "true_label", "note",
         F.col("created_at").cast("double").alias("created_at"),
-    ).to(_correction_schema())
-
-
-def _correction_schema():
-    from faultline.schema import struct
-
-    return struct(CORRECTION_DDL)
+    ).to(struct(CORRECTION_DDL))
 
 
 def latest_corrections(corrections: DataFrame, limit: int = 100) -> DataFrame:

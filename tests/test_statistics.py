@@ -118,6 +118,18 @@ def test_keywords_need_whole_words(spark):
     assert [tuple(r) for r in mining.top_keywords(texts).collect()] == [("timeout", 2), ("timeout_x", 1)]
 
 
+def test_few_other_cards_give_keywords(spark):
+    cards = spark.createDataFrame(
+        [("1", "OTHER", "strange failure", []), ("2", "SCOPING", "ignored", [])],
+        "run_id STRING, primary_category STRING, root_cause STRING, evidence ARRAY<STRUCT<step_index: INT, excerpt: STRING, why: STRING>>")
+    assert [r.term for r in mining.explain_other(cards).collect()] == ["failure", "strange"]
+
+
+def test_report_row(spark):
+    row = evaluation.report(_pairs(spark, [("A", "A")] * 6 + [("A", "B"), ("B", "B")]), 200).first()
+    assert row.n == 8 and row.accuracy == 0.875 and 0 <= row.accuracy_low <= 0.875 <= row.accuracy_high <= 1
+
+
 def test_clusters_and_tree(spark):
     texts = spark.createDataFrame([(str(i), ["apple pie sugar", "engine wheel brake"][i % 2]) for i in range(20)], "run_id STRING, text STRING")
     report = {tuple(r.members): r["size"] for r in mining.cluster_report(texts, 2).collect()}
