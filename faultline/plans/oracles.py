@@ -465,8 +465,7 @@ SUMMARIES = SENTENCES + """
   UNION ALL SELECT doc_id, 1, 0, 'command', '(aider internal)', 'crash ' || doc_id, 1 FROM documents WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 2, 0, 'finish', 'git commit: fix ' || doc_id, 'committed', 0 FROM documents WHERE doc_id % 3 = 0),
 sessions AS (
-  SELECT doc_id, coalesce(doc_id % 5 <> 0 AND doc_id % 2 = 1, false) OR (doc_id % 5 = 0 AND doc_id % 4 = 0) AS nonzero,
-    CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS code, doc_id % 4 = 0 AS crashed,
+  SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS code, doc_id % 4 = 0 AS crashed,
     EXISTS (SELECT 1 FROM kinded k WHERE k.doc_id = d.doc_id AND kind = 2) AS edited FROM documents d)
 """
 CHATS = SENTENCES + """
@@ -670,6 +669,11 @@ ORACLES: dict[str, str] = {
     "chat_steps": f"""WITH {CHATS} SELECT 'acr-doc-' || doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) - 1 AS index, action_type, content,
         seen IS NOT NULL AS has_obs, left(seen, 4000) AS obs_content,
         CASE WHEN seen IS NULL THEN NULL WHEN regexp_matches(lower(seen), 'error|traceback|not found|failed') THEN 1 ELSE 0 END AS exit_code FROM all_steps""",
+    "all_formats": f"""SELECT agent, (SELECT count(*) FROM documents) AS runs, steps, failed FROM (
+        SELECT 'openhands' AS agent, (WITH {HISTORY} SELECT count(*) FROM emitted) AS steps, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 1) AS failed
+        UNION ALL SELECT 'swe-agent', (WITH {ACTIONS} SELECT count(*) FROM entries), (SELECT count(*) FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 4 <> 0))
+        UNION ALL SELECT 'aider', (WITH {SUMMARIES} SELECT count(*) FROM items), (WITH {SUMMARIES} SELECT count(*) FROM sessions WHERE NOT (code = 0 AND NOT crashed AND edited))
+        UNION ALL SELECT 'autocoderover', (WITH {CHATS} SELECT count(*) FROM all_steps), (SELECT count(*) FROM documents))""",
     "tumbling_fingerprints": _sig(
         "SELECT strftime(s.ts, '%Y-%m-%d') AS day, f.code, count(*) AS count FROM fp f JOIN steps s ON s.run_id = f.run_id AND s.idx = f.step_index GROUP BY 1, 2"),
 }
