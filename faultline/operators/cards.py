@@ -58,27 +58,32 @@ def response_cards(undecided: DataFrame, verdicts: DataFrame, provider: str) ->
     ``verdicts`` holds the columns of ``read_responses`` and ``evidence``.
     """
     both = undecided.select("run_id", "task_id", "agent", "model").join(
-        verdicts.select(
-            "run_id", "parsed", "primary_category", "secondary_category", "confidence", "all_categories",
-            "root_cause", "evidence",
-        ),
-        "run_id", "left",
+        verdicts.select("run_id", *_VERDICT), "run_id", "left"
     )
+    return _card(both, **_answer(provider))
+
+
+_VERDICT = (
+    "parsed", "primary_category", "secondary_category", "confidence", "all_categories", "root_cause", "evidence"
+)
+
+
+def _answer(provider: str) -> dict[str, Column]:
+    """The card fields a verdict gives; without a readable one those of the fallback card."""
     ok = F.coalesce("parsed", F.lit(False))
     reason = F.when(F.col("parsed").isNull(), F.lit("no response")).otherwise(F.lit("No JSON object found in model response"))
-    return _card(
-        both,
-        primary_category=F.when(ok, F.col("primary_category")).otherwise("OTHER"),
-        secondary_category=F.when(ok, F.col("secondary_category")),
-        confidence=F.when(ok, F.col("confidence")).otherwise(0.0),
-        classifier=F.lit("llm"),
-        all_categories=F.when(ok, F.col("all_categories")),
-        root_cause=F.when(ok, F.col("root_cause")).otherwise(
+    return {
+        "primary_category": F.when(ok, F.col("primary_category")).otherwise("OTHER"),
+        "secondary_category": F.when(ok, F.col("secondary_category")),
+        "confidence": F.when(ok, F.col("confidence")).otherwise(0.0),
+        "classifier": F.lit("llm"),
+        "all_categories": F.when(ok, F.col("all_categories")),
+        "root_cause": F.when(ok, F.col("root_cause")).otherwise(
             F.concat(F.lit("Classification unavailable: Provider error: "), reason)
         ),
-        evidence=F.when(ok, F.col("evidence")),
-        provider=F.lit(provider),
-    )
+        "evidence": F.when(ok, F.col("evidence")),
+        "provider": F.lit(provider),
+    }
 
 
 def _card(rows: DataFrame, **values: Column) -> DataFrame:
@@ -112,18 +117,29 @@ def classify_steps(
     provider: str = "offline", created_at: Column | None = None,
 ) -> DataFrame:
     """Cards for a steps table: rule cards, response cards and fallback cards in one frame."""
-    matched = match_rules(steps, runs)
-    if not use_rules:
-        matched = matched.withColumn("rule_id", F.lit(None).cast("string"))
-    undecided = matched.filter(F.col("rule_id").isNull())
     if responses is None:
-        responses = steps.sparkSession.createDataFrame([], "run_id STRING, text STRING")
+        responses = steps.sparkSession.sql("SELECT '' AS run_id, '' AS text WHERE false")
     verdicts = read_responses(responses)
     verdicts = verdicts.join(cited_evidence(verdicts, steps), "run_id", "left")
-    cards = response_cards(undecided, verdicts, provider)
-    if use_rules:
-        cards = rule_cards(matched).unionByName(cards)
-    return finish_cards(cards, created_at)
+    if not use_rules:
+        return finish_cards(response_cards(runs, verdicts, provider), created_at)
+    return finish_cards(_merged_cards(match_rules(steps, runs), verdicts, provider), created_at)
+
+
+def _merged_cards(matched: DataFrame, verdicts: DataFrame, provider: str) -> DataFrame:
+    """Rule cards and response cards from one join with one row per run on either side, so that the
+    steps behind ``matched`` are read for both at once."""
+    ruled = matched.select(
+        "run_id", "task_id", "agent", "model", F.col("rule_id").isNotNull().alias("_by_rule"), "rule_code",
+        "rule_confidence", "rule_rationale", F.col("evidence").alias("_rule_evidence"),
+    )
+    both = ruled.join(verdicts.select("run_id", *_VERDICT), "run_id", "left")
+    by_rule, answer = F.col("_by_rule"), _answer(provider)
+    rule = {
+        "primary_category": F.col("rule_code"), "confidence": F.col("rule_confidence"), "classifier": F.lit("rule"),
+        "root_cause": F.col("rule_rationale"), "evidence": F.col("_rule_evidence"), "provider": F.lit(RULE_PROVIDER),
+    }
+    return _card(both, **{n: F.when(by_rule, rule.get(n)).otherwise(c) if n in rule else F.when(~by_rule, c) for n, c in answer.items()})
 
 
 def with_corrections(cards: DataFrame, corrections: DataFrame) -> DataFrame:
