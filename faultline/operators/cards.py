@@ -159,7 +159,7 @@ def percent(value: Column) -> Column:
 
 
 def markdown(created_at: Column | None = None) -> Column:
-    """The card as a Markdown note."""
+    """The card as a Markdown note; its headings are fixed values."""
     c = F.col
     model = F.when(F.length("model") > 0, F.concat(F.lit("  ·  **Model**: "), c("model"))).otherwise("")
     scores = F.array_join(

@@ -13,7 +13,6 @@ from faultline.operators.normalize_actions import normalize_action_lists
 from faultline.operators.normalize_chats import normalize_chats
 from faultline.operators.normalize_history import normalize_histories, normalize_sdk
 from faultline.operators.normalize_sessions import normalize_sessions
-from faultline.operators.rules import apply_rules
 from faultline.plans.classify import classify_runs
 from faultline.sources import derived, derived_logs
 from faultline.sources.records import ingest_counts, union_runs
