@@ -39,6 +39,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the value written as text, modulo ``divisor``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
