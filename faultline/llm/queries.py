@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import pieces, quality, token_counts, toxicity
+from faultline.llm import decontaminate, pieces, quality, token_counts, token_files, toxicity, warc
 from faultline.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.model_of(docs, labels(spark, sf_dir))
     return toxicity.predicted(quality.quality(docs, model), 0.5)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, shuffle_width(spark))
+    return token_files.digests(read)
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_records(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.occurrences(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.hit_counts(found)
