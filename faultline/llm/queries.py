@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, pieces, quality, token_counts, token_files, toxicity, warc
+from faultline.llm import decontaminate, fingerprints, language_model, pieces, quality, token_counts, token_files, toxicity, warc
 from faultline.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.occurrences(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.hit_counts(found)
+
+
+@query
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(documents(spark, sf_dir), 4 * shuffle_width(spark))
+    return fingerprints.digests(found)
