@@ -4,13 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm.common import documents, written
+from faultline.llm import decontaminate, near_dedup, pieces, quality, toxicity
+from faultline.llm.common import documents, labels, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.7 or more for toxicity go."""
+    return toxicity.without_toxic(docs, toxicity.model_of(docs, labels(spark, sf_dir)))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below 0.5 for quality go."""
+    return quality.of_quality(docs, quality.model_of(docs, labels(spark, sf_dir)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays."""
+    return near_dedup.without_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text with the end id, their number, and the digests of the ids and of what they decode to."""
+    keep = ("doc_id", "lang", "source")
+    encoded = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
+    return pieces.digests(encoded, *keep, "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", tokenise),
+]
 
 #: SQL can express neither the fitted classifiers nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL: str | None = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, fingerprints, language_model, pieces, quality, token_counts, token_files, toxicity, warc
+from faultline.llm import decontaminate, fingerprints, language_model, near_dedup, pieces, quality, token_counts, token_files, toxicity, warc
 from faultline.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edited_fingerprints(documents(spark, sf_dir), 4 * shuffle_width(spark))
     return fingerprints.digests(found)
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
