@@ -11,6 +11,7 @@ but the table. ``first`` is the block's place among the ids of its part.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from faultline.llm.common import slices, strings, written
 
@@ -33,35 +35,101 @@ LANES, SEGMENT = 1024, 256
 BLOCK_TOKENS = 1 << 20
 WIDEST_ALPHABET = 1 << 19  # so that a table has a proven size
 HEAD = struct.Struct("<4sIQIIII")
-TABLE_ENTRIES, LONGEST_KEPT = 150_000, 48
+TABLE_ENTRIES, LONGEST_KEPT = 400_000, 48
+#: One run of Latin letters between ASCII signs. The signs stand in pre-tokens of their own (the apostrophe may
+#: not, and is left out, like the sign that opens a special token), and letters of one run stand together.
+PLAIN = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 _TOKENIZERS: dict[str, Words] = {}
 
 
 class Words:
-    """A tokenizer that drops white space, with a bounded table of distinct words."""
+    """A tokenizer that drops white space and lower-cases, with bounded tables of distinct words.
+
+    The first table holds words as they stand between blanks. A word that is missing is taken apart, if it is
+    a run of letters between signs, and its parts come from a second table; new runs of letters are encoded
+    together in one text and told apart by the tokens that end a word.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if "".join(e for e in self.tokenizer.encode(" \n ", add_special_tokens=False).tokens):
-            raise ValueError("this tokenizer keeps white space; its texts cannot be cut into words")
+        if self._library([" \n "])[0] or self._library(["ÀB", "àb"])[0] != self._library(["àb"])[0]:
+            raise ValueError("this tokenizer keeps white space or case; its texts cannot be cut into words")
+        # Runs of lower-case letters need neither normalizer nor pattern: white space alone parts them.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if any(not t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token may be hidden between letters and signs")
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kind = kind_of(len(self.ends))
         self.kept: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self._library(texts)]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of lower-case letters, each one pre-token."""
+        if not runs:
+            return []
+        ids = np.array(self.bare.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(runs):
+            return self._packed(runs)
+        data, size = ids.tobytes(), ids.itemsize
+        stops = (stops * size).tolist()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def _fill(self, words: list[str]) -> None:
+        """Put words into the first table."""
+        plain, odd = [], []
+        for word in words:
+            m = PLAIN.fullmatch(word)
+            if m is None:
+                odd.append(word)
+            else:
+                plain.append((word, m[1], m[2].lower(), m[3]))
+        self.kept.update(zip(odd, self._packed(odd)))
+        runs = list({p[2] for p in plain}.difference(self.parts))
+        self.parts.update(zip(runs, self._letters(runs)))
+        signs = list({s for p in plain for s in (p[1], p[3])}.difference(self.parts))
+        self.parts.update(zip(signs, self._packed(signs)))
+        parts = self.parts
+        self.kept.update((w, parts[a] + parts[b] + parts[c]) for w, a, b, c in plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids. Blank and line feed separate pre-tokens, so words are encoded on their own."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        """Little-endian ids. Blank and line feed separate pre-tokens, so words are encoded on their own."""
         if len(self.kept) > TABLE_ENTRIES:
             self.kept = {}
-        missing = list(set(chain.from_iterable(cut)).difference(self.kept))
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.kept.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(missing, encoded))
-        found = [b"".join(map(self.kept.__getitem__, words)) for words in cut]
-        for w in missing:
-            if len(w) > LONGEST_KEPT:
-                del self.kept[w]
-        return found
+        if len(self.parts) > TABLE_ENTRIES:
+            self.parts = {}
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.kept.get, words)) for words in cut]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        missing = list({words[i] for words, at in zip(cut, gaps) for i in at})
+        self._fill(missing)
+        for row, words, at in zip(found, cut, gaps):
+            for i in at:
+                row[i] = self.kept[words[i]]
+        long = [w for w in missing if len(w) > LONGEST_KEPT]
+        for w in long:
+            del self.kept[w]
+        if long:
+            self.parts = {k: v for k, v in self.parts.items() if len(k) <= LONGEST_KEPT}
+        return list(map(b"".join, found))
+
+
+def kind_of(alphabet: int) -> str:
+    """How ids travel before they are coded."""
+    return "<u2" if alphabet <= 1 << 16 else "<u4"
 
 
 def _words(path: str) -> Words:
@@ -71,12 +139,12 @@ def _words(path: str) -> Words:
 
 
 def tokenised(docs: DataFrame, path: str, end: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, ids): little-endian 32-bit ids of each whole text, then the end id. Null is the empty text."""
+    """(doc_id, ids): little-endian ids of each whole text, then the end id. Null is the empty text."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tail = b"" if end is None else struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
+        tail = b"" if end is None else np.array([end], words.kind).tobytes()
         for batch in slices(batches):
             ids = [row + tail for row in words.encode(strings(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -136,16 +204,16 @@ class Table:
         return out
 
 
-def pack(table: Table, doc_ids: list[int | None], rows: list[bytes]) -> bytes:
+def pack(table: Table, doc_ids: list[int | None], rows: list[bytes], kind: str) -> bytes:
     """One block: head, documents, checkpoints with checksums, stream, checksum of all that."""
-    data = b"".join(rows)
-    ids = np.frombuffer(data, "<u4")
+    ids = np.frombuffer(b"".join(rows), kind).astype("<u4")
+    data, width = ids.tobytes(), np.dtype(kind).itemsize
     lanes = LANES if len(ids) >= 64 * LANES else 32
     marks, stream = table.encode(ids, lanes, SEGMENT)
     span = lanes * SEGMENT
     sums = np.array([zlib.crc32(data[4 * span * i:4 * span * (i + 1)]) for i in range(len(marks))], "<u4")
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
-    docs += np.array([len(r) // 4 for r in rows], "<u4").tobytes()
+    docs += np.array([len(r) // width for r in rows], "<u4").tobytes()
     packed = zlib.compress(docs, 1)
     body = HEAD.pack(MAGIC, len(rows), len(ids), lanes, len(marks), len(packed), len(stream)) + packed + sums.tobytes()
     body += np.array([at for at, _ in marks], "<u8").tobytes() + b"".join(s.astype("<u8").tobytes() for _, s in marks)
@@ -183,14 +251,14 @@ class Packed:
         return data
 
 
-def shared_table(tokens: DataFrame) -> Table:
+def shared_table(tokens: DataFrame, kind: str) -> Table:
     """The table over all ids; what reaches the driver is one count for each id of the alphabet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             data = b"".join(batch.column("ids").to_pylist())
-            more = np.bincount(np.frombuffer(data, "<u4"))
+            more = np.bincount(np.frombuffer(data, kind))
             if len(more) > WIDEST_ALPHABET:
                 raise ValueError("alphabet too wide")
             if len(more) > len(counts):
@@ -206,18 +274,19 @@ def shared_table(tokens: DataFrame) -> Table:
     return Table(counts)
 
 
-def write_blocks(tokens: DataFrame, table: Broadcast, parts: int) -> DataFrame:
+def write_blocks(tokens: DataFrame, table: Broadcast, parts: int, kind: str) -> DataFrame:
     """(part, block, first, tokens, data): documents in ascending doc_id order, nulls first.
 
     Rows that share a doc_id are ordered by their ids, so repeated rows can be dealt over parts.
     """
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, first, docs, rows, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
-            data = pack(table.value, docs, rows)
-            values = ((part, pa.int32()), (block, pa.int32()), (first, pa.int64()), (size // 4, pa.int64()), (data, pa.binary()))
+            data = pack(table.value, docs, rows, kind)
+            values = ((part, pa.int32()), (block, pa.int32()), (first, pa.int64()), (size // width, pa.int64()), (data, pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["part", "block", "first", "tokens", "data"])
 
         for batch in slices(batches):
@@ -225,9 +294,9 @@ def write_blocks(tokens: DataFrame, table: Broadcast, parts: int) -> DataFrame:
                 docs.append(doc)
                 rows.append(ids)
                 size += len(ids)
-                if size >= 4 * BLOCK_TOKENS:
+                if size >= width * BLOCK_TOKENS:
                     yield closed()
-                    block, first, docs, rows, size = block + 1, first + size // 4, [], [], 0
+                    block, first, docs, rows, size = block + 1, first + size // width, [], [], 0
         if docs:
             yield closed()
 
@@ -262,10 +331,10 @@ def round_trip(docs: DataFrame, path: str, end: int | None, parts: int) -> DataF
     An empty table gives no block and no row; an empty text without end id gives a document of no ids.
     Columns other than ``doc_id`` and ``text`` are not read.
     """
-    context = docs.sparkSession.sparkContext
+    context, kind = docs.sparkSession.sparkContext, _words(path).kind
     tokens = written(tokenised(docs, path, end))
-    table = context.broadcast(shared_table(tokens))
-    blocks = written(write_blocks(tokens, table, parts), "none")
+    table = context.broadcast(shared_table(tokens, kind))
+    blocks = written(write_blocks(tokens, table, parts, kind), "none")
     return read_blocks(blocks, table)
 
 
