@@ -15,7 +15,7 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\W\d_]+")
 #: How a term is written: a stem, or a whole word with END; MORE once for each further time a text must have it.
 END, MORE = "$", "+"
-SHORTEST, LONGEST, TIMES = 4, 12, 3
+SHORTEST, LONGEST, TIMES = 4, 10, 3
 STATES = 50_000
 
 
@@ -144,34 +144,38 @@ def learn(rows: list[tuple[str, int]], most_terms: int) -> list[str]:
     """
     import xxhash
 
-    def group(words: Counter[str]) -> str:
-        return min(words, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))
+    def words_of(text: str) -> Counter[str]:
+        return Counter(WORD.findall(text.lower()))
 
-    parsed = [(Counter(WORD.findall(text.lower())), label) for text, label in rows]
-    parsed = [(words, label) for words, label in parsed if words]
-    support: dict[str, set[str]] = defaultdict(set)
+    groups: dict[str, list[int]] = defaultdict(list)
+    for number, (text, _) in enumerate(rows):
+        words = words_of(text)
+        if words:
+            groups[min(words, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))].append(number)
+    support: Counter[str] = Counter()
     positive: Counter[str] = Counter()
-    groups, groups_positive = set(), set()
-    for words, label in parsed:
-        own = group(words)
-        groups.add(own)
-        if label:
-            groups_positive.add(own)
-            found = _units(words)
+    groups_positive = [[i for i in members if rows[i][1]] for members in groups.values()]
+    groups_positive = [members for members in groups_positive if members]
+    for members in groups_positive:
+        together: set[str] = set()
+        for i in members:
+            found = _units(words_of(rows[i][0]))
             positive.update(found)
-            for unit in found:
-                support[unit].add(own)
+            together |= found
+        support.update(together)
     if not positive or len(groups_positive) == len(groups):
         return []
     share = max(len(groups_positive) / len(groups), 1e-4)
     least = max(3, math.ceil(math.log(10 * len(support)) / math.log(1 / share)))
-    strong = {u: len(g) for u, g in support.items() if len(g) >= least}
+    strong = {u: n for u, n in support.items() if n >= least}
+    positive = Counter({u: positive[u] for u in strong})
+    del support
     good, negative = dict(strong), Counter()
-    others = [words for words, label in parsed if not label]
+    others = [text for text, label in rows if not label]
     for start in range(0, len(others), 500):  # a unit that has met too many of the others is not looked for again
         known = {stem(u)[:n] for u in good for n in range(SHORTEST, len(stem(u)) + 1)} | {u.rstrip(MORE) for u in good}
-        for words in others[start:start + 500]:
-            negative.update(u for u in _units(words, known) if u in good)
+        for text in others[start:start + 500]:
+            negative.update(u for u in _units(words_of(text), known) if u in good)
         good = {u: n for u, n in good.items() if positive[u] >= 9 * negative[u]}
     longer: dict[tuple[str, int], list[str]] = defaultdict(list)
     for unit in good:

@@ -22,7 +22,7 @@ from faultline.llm.common import slices, strings
 from faultline.llm.labelled import training_sample
 from faultline.llm.lexicon import WORD, Automaton, learn, times
 
-MOST_ROWS = 12_000
+MOST_ROWS = 8_000
 MOST_TERMS = 256
 WINDOW = 6
 TABLE_ENTRIES = 200_000
