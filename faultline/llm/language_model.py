@@ -30,7 +30,7 @@ from faultline.llm.common import slices, written
 
 BLOCK_TOKENS = 1 << 20
 BITS_PER_ENTRY = 12
-MOST_BITS = 1 << 30
+MOST_BITS = 1 << 29
 PROBES = 3
 LEVELS = 64
 SMOOTH = 0.1
@@ -43,6 +43,15 @@ def _hashes(text: bytes) -> list[int]:
     return list(map(xxhash.xxh3_64_intdigest, text.lower().split()))
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, deflated."""
+    return zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def tokenised(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     """Blocks of documents. A null text has the end token alone; a row without id is trained on."""
     schema = "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary, n_words long, n_pairs long"
@@ -55,10 +64,14 @@ def tokenised(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         def closed() -> pa.RecordBatch:
             held = [i is not None and zlib.crc32(str(i).encode()) % folds == held_out for i in ids]
             lengths = np.array([len(r) for r in rows], "<u4")
-            words, tokens = np.unique(np.concatenate(rows), return_inverse=True)
+            words, tokens, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, tokens = words[order], rank[tokens]
             train = np.repeat(~np.array(held), lengths)
             counts = np.bincount(tokens[train], minlength=len(words))
-            values = (block, ids, held, lengths.tobytes(), tokens.astype("<u4").tobytes(), words.tobytes(), counts.astype("<u4").tobytes(), len(words), len(tokens))
+            values = (block, ids, held, lengths.tobytes(), _packed(tokens), words.tobytes(), counts.astype("<u4").tobytes(), len(words), len(tokens))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in slices(batches):
@@ -181,7 +194,7 @@ def filter_of(blocks: DataFrame, pairs: int) -> LogFilter:
         for batch in slices(batches, 1):
             row = {c: batch.column(c)[0].as_py() for c in ("held", "lengths", "tokens", "words")}
             lengths = np.frombuffer(row["lengths"], "<u4")
-            keys = _pair_keys(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], "<u4"), lengths)
+            keys = _pair_keys(np.frombuffer(row["words"], np.uint64), _unpacked(row["tokens"]), lengths)
             keys, counts = np.unique(keys[np.repeat(~np.array(row["held"]), lengths)], return_counts=True)
             parts = []
             for bucket, at in _bucketed(keys, buckets):
@@ -217,7 +230,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, trained: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = {c: batch.column(c)[0].as_py() for c in ("ids", "held", "lengths", "tokens", "words", "replies")}
-            lengths, tokens, words = np.frombuffer(row["lengths"], "<u4"), np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["words"], np.uint64)
+            lengths, tokens, words = np.frombuffer(row["lengths"], "<u4"), _unpacked(row["tokens"]), np.frombuffer(row["words"], np.uint64)
             counts = np.empty(len(words), np.int64)
             for reply, (_, at) in zip(row["replies"], _bucketed(words, buckets)):
                 counts[at] = np.frombuffer(reply["totals"], np.int64)
@@ -226,7 +239,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, trained: int, d
             own, alone = counts[tokens], share[tokens]
             before = np.empty_like(own)
             before[1:] = own[:-1]
-            before[starts] = counts[np.searchsorted(words, END)]
+            before[starts] = counts[np.flatnonzero(words == END)[0]]
             pairs = np.minimum(model.value.counts(_pair_keys(words, tokens, lengths)), np.minimum(own, before))
             smoothed = (pairs + PRIOR * alone) / (before + PRIOR)
             values = (
