@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from heapq import nsmallest
 
 WORD = re.compile(r"[^\W\d_]+")
 #: How a term is written: a stem, or a whole word with END; MORE once for each further time a text must have it.
@@ -137,8 +138,8 @@ def _units(words: Counter[str], known: set[str] | None = None) -> set[str]:
 def learn(rows: list[tuple[str, int]], most_terms: int) -> list[str]:
     """Terms of the positive texts.
 
-    Support is counted over groups of texts that share the smallest word by hash, so that copies of one text
-    count about once. A term needs support that chance would give less than one term in ten tries, and nine
+    Support is counted over groups of texts that share their three smallest words by hash, so that copies of
+    one text count about once. A term needs support that chance would give less than one term in ten tries, and nine
     tenths of its texts positive. Of the stems along a word the longest that keeps the support is taken, and
     a term that must repeat only where no term that need not says as much.
     """
@@ -151,7 +152,7 @@ def learn(rows: list[tuple[str, int]], most_terms: int) -> list[str]:
     for number, (text, _) in enumerate(rows):
         words = words_of(text)
         if words:
-            groups[min(words, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))].append(number)
+            groups["".join(nsmallest(3, words, key=lambda w: (xxhash.xxh3_64_intdigest(w), w)))].append(number)
     support: Counter[str] = Counter()
     positive: Counter[str] = Counter()
     groups_positive = [[i for i in members if rows[i][1]] for members in groups.values()]

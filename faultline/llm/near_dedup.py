@@ -12,7 +12,7 @@ with a probability under 1e-4), all others are confirmed on their full shingle s
 the second starts from the components of the first and proposes only pairs between different ones.
 
 Recall: a pair at a similarity of 0.8 shares the first token of a tree with probability 0.8, so it stays apart
-in all 12 trees with probability 4e-9 where nodes are small, and 5e-6 where it must share two tokens.
+in all 12 trees with probability 4e-9 where nodes are small, and 4e-5 where the ten deep trees need two tokens.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from faultline.llm.common import slices, written
 
 TREES, LEVELS = 12, 5
-ROUNDS = (range(0, 4), range(4, TREES))
+#: (trees, levels) of each round: roots alone first, which connect most copies with few comparisons.
+ROUNDS = ((range(0, 2), 1), (range(2, TREES), LEVELS))
 SMALL = 16
 AGREE = 36
 WIDTH = TREES * LEVELS
@@ -88,10 +89,10 @@ def _members(classes: DataFrame, trees: range) -> DataFrame:
     return classes.select("rep", "component", tree.alias("node")).select("rep", "component", "node.path", "node.tokens")
 
 
-def candidates(classes: DataFrame, trees: range) -> DataFrame:
+def candidates(classes: DataFrame, trees: range, levels: int) -> DataFrame:
     """(a, b), a < b: pairs of different components that some tree proposes, each once."""
     members, found = _members(classes, trees), []
-    for level in range(LEVELS):
+    for level in range(levels):
         # The drawn member is the one whose id, its bits turned by the node's hash, comes first.
         turned = F.col("rep").bitwiseXOR(F.col("path"))
         nodes = members.groupBy("path").agg(
@@ -108,7 +109,7 @@ def candidates(classes: DataFrame, trees: range) -> DataFrame:
         found.append(_proposed(few.filter("component <> main"), few))
         many = large.filter(F.col("rest") > SMALL)
         found.append(many.filter("component <> main").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
-        if level + 1 < LEVELS:
+        if level + 1 < levels:
             if many.isEmpty():
                 break
             members = many.select("rep", "component", F.xxhash64("path", F.get("tokens", F.lit(level))).alias("path"), "tokens")
@@ -201,9 +202,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     links = written(repeated.join(several, "doc_id", "left_semi").select(
         F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b")))
     labels = components(links)
-    for trees in ROUNDS:
+    for trees, levels in ROUNDS:
         known = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        more = confirmed(_agreeing(candidates(known, trees), classes), docs, size, percent, key, text)
+        more = confirmed(_agreeing(candidates(known, trees, levels), classes), docs, size, percent, key, text)
         links = more.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))
         labels = written(components(links))
     named_ids = found.join(reps, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels, "rep", "left")
