@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from faultline.schema import CORRECTION_DDL, struct
 from faultline.taxonomy import is_code, taxonomy, with_taxonomy
 
-TREND_LIMIT, CORRECTIONS_LIMIT = 500, 1000
-
 
 def category_distribution(cards: DataFrame) -> DataFrame:
     return cards.groupBy("primary_category").agg(F.count("*").alias("count"))
@@ -146,8 +144,8 @@ def trend_row(cards: DataFrame, ts: Column, by: list[str] | None = None) -> Data
 
 
 def latest_trend(trend: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest batches, at most 500."""
-    return trend.orderBy(F.desc("ts")).limit(min(limit, TREND_LIMIT))
+    """The newest batches, as many as asked for."""
+    return trend.orderBy(F.desc("ts")).limit(limit)
 
 
 def trend_size(trend: DataFrame) -> DataFrame:
@@ -170,5 +168,5 @@ def correction_rows(requests: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def latest_corrections(corrections: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest corrections, at most 1000."""
-    return corrections.orderBy(F.desc("created_at")).limit(min(limit, CORRECTIONS_LIMIT))
+    """The newest corrections, as many as asked for."""
+    return corrections.orderBy(F.desc("created_at")).limit(limit)
