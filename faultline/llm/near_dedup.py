@@ -126,11 +126,20 @@ def _proposed(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "path").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose set sizes allow the similarity and whose signatures agree often enough.
+
+    One byte of each signature value travels: equal values stay equal, unequal ones meet once in 256.
+    """
+    short = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+    classes = classes.select("rep", F.col("n_shingles").alias("n"), short.alias("s"))
+    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    classes = written(classes.join(involved, "rep", "left_semi"))
+    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    sized = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(left, "a").join(right, "b").filter(same >= AGREE).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(sized).filter(same >= AGREE).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,8 +203,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     named = found.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     reps = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = written(reps)
-    classes = named.join(reps, "set_id").filter("doc_id = rep").select("rep", "signature", "set_id").dropDuplicates(["set_id"])
-    classes = written(classes.select("rep", "signature"))
+    classes = named.join(reps, "set_id").filter("doc_id = rep").select("rep", "n_shingles", "signature", "set_id").dropDuplicates(["set_id"])
+    classes = written(classes.select("rep", "n_shingles", "signature"))
     # Texts under a repeated id belong together: their classes' representatives are linked as they stand.
     repeated = named.join(reps, "set_id").filter("doc_id <> rep").select("doc_id", "rep").distinct()
     several = named.select("doc_id", "set_id").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -204,7 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     labels = components(links)
     for trees, levels in ROUNDS:
         known = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        more = confirmed(_agreeing(candidates(known, trees, levels), classes), docs, size, percent, key, text)
+        pairs = _agreeing(written(candidates(known, trees, levels)), classes, percent)
+        more = confirmed(pairs, docs, size, percent, key, text)
         links = more.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))
         labels = written(components(links))
     named_ids = found.join(reps, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels, "rep", "left")
