@@ -146,6 +146,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: s
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = written(pairs)
     involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    involved = written(involved)  # a known size: only where it is too large to send out do whole texts shuffle
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")).join(involved, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
