@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 LEARNING_RATE, STEPS = 0.1, 200
 BINS = 5
-MAX_INLINE = 10_000  # distinct confidences that fit one row
 
 
 def sigmoid(x: Column) -> Column:
@@ -16,62 +17,22 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
 
 
-def _grouped(pairs: DataFrame) -> DataFrame:
-    """Distinct confidences with row count ``n`` and hits ``k``: all the fit needs to know."""
-    return pairs.groupBy("confidence").agg(
-        F.count("*").cast("double").alias("n"), F.count_if("correct").cast("double").alias("k")
-    )
-
-
-def fit_platt(pairs: DataFrame, lr: float = LEARNING_RATE, steps: int = STEPS, max_inline: int = MAX_INLINE) -> DataFrame:
+def fit_platt(pairs: DataFrame, lr: float = LEARNING_RATE, steps: int = STEPS) -> DataFrame:
     """One row ``a, b, n`` such that P(correct) = sigmoid(a * confidence + b).
 
-    Equal confidences share their gradient, so the rows shrink to one per distinct value. Up to
-    ``max_inline`` values descend inside one expression; beyond that every step is an aggregation.
+    Equal confidences share their gradient, so the rows shrink to one per distinct value, with row count ``n``
+    and hits ``k``, written once. Each of the fixed number of steps aggregates that table; three numbers per
+    step reach the driver.
     """
-    groups = _grouped(pairs)
-    size = groups.agg(F.count("*").alias("values"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows")).first()
-    if size["rows"] < 2:
-        raise ValueError("need at least two rows to fit a calibration")
-    return _fit_inline(groups, lr, steps) if size["values"] <= max_inline else _fit_stepwise(groups, lr, steps)
-
-
-def _fit_inline(groups: DataFrame, lr: float, steps: int) -> DataFrame:
-    packed = groups.agg(
-        F.array_sort(F.collect_list(F.struct("confidence", "n", "k"))).alias("g"), F.sum("n").alias("n")
-    )
-
-    def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x)
-
-    def step(state: Column, _: Column) -> Column:
-        errors = F.transform(
-            "g",
-            lambda x: F.struct(
-                (x["n"] * sigmoid(state["a"] * x["confidence"] + state["b"]) - x["k"]).alias("e"),
-                x["confidence"].alias("x"),
-            ),
-        )
-        da = total(F.transform(errors, lambda r: r["e"] * r["x"]))
-        db = total(F.transform(errors, lambda r: r["e"]))
-        return F.struct(
-            (state["a"] - lr * da / F.col("n")).alias("a"), (state["b"] - lr * db / F.col("n")).alias("b")
-        )
-
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    fitted = packed.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("p"), "n")
-    return fitted.select("p.a", "p.b", F.col("n").cast("long").alias("n"))
-
-
-def _fit_stepwise(groups: DataFrame, lr: float, steps: int) -> DataFrame:
-    from faultline.session import cut_lineage
-
-    groups = cut_lineage(groups)
-    a, b = 1.0, 0.0
-    n = groups.agg(F.sum("n")).first()[0]
+    groups = cut_lineage(pairs.groupBy("confidence").agg(
+        F.count("*").cast("double").alias("n"), F.count_if("correct").cast("double").alias("k")
+    ))
+    a, b, n = 1.0, 0.0, None
     for _ in range(steps):
         error = F.col("n") * sigmoid(a * F.col("confidence") + b) - F.col("k")
-        da, db = groups.agg(F.sum(error * F.col("confidence")), F.sum(error)).first()
+        n, da, db = groups.agg(F.sum("n"), F.sum(error * F.col("confidence")), F.sum(error)).first()
+        if n is None or n < 2:
+            raise ValueError("need at least two rows to fit a calibration")
         a, b = a - lr * da / n, b - lr * db / n
     return groups.sparkSession.createDataFrame([(a, b, int(n))], "a DOUBLE, b DOUBLE, n BIGINT")
 

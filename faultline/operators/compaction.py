@@ -78,11 +78,12 @@ def salient_steps(steps: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return linked.withColumn("skipped", F.coalesce(F.col("index") - F.col("previous") - 1, F.lit(0))).drop("chunk")
 
 
-def _header(task_id: Column, repo: Column, statement: Column, signals: Column) -> Column:
+def _header(task_id: Column, repo: Column, statement: Column, signals: Column | None = None) -> Column:
+    record = [] if signals is None else [F.lit(SIGNALS_HEAD), signals]
     return F.concat_ws(
         "\n", F.lit(TASK_HEAD), F.concat(F.lit("task_id: "), task_id),
         F.when(F.length(repo) > 0, F.concat(F.lit("repo: "), repo)), F.lit("problem_statement:"),
-        shorten(F.coalesce(statement, F.lit("")), STATEMENT_CHARS), F.lit(SIGNALS_HEAD), signals, F.lit(STEPS_HEAD),
+        shorten(F.coalesce(statement, F.lit("")), STATEMENT_CHARS), *record, F.lit(STEPS_HEAD),
     )
 
 
@@ -95,12 +96,8 @@ def _printed(value: Column) -> Column:
     return F.coalesce(F.initcap(value.cast("string")), F.lit("None"))
 
 
-def compacted_parts(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """``run_id, part, text``: part 0 is the head, the last part the patch and test result.
-
-    The signal record in the head holds the counts and flags; its lists are tables of their own
-    (``fingerprints``, ``edited_files``, ``repeated_commands``), as a run's list may be long.
-    """
+def _step_parts(steps: DataFrame) -> DataFrame:
+    """``run_id, part, text`` of the salient steps; parts count from 1."""
     lines = salient_steps(steps).select(
         "run_id", "index",
         F.concat(
@@ -108,9 +105,29 @@ def compacted_parts(steps: DataFrame, runs: DataFrame) -> DataFrame:
             step_text(*(F.col(c) for c in ("index", "action_type", "content", "obs_content", "has_obs", "exit_code"))),
         ).alias("line"),
     )
-    body = lines.groupBy("run_id", (F.floor(F.col("index") / PART_STEPS) + 1).alias("part")).agg(
+    return lines.groupBy("run_id", (F.floor(F.col("index") / PART_STEPS) + 1).alias("part")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]), "\n").alias("text")
     )
+
+
+def run_words(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, text``, several rows per run: its task, salient steps and patch, as a compacted text shows them.
+
+    The derived signals and the test result are left out, so what matches here stands in the run itself.
+    """
+    framing = F.concat_ws(
+        "\n", _header(F.col("task_id"), F.col("repo"), F.col("problem_statement")), _patch_lines(F.col("final_patch"))
+    )
+    return _step_parts(steps).select("run_id", "text").unionByName(runs.select("run_id", framing.alias("text")))
+
+
+def compacted_parts(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, part, text``: part 0 is the head, the last part the patch and test result.
+
+    The signal record in the head holds the counts and flags; its lists are tables of their own
+    (``fingerprints``, ``edited_files``, ``repeated_commands``), as a run's list may be long.
+    """
+    body = _step_parts(steps)
     signals = signals_from_steps(steps, runs)
     record = signals.select("run_id", "step_count", signals_json(signals.columns).alias("signals"))
     framed = runs.join(record, "run_id")
@@ -134,8 +151,11 @@ def compacted_runs(runs: DataFrame) -> DataFrame:
     return with_text(signals_from_runs(runs, keep=TEXT_COLUMNS)).select("run_id", "text")
 
 
-def with_text(signals: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """Add ``text`` to the signals of nested runs that kept ``TEXT_COLUMNS``; null where not ``wanted``."""
+def with_text(signals: DataFrame, wanted: Column | None = None, derived: bool = True) -> DataFrame:
+    """Add ``text`` to the signals of nested runs that kept ``TEXT_COLUMNS``; null where not ``wanted``.
+
+    Without ``derived`` the text has the words of ``run_words`` only, no signal record and no test result.
+    """
     failed = stepflags.failed("s.action_type", "s.observation IS NOT NULL", "s.observation.exit_code")
     kept = F.expr(f"filter(steps, s -> {is_salient(failed, 's.action_type', 's.index', 'step_count')})")
     cut = computed_once(signals, _signals=signals_json(signals.columns), _kept=kept)
@@ -163,10 +183,11 @@ def with_text(signals: DataFrame, wanted: Column | None = None) -> DataFrame:
             F.when(F.length(t["raw_log"]) > 0, F.substring(t["raw_log"], 1, LOG_CHARS)),
         ),
     )
+    record = F.col("_signals") if derived else None
     text = F.concat_ws(
-        "\n", _header(F.col("task_id"), F.col("task.repo"), F.col("task.problem_statement"), F.col("_signals")),
+        "\n", _header(F.col("task_id"), F.col("task.repo"), F.col("task.problem_statement"), record),
         F.when(F.size("_kept") > 0, F.array_join(F.transform("_kept", line), "\n")),
-        _patch_lines(F.col("final_patch")), tested,
+        _patch_lines(F.col("final_patch")), *([tested] if derived else []),
     )
     made = text if wanted is None else F.when(wanted, text)
     return cut.withColumn("text", made).drop("_signals", "_kept")

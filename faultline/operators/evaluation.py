@@ -20,14 +20,12 @@ MIN_OVERLAP = 5
 ITERATIONS, ALPHA, SEED = 1000, 0.05, 42
 
 
-def latest_gold(gold: DataFrame, order: str | None = None) -> DataFrame:
-    """One label per run; with ``order``, the last one wins."""
-    if order is None:
-        return gold.dropDuplicates(["run_id"])
+def latest_gold(gold: DataFrame, order: str) -> DataFrame:
+    """One label per run: the last one by ``order`` wins."""
     return gold.groupBy("run_id").agg(F.max_by("true_category", order).alias("true_category"))
 
 
-def details(cards: DataFrame, gold: DataFrame, order: str | None = None) -> DataFrame:
+def details(cards: DataFrame, gold: DataFrame, order: str) -> DataFrame:
     """Cards with ground truth: ``run_id, task_id, true, predicted, correct, confidence, classifier``."""
     joined = cards.join(latest_gold(gold, order).select("run_id", "true_category"), "run_id")
     return joined.select(
@@ -126,16 +124,16 @@ def bootstrap_statistics(pairs: DataFrame, iterations: int = ITERATIONS, seed: i
     packed = cells(pairs).agg(F.array_sort(F.collect_list(F.struct("true", "predicted", "n"))).alias("cells"))
     replicates = packed.filter(F.size("cells") > 0).select(
         "cells", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate")
-    ).repartition(8, "replicate")
+    ).repartition(pairs.sparkSession.sparkContext.defaultParallelism, "replicate")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             cell = batch["cells"].iloc[0]
-            labels = sorted({c["true"] for c in cell} | {c["predicted"] for c in cell})
-            truth = np.array([labels.index(c["true"]) for c in cell])
-            predicted = np.array([labels.index(c["predicted"]) for c in cell])
+            labels = {x: i for i, x in enumerate(sorted({c["true"] for c in cell} | {c["predicted"] for c in cell}))}
+            truth = np.array([labels[c["true"]] for c in cell])
+            predicted = np.array([labels[c["predicted"]] for c in cell])
             n = np.array([c["n"] for c in cell], dtype=np.int64)
             share = n / n.sum()
             counts = np.stack(
@@ -194,12 +192,10 @@ def half_split(pairs: DataFrame, key: str = "run_id", seed: int = SEED) -> DataF
 # Annotators
 
 
-def load_labels(table: DataFrame, field: str, order: str | None = None) -> DataFrame:
-    """``run_id, label`` with labels stripped and upper-cased; empty ones dropped, the last one wins."""
+def load_labels(table: DataFrame, field: str, order: str) -> DataFrame:
+    """``run_id, label`` with labels stripped and upper-cased; empty ones dropped, the last by ``order`` wins."""
     kept = table.filter((F.length("run_id") > 0) & (F.length(F.col(field).cast("string")) > 0))
     label = F.upper(strip(F.col(field).cast("string")))
-    if order is None:
-        return kept.select("run_id", label.alias("label")).dropDuplicates(["run_id"])
     return kept.groupBy("run_id").agg(F.max_by(label, order).alias("label"))
 
 
@@ -209,13 +205,15 @@ def overlap(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def annotator_agreement(first: DataFrame, second: DataFrame, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """Raw agreement, kappa and its reading; no row when fewer than ``min_overlap`` runs are shared."""
-    numbers = agreement(overlap(first, second), empty_kappa=float("nan")).filter(F.col("n") >= min_overlap)
-    k = F.col("kappa")
+    """Raw agreement, kappa and its reading; ``enough_overlap`` tells whether ``min_overlap`` runs are shared.
+    Without any shared run there is no percentage, kappa or reading."""
+    numbers = agreement(overlap(first, second), empty_kappa=float("nan"))
+    k, some = F.col("kappa"), F.col("n") > 0
+    band = F.when(k >= 0.80, "Strong").when(k >= 0.60, "Moderate").when(k >= 0.40, "Fair").otherwise("Poor")
     return numbers.select(
-        "n", "n_agree", F.round(F.col("n_agree") / F.col("n") * 100, 1).alias("percent"),
-        F.round(k, 4).alias("kappa"),
-        F.when(k >= 0.80, "Strong").when(k >= 0.60, "Moderate").when(k >= 0.40, "Fair").otherwise("Poor").alias("band"),
+        "n", "n_agree", F.round(F.try_divide(F.col("n_agree"), F.col("n")) * 100, 1).alias("percent"),
+        F.when(some, F.round(k, 4)).alias("kappa"), F.when(some, band).alias("band"),
+        (F.col("n") >= min_overlap).alias("enough_overlap"),
     )
 
 

@@ -99,16 +99,18 @@ def cluster_report(texts: DataFrame, k: int = CLUSTERS, key: str = "run_id", n_t
     return sizes.join(top, "cluster").join(shown, "cluster")
 
 
-def explain_other(cards: DataFrame, k: int = CLUSTERS) -> DataFrame:
-    """Clusters of the OTHER cards, or their keywords when there are fewer cards than clusters."""
+def explain_other(cards: DataFrame, by: str = "clusters", k: int = CLUSTERS) -> DataFrame:
+    """The OTHER cards ``by`` "clusters" (which need at least ``k`` cards) or by "keywords"."""
+    if by not in ("clusters", "keywords"):
+        raise ValueError(f"unknown way to explain: {by}")
     texts = other_bucket(cards).select("run_id", card_text().alias("text"))
-    enough = texts.limit(k).count() == k
-    return cluster_report(texts, k) if enough else top_keywords(texts)
+    return cluster_report(texts, k) if by == "clusters" else top_keywords(texts)
 
 
 # ---------------------------------------------------------------------------------------------
 # Rules from labels
 
+# The features rules are mined from.
 FEATURES = [
     "produced_patch", "no_file_edits", "ran_tests", "tests_passed", "finished_without_testing", "finished_on_red",
     "hit_resource_limit", "catastrophic_edit", "verified_without_editing", "step_count", "n_repeated_commands",

@@ -167,13 +167,13 @@ def baseline_cause(code: Column) -> Column:
 
 
 def keyword_baseline(texts: DataFrame) -> DataFrame:
-    """Keyword guess per run over ``run_id, text``, which may hold several parts per run: every part is
-    ranked by itself and the lowest rank wins."""
+    """Keyword guess per run over the ``run_id, text`` of ``run_words``, which may hold several parts per run:
+    every part is ranked by itself and the lowest rank wins."""
     ranked = texts.select("run_id", baseline_rank(F.col("text")).alias("_rank"))
     codes = F.array(*[F.lit(code) for code, _ in BASELINE_KEYWORDS])
     return ranked.groupBy("run_id").agg(F.min("_rank").alias("_rank")).select(
         "run_id",
-        F.coalesce(codes[F.col("_rank")], F.lit("OTHER")).alias("primary_category"),
+        F.coalesce(F.get(codes, F.col("_rank")), F.lit("OTHER")).alias("primary_category"),
         F.lit(BASELINE_CONFIDENCE).alias("confidence"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import stepflags
+from faultline.functions.barrier import computed_once
 from faultline.functions.text import not_blank, occurrences
 
 
@@ -83,7 +84,9 @@ def last_step_rows(steps: DataFrame, n: int = 5) -> DataFrame:
 
 def steps_table(runs: DataFrame) -> DataFrame:
     """Flatten nested runs into one row per step; ``index`` is the step's position in the run."""
-    return runs.select("run_id", F.posexplode("steps").alias("pos", "step")).select(
+    # The explode brings a filter on the size of ``steps``, which must not take a copy of their expression along.
+    once = computed_once(runs.select("run_id", "steps"), steps=F.col("steps"))
+    return once.select("run_id", F.posexplode("steps").alias("pos", "step")).select(
         "run_id",
         F.col("pos").cast("long").alias("index"),
         F.col("step.action_type").alias("action_type"),

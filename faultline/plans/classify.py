@@ -54,10 +54,10 @@ def classify_runs(
 def _with_baseline(matched: DataFrame) -> DataFrame:
     """Rule cards and baseline cards in one pass over the rows."""
     by_rule = F.col("rule_id").isNotNull()
-    texts = with_text(matched, wanted=~by_rule)
+    texts = with_text(matched, wanted=~by_rule, derived=False)
     ranked = texts.withColumn("_rank", baseline_rank(F.col("text")))
     codes = F.array(*[F.lit(code) for code, _ in BASELINE_KEYWORDS])
-    guessed = ranked.withColumn("_guess", F.coalesce(codes[F.col("_rank")], F.lit("OTHER")))
+    guessed = ranked.withColumn("_guess", F.coalesce(F.get(codes, F.col("_rank")), F.lit("OTHER")))
     first_step = cited_evidence_nested(F.col("steps"), F.array(F.lit(0)), F.parse_json(F.lit("{}")))
     return _card(
         guessed,

@@ -563,7 +563,9 @@ ORACLES: dict[str, str] = {
     "prompt_parts": f"""WITH {PARTS}, told AS (SELECT run_id, part, CASE WHEN part = 0 THEN
         {_q('FAILURE TAXONOMY (choose primary from these codes only):' + chr(10) + catalog_text() + chr(10) * 4 + 'RUN:' + chr(10))} ELSE '' END || text AS text FROM parts)
       SELECT run_id, part, length(text) AS chars, md5(text) AS digest FROM told""",
-    "keyword_baseline": f"""WITH {PARTS}, whole AS (SELECT run_id, lower(string_agg(text, chr(10) ORDER BY part)) AS t FROM parts GROUP BY 1)
+    "keyword_baseline": f"""WITH {PARTS}, whole AS (SELECT run_id, lower(string_agg(words, chr(10) ORDER BY part)) AS t FROM (
+        SELECT run_id, part, CASE WHEN part = 0 THEN split_part(text, '=== DETERMINISTIC SIGNALS ===', 1)
+          ELSE text END AS words FROM parts) GROUP BY 1)
       SELECT run_id, coalesce(([{', '.join(_q(c) for c, _ in BASELINE_KEYWORDS)}])[{_BASELINE} + 1], 'OTHER') AS primary_category, CAST(0.55 AS DOUBLE) AS confidence FROM whole""",
     "category_distribution": _ver("SELECT primary_category, count(*) AS count, owner FROM verdicts GROUP BY ALL"),
     "owner_distribution": _ver("SELECT owner, count(*) AS count FROM verdicts GROUP BY ALL"),
@@ -582,7 +584,7 @@ ORACLES: dict[str, str] = {
     "zero_filled_distribution": _ver("""
       SELECT t.position, t.code AS primary_category, t.owner, coalesce(c, 0) AS count,
         round(coalesce(c, 0) / greatest(max(coalesce(c, 0)) OVER (), 1) * 100, 4) AS bar_percent
-      FROM taxonomy t LEFT JOIN (SELECT primary_category, count(*) AS c FROM verdicts WHERE agent = 'openhands' GROUP BY 1) v ON v.primary_category = t.code"""),
+      FROM taxonomy t LEFT JOIN (SELECT primary_category, count(*) AS c FROM verdicts GROUP BY 1) v ON v.primary_category = t.code"""),
     "stored_distribution": _ver("""
       SELECT CASE WHEN rk % 11 = 0 THEN 'UNKNOWN' ELSE primary_category END AS primary_category,
         CASE WHEN rk % 13 = 0 THEN 'unknown' ELSE owner END AS owner, count(*) AS count FROM verdicts GROUP BY 1, 2"""),
@@ -619,9 +621,9 @@ ORACLES: dict[str, str] = {
       SELECT half, n.n, n_agree, round(n_agree / n.n, 6) AS accuracy, round((n_agree / n.n - e) / (1 - e), 6) AS kappa FROM n JOIN e USING (half)""",
     "annotator_agreement": f"WITH {_LABELS}" + _KAPPA.format(by="", src="both_labels", group="") + """
       , e AS (SELECT sum((tm.c / n.n) * (pm.c / n.n)) AS e FROM n, tm JOIN pm USING (label)),
-      k AS (SELECT n.n, n_agree, (n_agree / n.n - e) / (1 - e) AS k FROM n, e WHERE n.n >= 5)
+      k AS (SELECT n.n, n_agree, (n_agree / n.n - e) / (1 - e) AS k FROM n, e)
       SELECT n, n_agree, round(n_agree / n * 100, 1) AS percent, round(k, 4) AS kappa,
-        CASE WHEN k >= 0.8 THEN 'Strong' WHEN k >= 0.6 THEN 'Moderate' WHEN k >= 0.4 THEN 'Fair' ELSE 'Poor' END AS band FROM k""",
+        CASE WHEN k >= 0.8 THEN 'Strong' WHEN k >= 0.6 THEN 'Moderate' WHEN k >= 0.4 THEN 'Fair' ELSE 'Poor' END AS band, n >= 5 AS enough_overlap FROM k""",
     "annotator_disagreements": f"""WITH {_LABELS} SELECT run_id, t AS "true", p AS predicted FROM both_labels WHERE t <> p""",
     "disagreement_pairs": _ver("""SELECT t AS "true", p AS predicted, count(*) AS count FROM pairs WHERE t <> p GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 5"""),
     "label_queue": "SELECT doc_id AS run_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY doc_id LIMIT 10",

@@ -93,10 +93,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two annotators: the quality flag, and the inverse of the toxic flag."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("run_id"), "quality", "toxic")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").cast("string").alias("run_id"), F.col("doc_id").alias("seq"), "quality", "toxic")
     first = labels.withColumn("label", F.when(F.col("quality") == 1, " good ").otherwise("bad"))
     second = labels.withColumn("label", F.when(F.col("toxic") == 0, "Good").otherwise("bad"))
-    return evaluation.load_labels(first, "label"), evaluation.load_labels(second, "label")
+    return evaluation.load_labels(first, "label", "seq"), evaluation.load_labels(second, "label", "seq")
 
 
 def _step_rows(runs: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def prompt_parts(spark, sf_dir):
 
 @query
 def keyword_baseline(spark, sf_dir):
-    return response_ops.keyword_baseline(compacted_parts(spark, sf_dir))
+    return response_ops.keyword_baseline(compaction.run_words(derived.steps(spark, sf_dir), derived.runs(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -365,7 +366,7 @@ def summary_tiles(spark, sf_dir):
 
 @query
 def zero_filled_distribution(spark, sf_dir):
-    return views.zero_filled_distribution(verdict_cards(spark, sf_dir).filter(F.col("agent") == "openhands"))
+    return views.zero_filled_distribution(verdict_cards(spark, sf_dir))
 
 
 @query

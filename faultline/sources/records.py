@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
@@ -29,18 +29,27 @@ def read_run_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(struct(RUN_DDL)).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
+def _line_order() -> Column:
+    """Place of a row of a file scan: file, block, and the row's number, which grows inside a block."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def _lenient(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(struct(ddl)).option("mode", "DROPMALFORMED").json(path)
+    """Fields of ``ddl`` and ``seq`` of every line that is a whole JSON object; a mistyped field is null."""
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("line"), _line_order().alias("seq"))
+    parsed = computed_once(lines.filter(F.col("line").startswith("{")), record=j.parse_strict(F.col("line")))
+    fields = F.from_json("line", struct(ddl)).alias("fields")
+    return parsed.filter(F.col("record").isNotNull()).select(fields, "seq").select("fields.*", "seq")
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """Stored cards; blank and broken lines are skipped, missing keys are null."""
-    return _lenient(spark, path, CARD_DDL)
+    """Stored cards; blank and broken lines are skipped, missing and mistyped fields are null."""
+    return _lenient(spark, path, CARD_DDL).drop("seq")
 
 
 def read_labels(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """``run_id`` and one label field of a JSON-lines file, with ``seq`` telling the order of the lines."""
-    return _lenient(spark, path, f"run_id STRING, `{field}` STRING").withColumn("seq", F.monotonically_increasing_id())
+    """``run_id`` and one label field of JSON-lines files, with ``seq`` telling the order by file and line."""
+    return _lenient(spark, path, f"run_id STRING, `{field}` STRING")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -48,9 +57,9 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold labels with ``seq`` telling the order of the lines. A label outside the taxonomy fails the job."""
+    """Gold labels with ``seq`` telling the order by file and line. A label outside the taxonomy fails the job."""
     gold = spark.read.schema(struct(GOLD_DDL)).option("mode", "FAILFAST").json(path)
-    return checked_gold(gold).withColumn("seq", F.monotonically_increasing_id())
+    return checked_gold(gold.select("*", _line_order().alias("seq")))
 
 
 def checked_gold(gold: DataFrame) -> DataFrame:
@@ -80,52 +89,25 @@ def _record_documents(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def read_raw_records(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
-    """``record VARIANT`` from JSON lines, JSON arrays, or single indented documents.
-
-    ``layout`` "lines" and "document" read in one pass; use "lines" for large inputs. "auto" first looks
-    at each file's first line (one scan; only file names reach the driver) and tells the two apart.
-    """
+def read_raw_records(spark: SparkSession, path, layout: str) -> DataFrame:
+    """``record VARIANT`` of files in one ``layout``: "lines" has one JSON object per line and suits large
+    inputs; "document" has one JSON array or (indented) object per file, which one task reads whole."""
     if layout == "lines":
         return _record_lines(spark, path)
     if layout == "document":
         return _record_documents(spark, path)
-    lines = spark.read.text(path).select(
-        strip(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-    ).filter(not_blank(F.col("line")))
-    first = lines.groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "at").alias("opens"), F.min_by("line", "at").alias("line"))
-    whole_line = j.parse_strict(F.col("line")).isNotNull()
-    kinds = first.select("file", (F.col("opens") == "{").alias("object"), whole_line.alias("whole")).collect()
-    line_files = [k["file"] for k in kinds if k["object"] and k["whole"]]
-    other = [k["file"] for k in kinds if not (k["object"] and k["whole"])]
-    if other:
-        # A broken first line, or a document spread over lines? Only a document parses as a whole.
-        texts = spark.read.text(other, wholetext=True)
-        parsed = texts.filter(j.parse_strict(F.col("value")).isNotNull()).select(F.col("_metadata.file_path").alias("file"))
-        documents = {row["file"] for row in parsed.collect()}
-        line_files += [k["file"] for k in kinds if k["object"] and not k["whole"] and k["file"] not in documents]
-    else:
-        documents = set()
-    parts = []
-    if line_files:
-        parts.append(_record_lines(spark, line_files))
-    if documents:
-        parts.append(_record_documents(spark, sorted(documents)))
-    if not parts:
-        return spark.range(0).select(F.parse_json(F.lit("null")).alias("record"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def read_action_lists(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+    raise ValueError(f"unknown layout: {layout}")
+
+
+def read_action_lists(spark: SparkSession, path, layout: str) -> DataFrame:
     return normalize_action_lists(read_raw_records(spark, path, layout))
 
 
-def read_sessions(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+def read_sessions(spark: SparkSession, path, layout: str) -> DataFrame:
     return normalize_sessions(read_raw_records(spark, path, layout))
 
 
-def read_chats(spark: SparkSession, path, layout: str = "auto") -> DataFrame:
+def read_chats(spark: SparkSession, path, layout: str) -> DataFrame:
     return normalize_chats(read_raw_records(spark, path, layout))
 
 

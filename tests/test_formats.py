@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.operators import evaluation
 from faultline.operators.normalize_chats import normalize_chats
 from faultline.operators.normalize_history import normalize_histories
 from faultline.operators.normalize_sessions import normalize_sessions
+from faultline.plans.queries import QUERIES
 from faultline.sources import records
 
 
@@ -147,14 +149,14 @@ def test_raw_record_layouts(spark, tmp_path):
     (tmp_path / "pretty.json").write_text(json.dumps(two, indent=2))
     (tmp_path / "bad.json").write_text("[1, 2")
 
-    def ids(name):
-        return sorted(r.run_id for r in records.read_action_lists(spark, str(tmp_path / name)).collect())
+    def ids(name, layout="document"):
+        return sorted(r.run_id for r in records.read_action_lists(spark, str(tmp_path / name), layout).collect())
 
-    assert ids("lines.jsonl") == ["swe-agent-1", "swe-agent-2"]
+    assert ids("lines.jsonl", "lines") == ["swe-agent-1", "swe-agent-2"]
     assert ids("array.json") == ["swe-agent-1", "swe-agent-2"]
     assert ids("pretty.json") == ["swe-agent-2"]
     assert ids("bad.json") == []
-    assert not records.read_action_lists(spark, str(tmp_path / "pretty.json")).first().resolved
+    assert not records.read_action_lists(spark, str(tmp_path / "pretty.json"), "document").first().resolved
 
 
 def test_trace_directory_and_batch(spark, tmp_path):
@@ -186,3 +188,27 @@ def test_gold_labels_are_checked(spark, tmp_path):
     assert records.read_gold(spark, str(good)).first().labeler == "unknown"
     with pytest.raises(Exception, match="invalid category"):
         records.read_gold(spark, str(bad)).collect()
+
+
+def test_labels_keep_the_order_of_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "labels"
+    folder.mkdir()
+    first = [{"run_id": "r", "label": f"old {i} " + "x" * 200} for i in range(400)] + [{"run_id": "s", "label": "only"}]
+    (folder / "a.jsonl").write_text("\n".join(map(json.dumps, first)))
+    (folder / "b.jsonl").write_text('{"run_id": "r", "label": "older"}\n\n{broken\n{"run_id": "r", "label": "new"}\n{"run_id": "s", "label": ["x"')
+    labels = evaluation.load_labels(records.read_labels(spark, str(folder), "label"), "label", "seq")
+    assert sorted(map(tuple, labels.collect())) == [("r", "NEW"), ("s", "ONLY")]
+
+
+def test_cards_with_a_mistyped_field_stay(spark, tmp_path):
+    path = tmp_path / "cards.jsonl"
+    path.write_text('{"run_id": "a", "confidence": "high", "owner": "o"}\n{"run_id": "b", "confidence": 0.5}\n{"run_id": \n\n[1]\n')
+    cards = {r.run_id: (r.confidence, r.owner) for r in records.read_cards(spark, str(path)).collect()}
+    assert cards == {"a": (None, "o"), "b": (0.5, None)}
+
+
+@pytest.mark.parametrize("name", ["chat_steps", "history_steps", "action_list_steps", "transcript_steps", "session_summary_steps", "sdk_steps"])
+def test_no_filter_repeats_a_normalizer(name, spark, sample):
+    plan = QUERIES[name](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter " in line]
+    assert not [f for f in filters if "transform(" in f or "variant_get" in f]

@@ -3,13 +3,14 @@ import json
 from pyspark.sql import functions as F
 
 from faultline.operators import cards as card_ops
-from faultline.operators.compaction import compacted_parts, compacted_runs
+from faultline.operators.compaction import compacted_parts, compacted_runs, run_words
+from faultline.operators.responses import keyword_baseline
 from faultline.operators.rules import apply_rules
 from faultline.operators.signals import signals_from_runs, signals_from_steps
 from faultline.operators.steps import failed_steps, last_steps, steps_table, with_run_facts
 from faultline.plans.classify import classify_runs, match_rules_nested
 from faultline.sources.records import read_runs
-from tests.runs import CASES
+from tests.runs import CASES, run
 
 
 def _runs(spark, tmp_path):
@@ -61,6 +62,19 @@ def test_baseline_answers_without_responses(spark, tmp_path):
     assert all(c.fix_suggestion for c in cards.values())
 
 
+def test_baseline_reaches_every_code_in_both_forms(spark, tmp_path):
+    words = {
+        "ENVIRONMENT": "ImportError: x", "INFRA_ERROR": "code 503", "RESOURCE_LIMIT": "Timeout", "TOOL_USE": "Edit failed",
+        "VERIFICATION": "premature", "CONTEXT_RETRIEVAL": "Could not find it", "REASONING": "wrong sign", "SCOPING": "unclear", "OTHER": "",
+    }
+    path = tmp_path / "baseline.jsonl"
+    path.write_text("\n".join(json.dumps(run(code, [("message", "look at it"), ("message", word)])) for code, word in words.items()))
+    runs = read_runs(spark, str(path))
+    nested = {r.run_id: r.primary_category for r in classify_runs(runs, use_rules=False).collect()}
+    folded = {r.run_id: r.primary_category for r in keyword_baseline(run_words(steps_table(runs), _own(runs))).collect()}
+    assert nested == folded == {code: code for code in words}
+
+
 def test_compacted_parts_join_to_the_nested_text(spark, tmp_path):
     runs = _runs(spark, tmp_path)
     whole = {r.run_id: r.text for r in compacted_runs(runs).collect()}

@@ -52,7 +52,10 @@ def test_annotators(spark):
     first = spark.createDataFrame([("1", " a", 0), ("1", "b", 1), ("2", "A", 0), ("3", "", 0)], "run_id STRING, label STRING, seq INT")
     labels = evaluation.load_labels(first, "label", "seq")
     assert sorted(map(tuple, labels.collect())) == [("1", "B"), ("2", "A")]
-    assert evaluation.annotator_agreement(labels, labels).count() == 0  # below the minimum overlap
+    few = evaluation.annotator_agreement(labels, labels).first()
+    assert (few.n, few.enough_overlap) == (2, False)
+    none = evaluation.annotator_agreement(labels, labels.limit(0)).first()
+    assert (none.n, none.percent, none.kappa, none.band, none.enough_overlap) == (0, None, None, None, False)
     assert evaluation.annotator_agreement(labels, labels, 2).first().band == "Strong"
 
 
@@ -67,13 +70,13 @@ def _platt(rows, lr=0.1, steps=200):
     return a, b
 
 
-def test_platt_fit_inline_and_stepwise(spark):
+def test_platt_fit(spark):
     rows = [(0.9, True)] * 4 + [(0.9, False)] * 6 + [(0.6, True)] * 3 + [(0.2, False)]
     pairs = spark.createDataFrame(rows, "confidence DOUBLE, correct BOOLEAN")
-    for options in ({}, {"max_inline": 1, "steps": 20}):
-        fitted = calibration.fit_platt(pairs, **options).first()
-        assert (fitted.a, fitted.b) == pytest.approx(_platt(rows, steps=options.get("steps", 200)), abs=1e-9)
-    low = calibration.calibrate(pairs, calibration.fit_platt(pairs)).filter("confidence = 0.9").first().calibrated
+    parameters = calibration.fit_platt(pairs, steps=20)
+    fitted = parameters.first()
+    assert (fitted.a, fitted.b) == pytest.approx(_platt(rows, steps=20), abs=1e-9)
+    low = calibration.calibrate(pairs, parameters).filter("confidence = 0.9").first().calibrated
     assert low < 0.9
     with pytest.raises(ValueError):
         calibration.fit_platt(pairs.limit(1))
@@ -122,7 +125,7 @@ def test_few_other_cards_give_keywords(spark):
     cards = spark.createDataFrame(
         [("1", "OTHER", "strange failure", []), ("2", "SCOPING", "ignored", [])],
         "run_id STRING, primary_category STRING, root_cause STRING, evidence ARRAY<STRUCT<step_index: INT, excerpt: STRING, why: STRING>>")
-    assert [r.term for r in mining.explain_other(cards).collect()] == ["failure", "strange"]
+    assert [r.term for r in mining.explain_other(cards, "keywords").collect()] == ["failure", "strange"]
 
 
 def test_report_row(spark):
