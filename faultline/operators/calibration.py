@@ -54,20 +54,22 @@ def bin_of(confidence: Column, bins: int = BINS) -> Column:
     return case
 
 
-def reliability(pairs: DataFrame, bins: int = BINS) -> DataFrame:
-    """Non-empty bins: ``bin, bin_mid, mean_confidence, accuracy, count, gap, marker``."""
-    width = 1.0 / bins
-    binned = pairs.select(bin_of(F.col("confidence"), bins).alias("bin"), "confidence", "correct").filter(
-        F.col("bin").isNotNull()
-    )
-    per_bin = binned.groupBy("bin").agg(
+def _per_bin(pairs: DataFrame, bins: int) -> DataFrame:
+    """One row per bin; rows that have no bin count under a null one."""
+    binned = pairs.select(bin_of(F.col("confidence"), bins).alias("bin"), "confidence", "correct")
+    return binned.groupBy("bin").agg(
         F.round(F.avg("confidence"), 4).alias("mean_confidence"),
         F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"),
         F.count("*").alias("count"),
     )
+
+
+def reliability(pairs: DataFrame, bins: int = BINS) -> DataFrame:
+    """Non-empty bins: ``bin, bin_mid, mean_confidence, accuracy, count, gap, marker``."""
+    width = 1.0 / bins
     mid = F.array(*[F.lit((i * width + (i + 1) * width) / 2) for i in range(bins)])[F.col("bin")]
     gap = F.col("mean_confidence") - F.col("accuracy")
-    return per_bin.select(
+    return _per_bin(pairs, bins).filter(F.col("bin").isNotNull()).select(
         "bin", mid.alias("bin_mid"), "mean_confidence", "accuracy", "count", gap.alias("gap"),
         F.when(gap > 0.05, "▲").when(gap < -0.05, "▼").otherwise("≈").alias("marker"),
     )
@@ -75,12 +77,13 @@ def reliability(pairs: DataFrame, bins: int = BINS) -> DataFrame:
 
 def calibration_error(pairs: DataFrame, bins: int = BINS) -> DataFrame:
     """``ece`` (weighted by count, divided by all rows, binned or not) and ``mce``."""
-    per_bin = reliability(pairs, bins)
-    sums = per_bin.agg(
-        F.coalesce(F.sum(F.abs("gap") * F.col("count")), F.lit(0.0)).alias("weighted"),
-        F.coalesce(F.max(F.abs("gap")), F.lit(0.0)).alias("mce"),
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("mean_confidence") - F.col("accuracy")))
+    sums = _per_bin(pairs, bins).agg(
+        F.coalesce(F.sum(gap * F.col("count")), F.lit(0.0)).alias("weighted"),
+        F.coalesce(F.max(gap), F.lit(0.0)).alias("mce"),
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("n"),
     )
-    return sums.withColumn("n", pairs.agg(F.count("*")).scalar()).select(
+    return sums.select(
         F.round(F.when(F.col("n") > 0, F.col("weighted") / F.col("n")).otherwise(0.0), 4).alias("ece"),
         F.round("mce", 4).alias("mce"), "n",
     )
