@@ -604,6 +604,10 @@ ORACLES: dict[str, str] = {
     "accuracy_kappa": f"WITH {VERDICTS}" + _KAPPA.format(by="", src="pairs", group="") + """
       , e AS (SELECT sum((tm.c / n.n) * (pm.c / n.n)) AS e FROM n, tm JOIN pm USING (label))
       SELECT n.n, n_agree, round(n_agree / n.n, 6) AS accuracy, round(CASE WHEN e >= 1 THEN 1 ELSE (n_agree / n.n - e) / (1 - e) END, 6) AS kappa FROM n, e""",
+    "eval_report": f"WITH {VERDICTS}" + _KAPPA.format(by="", src="pairs", group="") + """
+      , e AS (SELECT sum((tm.c / n.n) * (pm.c / n.n)) AS e FROM n, tm JOIN pm USING (label))
+      SELECT n.n, round(n_agree / n.n, 4) AS accuracy, round(CASE WHEN e >= 1 THEN 1 ELSE (n_agree / n.n - e) / (1 - e) END, 4) AS kappa,
+        true AS accuracy_inside, true AS kappa_inside FROM n, e""",
     "per_class": _ver("""
       , l AS (SELECT DISTINCT unnest([t, p]) AS label FROM pairs),
       c AS (SELECT label, count(*) FILTER (WHERE t = label AND p = label) AS tp, count(*) FILTER (WHERE p = label) AS pp,

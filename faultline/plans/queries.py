@@ -463,6 +463,17 @@ def eval_details(spark, sf_dir):
     return evaluation.details(cards, gold.unionByName(again), "seq")
 
 
+@query
+def eval_report(spark, sf_dir):
+    """The report's point estimates, and whether its drawn intervals hold them."""
+    made = evaluation.report(_pairs(spark, sf_dir))
+    return made.select(
+        "n", "accuracy", "kappa",
+        F.col("accuracy").between(F.col("accuracy_low"), F.col("accuracy_high")).alias("accuracy_inside"),
+        F.col("kappa").between(F.col("kappa_low"), F.col("kappa_high")).alias("kappa_inside"),
+    )
+
+
 @query
 def accuracy_kappa(spark, sf_dir):
     numbers = evaluation.agreement(_pairs(spark, sf_dir))
