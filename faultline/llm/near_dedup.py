@@ -11,8 +11,14 @@ Candidates whose signatures agree too little are put aside (a pair at the thresh
 with a probability under 1e-4), all others are confirmed on their full shingle sets. Trees run in two rounds;
 the second starts from the components of the first and proposes only pairs between different ones.
 
-Recall: a pair at a similarity of 0.8 shares the first token of a tree with probability 0.8, so it stays apart
-in all 12 trees with probability 4e-9 where nodes are small, and 4e-5 where the ten deep trees need two tokens.
+What is left then are roots of more than ``SMALL`` members outside their main component, such as edits of one
+original that are not alike among themselves. They are first compared with the member whose signature values
+are the most frequent ones, which the original of many edits has. Members of the roots that remain go through an
+exact join: of values in the order of their frequency, two signatures that agree ``AGREE`` times share one of the
+``WIDTH - AGREE + 1`` rarest, and all members that share one are compared on their full sets, in blocks.
+
+Recall: a pair at a similarity of 0.8 shares the first token of a tree with probability 0.8, so no root holds it
+with probability 4e-9; a pair that a root holds is proposed unless its signatures agree too little.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ ROUNDS = ((range(0, 2), 1), (range(2, TREES), LEVELS))
 SMALL = 16
 AGREE = 36
 WIDTH = TREES * LEVELS
+#: Shingles of a block of members that the exact join compares in one task with another.
+BLOCK_SHINGLES = 1 << 19
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,8 +153,17 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = written(pairs)
-    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    involved = written(involved)  # a known size: only where it is too large to send out do whole texts shuffle
+    sets = _sets(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), size, key, text)
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("la"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("lb"))
+    shared = F.size(F.array_intersect("la", "lb"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("la") + F.size("lb")).alias("s"))
+    return joined.filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct()
+
+
+def _sets(docs: DataFrame, reps: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(rep, shingles) of the texts under the ids in ``reps``."""
+    involved = written(reps.distinct())  # a known size: only where it is too large to send out do whole texts shuffle
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text")).join(involved, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +171,86 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: s
             found = [shingles(v, size).view(np.int64) for v in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    sets = written(texts.mapInArrow(run, "rep long, shingles array<long>"))
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("la"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("lb"))
-    shared = F.size(F.array_intersect("la", "lb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("la") + F.size("lb")).alias("s"))
-    return joined.filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct()
+    return written(texts.mapInArrow(run, "rep long, shingles array<long>"))
+
+
+def _unsettled(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the roots with few members outside the main component; (path, rep, component) of those with many."""
+    members = written(_members(known, range(TREES)).select("path", "rep", "component"))
+    sizes = members.groupBy("path", "component").count()
+    main = F.max_by("component", F.struct("count", "component"))
+    roots = sizes.groupBy("path").agg(F.sum("count").alias("n"), F.max("count").alias("most"), main.alias("main"))
+    roots = roots.withColumn("rest", F.col("n") - F.col("most")).filter((F.col("n") > SMALL) & (F.col("rest") > 0))
+    large = written(members.join(roots.select("path", "main", "rest"), "path"))
+    few = large.filter(F.col("rest") <= SMALL)
+    return _proposed(few.filter("component <> main"), few), large.filter(F.col("rest") > SMALL).select("path", "rep", "component")
+
+
+def _rarity(classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, values, common): signature values as numbers, the rarest among ``reps`` first, and the sum of their counts."""
+    position = F.posexplode("signature").alias("at", "value")
+    values = classes.join(reps, "rep", "left_semi").select("rep", position).select("rep", F.xxhash64("at", "value").alias("value"))
+    values = written(values)
+    counted = values.join(values.groupBy("value").agg(F.count("*").alias("n")), "value")
+    grouped = counted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.sum("n").alias("common"))
+    return written(grouped)
+
+
+def _with_originals(many: DataFrame, rarity: DataFrame) -> DataFrame:
+    """Pairs of each root's members with the one whose signature values are the most frequent."""
+    weighed = written(many.join(rarity.select("rep", "common"), "rep"))
+    best = F.struct("common", "rep", "component")
+    chosen = weighed.groupBy("path").agg(F.max(best).alias("best")).select("path", "best.rep", F.col("best.component").alias("main"))
+    joined = weighed.join(chosen.withColumnRenamed("rep", "leader"), "path").filter("component <> main")
+    return joined.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def _exact(members: DataFrame, rarity: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect whatever pairs of ``members`` (rep, component) at the threshold connect.
+
+    Members of one prefix value are cut into blocks of about ``BLOCK_SHINGLES``; each two blocks meet in one task.
+    A task gives no link between members that its former links connect, so its rows are fewer than its members.
+    """
+    prefix = F.explode(F.slice("values", 1, WIDTH - AGREE + 1)).alias("value")
+    shared = rarity.select("rep", prefix).filter("value.n > 1").select("rep", F.col("value.value").alias("value"))
+    sized = sets.select("rep", F.size("shingles").cast("long").alias("n"))
+    shared = written(shared.join(members, "rep").join(sized, "rep"))
+    groups = shared.groupBy("value").agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.filter("low <> high").select("value", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = shared.join(groups, "value").withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("value", "rep", "component", "own", other).select(
+        "value", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "component")
+    placed = written(placed)
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, first, second = (group.column(c).to_numpy() for c in ("own", "first", "second"))
+        reps, root = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
+        found = [np.asarray(v) for v in group.column("shingles").to_numpy()]
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        lengths = np.array([len(v) for v in found])
+        _, numbers = np.unique(np.concatenate(found), return_inverse=True)
+        numbers = np.split(numbers, np.cumsum(lengths)[:-1])
+        # The holders of each shingle among the right block, shingle by shingle.
+        held = np.concatenate([numbers[i] for i in right])
+        holders = np.repeat(np.arange(len(right)), lengths[right])[np.argsort(held, kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(held, minlength=max(int(n.max()) for n in numbers) + 1))))
+        a, b = [], []
+        for i in left:
+            if (root[right] == root[i]).all():
+                continue
+            met = np.concatenate([holders[ends[k]:ends[k + 1]] for k in numbers[i]])
+            same = np.bincount(met, minlength=len(right))
+            near = same * 100 >= percent * (lengths[i] + lengths[right] - same)
+            for j in right[near]:
+                if root[i] != root[j]:
+                    a.append(min(reps[i], reps[j]))
+                    b.append(max(reps[i], reps[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = placed.join(sets, "rep")
+    return joined.groupBy("value", "first", "second").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,12 +303,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     links = written(repeated.join(several, "doc_id", "left_semi").select(
         F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b")))
     labels = components(links)
+
+    def known() -> DataFrame:
+        return classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirmed(_agreeing(written(pairs), classes, percent), docs, size, percent, key, text)
+
+    def merged(links: DataFrame) -> DataFrame:
+        return written(components(links.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))))
+
     for trees, levels in ROUNDS:
-        known = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pairs = _agreeing(written(candidates(known, trees, levels)), classes, percent)
-        more = confirmed(pairs, docs, size, percent, key, text)
-        links = more.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))
-        labels = written(components(links))
+        labels = merged(linked(candidates(known(), trees, levels)))
+    few, many = _unsettled(known())
+    if not many.isEmpty():
+        rarity = _rarity(classes, many.select("rep"))
+        labels = merged(linked(few.unionByName(_with_originals(many, rarity)).distinct()))
+        few, many = _unsettled(known())
+    links = linked(few.distinct())
+    if not many.isEmpty():
+        members = written(many.select("rep", "component").distinct())
+        sets = _sets(docs, members.select("rep"), size, key, text)
+        links = links.unionByName(_exact(members, _rarity(classes, members.select("rep")), sets, percent))
+    labels = merged(links)
     named_ids = found.join(reps, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return named_ids.select(

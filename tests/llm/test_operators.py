@@ -144,6 +144,49 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(r[0] for r in plain_groups(rows, 5, 80) if r[3])
 
 
+def star(dice, words, edits, first):
+    """One text of 300 words, and edits of it that are near it and not near one another."""
+    base = dice.choices(words, k=300)
+    rows = []
+    for _ in range(edits):
+        text = list(base)
+        for at in dice.sample(range(0, 300, 4), 6):
+            text[at] = dice.choice(words)
+        rows.append((first + len(rows), " ".join(text)))
+    return rows + [(first + edits, " ".join(base))]
+
+
+@pytest.mark.parametrize("edits", [300, 2000])
+def test_near_duplicates_of_stars_equal_all_pairs(spark, edits):
+    dice = random.Random(8)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = star(dice, words, edits, 0)
+    sets = [set(zip(w, w[1:], w[2:], w[3:])) for w in (t.split() for _, t in rows)]
+    assert all(100 * len(s & sets[-1]) >= 80 * len(s | sets[-1]) for s in sets)
+    assert not any(100 * len(s & sets[0]) >= 80 * len(s | sets[0]) for s in sets[1:-1])
+    wanted = [(i, len(s), 0, i == 0) for (i, _), s in zip(rows, sets)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80)
+    assert ordered(found.collect()) == ordered(wanted)
+
+
+def test_exact_join_links_what_no_single_member_holds_together(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    dice = random.Random(9)
+    words = [f"w{i}" for i in range(50_000)]
+    shared, rows = dice.choices(words, k=200), []
+    for _ in range(40):  # pairs near each other, in a crowd that is alike below the threshold
+        text = shared + dice.choices(words, k=40)
+        for _ in range(2):
+            text = list(text)
+            for at in dice.sample(range(0, 240, 4), 5):
+                text[at] = dice.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    wanted = plain_groups(rows, 4, 80)
+    assert 20 < len({r[2] for r in wanted}) < 80
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80)
+    assert ordered(found.collect()) == ordered(wanted)
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f"), (1, "z y"), (2, "z y"), (None, "z y"), (3, None), (0, "a b c d e f"), (4, "q"), (4, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
