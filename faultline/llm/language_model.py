@@ -1,16 +1,18 @@
-"""Language-model scoring with bigram counts in a log-frequency Bloom filter.
+"""Language-model scoring with bigram counts on a logarithmic scale.
 
 * ``tokenised`` cuts the corpus into blocks of whole documents: numbers of words, and each block's distinct
   word hashes with their training counts.
 * ``word_counts`` sends each block's words to buckets by hash, adds them up, and answers every block. Counts
   are exact; a word stands once per block, so a frequent word costs no more than others.
-* ``filter_of`` adds up training bigrams by bucket and enters each in its bucket's segment of the filter,
-  once for every level up to 1 + floor(2 log2 count).
-* ``scores`` probes the filter level by level. A bigram's count c2 gives (c2 + K p1) / (c1 + K), where c1 is
-  the count of the word before and p1 the smoothed share of the word alone.
-
-The filter has ``BITS_PER_ENTRY`` bits for each entry, up to ``MOST_BITS``, which bounds what is broadcast.
-No bigram is left out: beyond that size more probes succeed by chance.
+* ``pair_levels`` does the same with each block's distinct bigrams and answers with the level of the count,
+  1 + floor(2 log2 count), in one byte.
+* ``scores`` reads a level as a count c2, which gives (c2 + K p1) / (c1 + K), where c1 is the count of the word
+  before and p1 the smoothed share of the word alone.
+
+Buckets grow in number and not in size with the corpus, and nothing is broadcast. Bigrams of a bucket are told
+apart by 32 bits, so one never seen meets another's count with a probability of at most 2^20 / 2^32.
+``filter_of`` puts the levels into a Bloom filter of at most ``MOST_BITS``, for small corpora; ``scores`` does
+not use it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +151,11 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS, 1 + np.floor(2 * np.log2(counts)).astype(np.int64))
 
 
+def _counts(levels: np.ndarray) -> np.ndarray:
+    """The middle of each level; 0 stays 0."""
+    return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 2.0 ** ((levels - 0.5) / 2)))
+
+
 def _slots(rest: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     """Places of an entry in its segment; ``rest`` is its key without the bucket."""
     base = _mixed(rest.astype(np.uint64) * np.uint64(2 * LEVELS) + np.uint64(level))
@@ -181,7 +187,7 @@ class LogFilter:
             if not len(alive):
                 break
             level[alive] = number
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** ((level - 0.5) / 2)))
+        return _counts(level)
 
 
 def filter_of(blocks: DataFrame, pairs: int) -> LogFilter:
@@ -224,12 +230,44 @@ def filter_of(blocks: DataFrame, pairs: int) -> LogFilter:
     return found
 
 
-def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, trained: int, distinct: int, model: Broadcast) -> DataFrame:
+def pair_levels(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, levels): levels of the training counts of each block's distinct bigrams, 0 for one never seen."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            row = {c: batch.column(c)[0].as_py() for c in ("block", "held", "lengths", "tokens", "words")}
+            lengths = np.frombuffer(row["lengths"], "<u4")
+            keys = _pair_keys(np.frombuffer(row["words"], np.uint64), _unpacked(row["tokens"]), lengths)
+            keys, place = np.unique(keys, return_inverse=True)
+            counts = np.bincount(place[np.repeat(~np.array(row["held"]), lengths)], minlength=len(keys))
+            parts = []
+            for bucket, at in _bucketed(keys, buckets):
+                rest = (keys[at] // np.uint64(buckets)).astype("<u4")  # the low 32 bits
+                parts.append((bucket, rest.tobytes(), counts[at].astype("<u4").tobytes()))
+            columns = [pa.array([row["block"]] * len(parts), pa.int64()),
+                       *(pa.array([p[i] for p in parts], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "rest", "counts"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(r, "<u4") for r in group.column("rest").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()])
+        _, place = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = np.bincount(place, weights=counts)
+        levels = np.where(totals > 0, _levels(np.maximum(totals, 1)), 0).astype(np.uint8)[place]
+        replies = [part.tobytes() for part in np.split(levels, np.cumsum([len(a) for a in asked])[:-1])]
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "levels": pa.array(replies, pa.binary())})
+
+    asked = blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(ask, "block long, bucket int, rest binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, levels binary")
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, pairs: DataFrame, pair_buckets: int, trained: int, distinct: int) -> DataFrame:
     replies = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("replies"))
+    pairs = pairs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("levels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            row = {c: batch.column(c)[0].as_py() for c in ("ids", "held", "lengths", "tokens", "words", "replies")}
+            row = {c: batch.column(c)[0].as_py() for c in ("ids", "held", "lengths", "tokens", "words", "replies", "levels")}
             lengths, tokens, words = np.frombuffer(row["lengths"], "<u4"), _unpacked(row["tokens"]), np.frombuffer(row["words"], np.uint64)
             counts = np.empty(len(words), np.int64)
             for reply, (_, at) in zip(row["replies"], _bucketed(words, buckets)):
@@ -240,15 +278,19 @@ def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, trained: int, d
             before = np.empty_like(own)
             before[1:] = own[:-1]
             before[starts] = counts[np.flatnonzero(words == END)[0]]
-            pairs = np.minimum(model.value.counts(_pair_keys(words, tokens, lengths)), np.minimum(own, before))
-            smoothed = (pairs + PRIOR * alone) / (before + PRIOR)
+            keys, place = np.unique(_pair_keys(words, tokens, lengths), return_inverse=True)
+            level = np.empty(len(keys), np.uint8)
+            for reply, (_, at) in zip(row["levels"], _bucketed(keys, pair_buckets)):
+                level[at] = np.frombuffer(reply["levels"], np.uint8)
+            found = np.minimum(_counts(level)[place], np.minimum(own, before))
+            smoothed = (found + PRIOR * alone) / (before + PRIOR)
             values = (
                 row["ids"], row["held"], lengths.astype(np.int64), np.add.reduceat((own > 0).astype(np.int64), starts),
                 np.full(len(lengths), trained), np.add.reduceat(np.log10(alone), starts), np.add.reduceat(np.log10(smoothed), starts))
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=NAMES)
 
-    return blocks.join(replies, "block").select("ids", "held", "lengths", "tokens", "words", "replies").mapInArrow(
+    return blocks.join(replies, "block").join(pairs, "block").select("ids", "held", "lengths", "tokens", "words", "replies", "levels").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -266,5 +308,6 @@ def scores(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["words"] or 0) // BUCKET_ENTRIES))
     answers = written(word_counts(blocks, buckets))
     totals = answers.agg(F.sum("trained").alias("n"), F.sum("distinct").alias("v")).first()
-    model = docs.sparkSession.sparkContext.broadcast(filter_of(blocks, sizes["pairs"] or 0))
-    return _scored(blocks, answers, buckets, totals["n"] or 0, totals["v"] or 0, model)
+    pair_buckets = max(buckets, -(-(sizes["pairs"] or 0) // BUCKET_ENTRIES))
+    pairs = written(pair_levels(blocks, pair_buckets))
+    return _scored(blocks, answers, buckets, pairs, pair_buckets, totals["n"] or 0, totals["v"] or 0)

@@ -218,6 +218,31 @@ def test_language_model_counts(spark, sample):
     assert language_model.scores(docs.limit(0)).count() == 0
 
 
+def test_language_model_bigrams_do_not_depend_on_a_size(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "MOST_BITS", 1 << 10)
+    dice = random.Random(7)
+    rows = [(i, " ".join(dice.choices([f"w{n}" for n in range(60)], k=100))) for i in range(60)]
+
+    def tokens(text):
+        return [None, *text.encode().split(), None]
+
+    seen, pairs = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            seen.update(tokens(t)[1:])
+            pairs.update(zip(tokens(t), tokens(t)[1:]))
+    n, v = sum(seen.values()), len(seen)
+
+    def share(a, b):
+        level = 1 + math.floor(2 * math.log2(pairs[a, b])) if pairs[a, b] else 0
+        count = min(level if level < 2 else 2 ** ((level - 0.5) / 2), seen[a], seen[b])
+        return (count + 200 * (seen[b] + 0.1) / (n + 0.1 * (v + 1))) / (seen[a] + 200)
+
+    found = {r["doc_id"]: r["score"] for r in language_model.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        assert math.isclose(found[i], sum(math.log10(share(a, b)) for a, b in zip(tokens(t), tokens(t)[1:])), rel_tol=1e-9)
+
+
 def test_log_filter_keeps_every_bigram_within_a_level(spark):
     rows = [(i, " ".join(["the cat"] * (i % 7) + [f"w{i % 50}"])) for i in range(400)]
     blocks = language_model.tokenised(spark.createDataFrame(rows, "doc_id long, text string"), 10, 0)
