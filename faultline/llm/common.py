@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], name: str, most: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cuts of the batches whose texts in column ``name`` have about ``most`` bytes; a longer text stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(max(start + 1, int(np.searchsorted(ends, before + most, "right"))), start + rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a column; null is the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
