@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, fingerprints, language_model, near_dedup, pieces, quality, token_counts, token_files, toxicity, warc
+from faultline.llm import conversations, decontaminate, fingerprints, language_model, near_dedup, packing, pieces, quality, resampling
+from faultline.llm import token_counts, token_files, toxicity, warc
 from faultline.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +84,20 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = resampling.resampled(documents(spark, sf_dir), target, shuffle_width(spark))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"), shuffle_width(spark))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_rows(packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0))
