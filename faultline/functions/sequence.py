@@ -30,6 +30,20 @@ def with_ordinal(
     )
 
 
+def with_running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` over the rows before, per ``keys`` group in ``order``.
+
+    ``bucket`` must not decrease along ``order``. Sums run inside a bucket; one row per bucket carries them on.
+    """
+    df = df.withColumn("_value", value)
+    totals = df.groupBy(*keys, bucket).agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.join(carried, [*keys, bucket])
+    return summed.withColumn(name, F.col("_carried") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_value", "_carried")
+
+
 def with_previous(
     df: DataFrame, key: str, chunk: str, order: str, value: Column, name: str
 ) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import cut_lineage
+from faultline.functions.arrays import let
 
 LEARNING_RATE, STEPS = 0.1, 200
+DIGITS = 4
 BINS = 5
 
 
@@ -17,24 +18,32 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
 
 
-def fit_platt(pairs: DataFrame, lr: float = LEARNING_RATE, steps: int = STEPS) -> DataFrame:
+def fit_platt(pairs: DataFrame, lr: float = LEARNING_RATE, steps: int = STEPS, digits: int = DIGITS) -> DataFrame:
     """One row ``a, b, n`` such that P(correct) = sigmoid(a * confidence + b).
 
-    Equal confidences share their gradient, so the rows shrink to one per distinct value, with row count ``n``
-    and hits ``k``, written once. Each of the fixed number of steps aggregates that table; three numbers per
-    step reach the driver.
+    Confidences are rounded to ``digits`` decimals, so rows shrink to at most 10^digits + 1 groups whatever their
+    number, with row count ``n`` and hits ``k``; equal confidences share their gradient. All steps fold that list in
+    one expression of one job.
     """
-    groups = cut_lineage(pairs.groupBy("confidence").agg(
-        F.count("*").cast("double").alias("n"), F.count_if("correct").cast("double").alias("k")
-    ))
-    a, b, n = 1.0, 0.0, None
-    for _ in range(steps):
-        error = F.col("n") * sigmoid(a * F.col("confidence") + b) - F.col("k")
-        n, da, db = groups.agg(F.sum("n"), F.sum(error * F.col("confidence")), F.sum(error)).first()
-        if n is None or n < 2:
-            raise ValueError("need at least two rows to fit a calibration")
-        a, b = a - lr * da / n, b - lr * db / n
-    return groups.sparkSession.createDataFrame([(a, b, int(n))], "a DOUBLE, b DOUBLE, n BIGINT")
+    x = F.round("confidence", digits)
+    groups = pairs.filter(F.col("confidence").isNotNull()).groupBy(x.alias("x")).agg(
+        F.count("*").cast("double").alias("n"), F.count_if("correct").cast("double").alias("k"))
+    listed = groups.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("x", "n", "k"))).alias("groups"))
+
+    def moved(fit: Column, _: Column) -> Column:
+        def added(total: Column, g: Column) -> Column:
+            error = g["n"] * sigmoid(fit["a"] * g["x"] + fit["b"]) - g["k"]
+            return F.struct((total["da"] + error * g["x"]).alias("da"), (total["db"] + error).alias("db"))
+
+        zero = F.struct(F.lit(0.0).alias("da"), F.lit(0.0).alias("db"))
+        return let(F.aggregate("groups", zero, added), lambda d: F.struct(
+            (fit["a"] - lr * d["da"] / F.col("n")).alias("a"), (fit["b"] - lr * d["db"] / F.col("n")).alias("b")))
+
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    fitted = listed.select("n", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, moved).alias("fit")).first()
+    if fitted["n"] is None or fitted["n"] < 2:
+        raise ValueError("need at least two rows to fit a calibration")
+    return pairs.sparkSession.createDataFrame([(*fitted["fit"], int(fitted["n"]))], "a DOUBLE, b DOUBLE, n BIGINT")
 
 
 def calibrate(scores: DataFrame, parameters: DataFrame, column: str = "confidence") -> DataFrame:

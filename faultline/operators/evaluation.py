@@ -6,18 +6,18 @@ which one partially aggregated pass over the pairs yields.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.sequence import with_ordinal
 from faultline.functions.text import strip
+from faultline.session import cut_lineage
 
 MIN_OVERLAP = 5
 ITERATIONS, ALPHA, SEED = 1000, 0.05, 42
+SLOT = 1024  # row numbers that are looked up together
 
 
 def latest_gold(gold: DataFrame, order: str) -> DataFrame:
@@ -59,8 +59,12 @@ def _kappa(observed: Column, expected: Column) -> Column:
 def agreement(pairs: DataFrame, by: list[str] | None = None, empty_kappa: float = 0.0) -> DataFrame:
     """``n, n_agree, accuracy, kappa``, optionally per group. Without groups an empty input gives one
     row with accuracy 0 and ``empty_kappa``."""
-    by = by or []
-    labels = _marginals(cells(pairs, by), by)
+    return cell_agreement(cells(pairs, by), by or [], empty_kappa)
+
+
+def cell_agreement(cell: DataFrame, by: list[str], empty_kappa: float = 0.0) -> DataFrame:
+    """``agreement`` from confusion cells ``true, predicted, n``."""
+    labels = _marginals(cell, by)
     totals = labels.groupBy(*by).agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum("both"), F.lit(0)).alias("n_agree"),
         F.coalesce(F.sum(F.col("t").cast("double") * F.col("p")), F.lit(0.0)).alias("products"),
@@ -102,66 +106,82 @@ def confusion(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _statistics(counts: np.ndarray, truth: np.ndarray, predicted: np.ndarray, n_labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Accuracy and kappa of each replicate (row) of cell counts."""
-    n = counts.sum(axis=1).astype(float)
-    accuracy = counts[:, truth == predicted].sum(axis=1) / n
-    expected = np.zeros(len(counts))
-    for label in range(n_labels):
-        expected += (counts[:, truth == label].sum(axis=1) / n) * (counts[:, predicted == label].sum(axis=1) / n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kappa = np.where(expected >= 1.0, 1.0, (accuracy - expected) / (1.0 - expected))
-    return accuracy, kappa
-
+def _numbered_cells(pairs: DataFrame) -> DataFrame:
+    """Confusion cells with the stretch ``low <= i < high`` of row numbers each stands for.
 
-def bootstrap_statistics(pairs: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
-    """``replicate, accuracy, kappa`` of resamples with replacement.
-
-    Drawing n rows with replacement is a multinomial draw over the confusion cells, so a replicate costs
-    one draw per cell whatever n is. The replicates are spread over the tasks; each carries the cells
-    (at most labels x labels) and seeds its own generator, so a lost task repeats the same draws.
+    Cells are ordered inside buckets by a hash of their labels and buckets by number, so that free-text labels of
+    any variety are numbered in parallel; only the buckets' totals meet in one task.
+    """
+    bucket = F.substring(F.md5(F.concat_ws("|", "true", "predicted")), 1, 2)
+    cell = cells(pairs).withColumn("bucket", bucket)
+    totals = cell.groupBy("bucket").agg(F.sum("n").alias("_n"))
+    starts = totals.select("bucket", (F.sum("_n").over(Window.orderBy("bucket")) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy("bucket").orderBy("true", "predicted")
+    high = F.col("_start") + F.sum("n").over(inside)
+    return cell.join(starts, "bucket").withColumn("high", high).withColumn("low", F.col("high") - F.col("n")).select(
+        "true", "predicted", "n", "low", "high")
+
+
+def resampled_cells(pairs: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+    """``replicate, true, predicted, n``: confusion cells of resamples with replacement.
+
+    Draw ``i`` of replicate ``b`` is the row numbered md5(``seed:b:i``) (its first 32 bits) modulo the number of
+    rows, so any engine and any task draws the same. Row numbers belong to cells, not to rows: a draw is looked up in
+    the few cells of its slot of ``SLOT`` numbers, and draws are counted per replicate and cell before a shuffle.
     """
-    packed = cells(pairs).agg(F.array_sort(F.collect_list(F.struct("true", "predicted", "n"))).alias("cells"))
-    replicates = packed.filter(F.size("cells") > 0).select(
-        "cells", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate")
-    ).repartition(pairs.sparkSession.sparkContext.defaultParallelism, "replicate")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            cell = batch["cells"].iloc[0]
-            labels = {x: i for i, x in enumerate(sorted({c["true"] for c in cell} | {c["predicted"] for c in cell}))}
-            truth = np.array([labels[c["true"]] for c in cell])
-            predicted = np.array([labels[c["predicted"]] for c in cell])
-            n = np.array([c["n"] for c in cell], dtype=np.int64)
-            share = n / n.sum()
-            counts = np.stack(
-                [np.random.default_rng([seed, int(b)]).multinomial(n.sum(), share) for b in batch["replicate"]]
-            )
-            accuracy, kappa = _statistics(counts, truth, predicted, len(labels))
-            yield pd.DataFrame({"replicate": batch["replicate"], "accuracy": accuracy, "kappa": kappa})
-
-    return replicates.mapInPandas(draw, "replicate INT, accuracy DOUBLE, kappa DOUBLE")
+    own = cut_lineage(_numbered_cells(pairs))
+    total = own.select(F.sum("n")).scalar()
+    spark = pairs.sparkSession
+    # Stretches of numbers, dealt evenly whatever the cells' sizes.
+    blocks = own.select(F.explode(F.sequence("low", F.col("high") - 1, F.lit(SLOT).cast("long"))).alias("begin"), "high")
+    blocks = blocks.repartition(4 * spark.sparkContext.defaultParallelism, "begin")
+    numbers = blocks.select(F.explode(F.sequence("begin", F.least(F.col("begin") + SLOT, F.col("high")) - 1)).alias("i"))
+    draws = numbers.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate"), "i")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate"), F.col("i"))), 1, 8), 16, 10).cast("long") % total
+    draws = draws.select("replicate", drawn.alias("row")).withColumn("slot", F.floor(F.col("row") / SLOT))
+    slots = own.select(
+        "true", "predicted", "low",
+        F.explode(F.sequence(F.floor(F.col("low") / SLOT), F.floor((F.col("high") - 1) / SLOT))).alias("slot"))
+    # A slot has at most as many cells as numbers.
+    slots = slots.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("low", "true", "predicted"))).alias("cells"))
+    found = draws.join(slots, "slot").select(
+        "replicate", F.element_at(F.filter("cells", lambda c: c["low"] <= F.col("row")), -1).alias("cell"))
+    return found.groupBy("replicate", F.col("cell.true").alias("true"), F.col("cell.predicted").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def accuracy_and_kappa(cell: DataFrame, by: list[str]) -> DataFrame:
+    return cell_agreement(cell, by).drop("n", "n_agree")
+
+
+#: From confusion cells, per group: a row with the group's columns and a number in every other column.
+Statistic = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def bootstrap_statistics(
+    pairs: DataFrame, statistic: Statistic = accuracy_and_kappa, iterations: int = ITERATIONS, seed: int = SEED
+) -> DataFrame:
+    """``replicate`` and the columns of any ``statistic`` for each resample."""
+    return statistic(resampled_cells(pairs, iterations, seed), ["replicate"])
 
 
 def bootstrap_interval(
     pairs: DataFrame, iterations: int = ITERATIONS, alpha: float = ALPHA, seed: int = SEED,
-    upper_shift: int = -1,
+    upper_shift: int = -1, statistic: Statistic = accuracy_and_kappa,
 ) -> DataFrame:
-    """Percentile interval of accuracy and kappa. ``upper_shift`` is -1 for evaluation reports and 0 for
-    annotator reports, which take the next higher order statistic."""
+    """One row with ``{name}_low`` and ``{name}_high`` of every number of the statistic; 0 without rows.
+
+    ``upper_shift`` is -1 for evaluation reports and 0 for annotator reports, which take the next higher order
+    statistic.
+    """
     low = int((alpha / 2) * iterations)
     high = int((1 - alpha / 2) * iterations) + upper_shift
-    stats = bootstrap_statistics(pairs, iterations, seed)
+    stats = bootstrap_statistics(pairs, statistic, iterations, seed)
+    names = [c for c in stats.columns if c != "replicate"]
     # One value per replicate, so the sorted arrays hold ``iterations`` numbers.
-    a, k = F.array_sort(F.collect_list("accuracy")), F.array_sort(F.collect_list("kappa"))
-    zero = F.lit(0.0)
-    return stats.agg(a.alias("a"), k.alias("k")).select(
-        *[F.coalesce(F.get(column, F.lit(at)), zero).alias(name) for column, name, at in (
-            ("a", "accuracy_low", low), ("a", "accuracy_high", high), ("k", "kappa_low", low), ("k", "kappa_high", high),
-        )]
-    )
+    sorted_values = stats.agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in names])
+    return sorted_values.select(*[
+        F.coalesce(F.get(F.col(c), F.lit(at)), F.lit(0.0)).alias(f"{c}_{side}") for c in names for side, at in (("low", low), ("high", high))
+    ])
 
 
 def report(pairs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:

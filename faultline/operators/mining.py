@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer,
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer,
     VectorAssembler,
 )
+from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 # Words the keyword count ignores.
 KEYWORD_STOPWORDS = [
     "the", "a", "an", "is", "was", "of", "in", "to", "and", "or", "at", "by", "for", "with", "on", "not", "no",
@@ -21,7 +27,7 @@ KEYWORD_STOPWORDS = [
     "run", "code", "file", "error", "exit", "none", "true", "false", "from", "but", "its", "which", "their", "there",
 ]
 KEYWORD = r"(?U)\b[a-z][a-z_]{2,}\b"
-TERMS, CLUSTERS, SEED = 300, 3, 42
+TERMS, CLUSTERS, STARTS, SEED = 300, 3, 10, 42
 TREE_DEPTH, MIN_SUPPORT, MIN_PRECISION = 5, 3, 0.85
 
 
@@ -48,33 +54,79 @@ def top_keywords(texts: DataFrame, n: int = 20) -> DataFrame:
     return keyword_counts(texts).orderBy(F.desc("count"), "term").limit(n)
 
 
-def tfidf(texts: DataFrame, n_terms: int = TERMS):
-    """Add ``features``: unit TF-IDF vectors over the ``n_terms`` most frequent words and word pairs.
-    Returns the frame and the vocabulary."""
+def grams(texts: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """Add ``grams``: the words of two letters and more without ``stop_words`` (Spark's English list), and their
+    neighbouring pairs."""
     words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(
         texts.withColumn("text", F.coalesce("text", F.lit("")))
     )
-    kept = StopWordsRemover(
-        inputCol="_words", outputCol="_kept", stopWords=StopWordsRemover.loadDefaultStopWords("english"), locale="en_US"
-    ).transform(words)
+    ignored = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
+    kept = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=ignored, locale="en_US").transform(words)
     pairs = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(kept)
-    grams = pairs.withColumn("_grams", F.concat("_kept", "_pairs")).drop("_words", "_kept", "_pairs")
-    counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=n_terms).fit(grams)
-    counted = counter.transform(grams).drop("_grams")
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf
-    # The smoothed weight is ln((1 + n) / (1 + df)) + 1; Spark's model holds it without the 1.
-    weights = Vectors.dense([w + 1.0 for w in idf])
-    weighted = ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_weighted").transform(counted)
+    return pairs.withColumn("grams", F.concat("_kept", "_pairs")).drop("_words", "_kept", "_pairs")
+
+
+def term_weights(counted: DataFrame, n_terms: int = TERMS) -> DataFrame:
+    """``term, count, document_count, weight`` of the ``n_terms`` most frequent terms of rows with ``grams``.
+
+    Equal counts are taken in alphabetical order, so the vocabulary does not depend on partitions. The weight is
+    ln((1 + rows) / (1 + rows with the term)) + 1.
+    """
+    rows = counted.agg(F.count("*")).scalar()
+    # Numbered before the explode, which would otherwise come first.
+    held = counted.select(F.monotonically_increasing_id().alias("_row"), "grams").select("_row", F.explode("grams").alias("term"))
+    per_row = held.groupBy("term", "_row").agg(F.count("*").alias("n"))
+    terms = per_row.groupBy("term").agg(F.sum("n").alias("count"), F.count("*").alias("document_count"))
+    top = terms.orderBy(F.desc("count"), "term").limit(n_terms)
+    return top.withColumn("weight", F.log((1 + rows) / (1 + F.col("document_count"))) + 1)
+
+
+def tfidf(texts: DataFrame, n_terms: int = TERMS, stop_words: list[str] | None = None):
+    """Add ``features``: unit TF-IDF vectors over the ``n_terms`` most frequent words and word pairs.
+    Returns the frame and the vocabulary, by falling count and then by term."""
+    counted = grams(texts, stop_words)
+    top = term_weights(counted, n_terms).orderBy(F.desc("count"), "term").collect()  # n_terms rows
+    vocabulary = [r["term"] for r in top]
+    if not vocabulary:
+        return counted.drop("grams").withColumn("features", array_to_vector(F.array().cast("array<double>"))), vocabulary
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="_tf")
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense([r["weight"] for r in top]), inputCol="_tf", outputCol="_weighted").transform(
+        counter.transform(counted).drop("grams"))
     unit = Normalizer(inputCol="_weighted", outputCol="features").transform(weighted)
-    return unit.drop("_tf", "_weighted"), counter.vocabulary
+    return unit.drop("_tf", "_weighted"), vocabulary
 
 
-def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "run_id"):
+def best_of_starts(vectors: DataFrame, k: int, starts: int = STARTS, seed: int = SEED):
+    """KMeans models from ``starts`` seeds, trained side by side on the same cached rows; the one of least cost.
+
+    Equal costs take the lower seed. Returns the model and every start's cost.
+    """
+    vectors.persist()
+    try:
+        def fit(own: int):
+            return KMeans(k=k, seed=own, featuresCol="features", predictionCol="cluster").fit(vectors)
+
+        # Threads only submit jobs; the work of all starts is in the cluster's tasks.
+        with ThreadPoolExecutor(max_workers=starts) as pool:
+            models = list(pool.map(fit, range(seed, seed + starts)))
+    finally:
+        vectors.unpersist()
+    costs = [m.summary.trainingCost for m in models]
+    return models[min(range(starts), key=lambda i: (costs[i], i))], costs
+
+
+def cluster_texts(texts: DataFrame, k: int = CLUSTERS, key: str = "run_id", starts: int = STARTS):
     """KMeans over the texts: ``(members, terms)`` with ``cluster`` per key and the centroids as
-    ``cluster, term, weight``."""
+    ``cluster, term, weight``.
+
+    Rows are dealt by the digest of their key and sorted, so the starts do not depend on how the texts came.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digest = F.md5(F.col(key).cast("string"))
     vectors, vocabulary = tfidf(texts.select(key, "text"))
-    model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(vectors)
-    members = model.transform(vectors).select(key, "cluster")
+    dealt = cut_lineage(vectors.drop("text").repartition(parts, digest).sortWithinPartitions(digest))
+    model, _ = best_of_starts(dealt, k, starts)
+    members = model.transform(dealt).select(key, "cluster")
     # At most k x 300 numbers: the model itself.
     centers = [
         (c, vocabulary[i], float(w)) for c, center in enumerate(model.clusterCenters()) for i, w in enumerate(center)
@@ -189,28 +241,50 @@ def tree_rules(labelled: DataFrame, min_precision: float = MIN_PRECISION, min_su
     return kept.withColumn("precision", F.round("precision", 3)).orderBy(F.desc("precision"), F.desc("support"), "rule")
 
 
-CUBE_FLAGS = ["produced_patch", "no_file_edits", "hit_resource_limit", "catastrophic_edit", "verified_without_editing", "assertion_after_edit"]
+#: The boolean signals; conjunctions are mined over all of them unless others are named.
+FLAGS = [
+    "produced_patch", "no_file_edits", "ran_tests", "tests_passed", "finished_without_testing", "finished_on_red",
+    "hit_resource_limit", "catastrophic_edit", "verified_without_editing", "assertion_after_edit", "narrow_file_search",
+]
 
 
-def cube_rules(
+def conjunction_rules(
     labelled: DataFrame, flags: list[str] | None = None, min_precision: float = MIN_PRECISION,
-    min_support: int = MIN_SUPPORT,
+    min_support: int = MIN_SUPPORT, label: str = "true_label",
 ) -> DataFrame:
-    """Every conjunction of signal flags that is precise enough: the flags that take part are 0 or 1,
-    the others null.
+    """Every conjunction of ``flags`` (all boolean signals) that is precise enough for one label: the flags that
+    take part are 0 or 1, the others null; the empty conjunction counts too. A null flag is 0.
 
-    The rows are first counted per flag combination and label, at most 2^flags x labels rows, and only
-    these counts go through the cube.
+    Conjunctions are the frequent sets of items ``flag=value`` and the label, grown level by level from sets that
+    are frequent themselves, so sets that no ``min_support`` rows share are never built. ``min_precision`` must be
+    above one half, so that a conjunction has one label at most.
     """
-    flags = flags or CUBE_FLAGS
-    counted = labelled.groupBy(*[F.col(f).cast("int").alias(f) for f in flags], "true_label").agg(F.count("*").alias("n"))
-    sets = [[f for i, f in enumerate(flags) if mask >> i & 1] + ["true_label"] for mask in range(2 ** len(flags))]
-    cubed = counted.groupingSets(sets, *flags, "true_label").agg(F.sum("n").alias("n"), F.grouping_id().alias("_set"))
-    per_rule = cubed.groupBy("_set", *flags).agg(
-        F.sum("n").alias("support"), F.max("n").alias("hits"),
-        F.min_by("true_label", F.struct(-F.col("n"), F.col("true_label"))).alias("label"),
-    )
-    precise = per_rule.withColumn("precision", F.round(F.col("hits") / F.col("support"), 4)).filter(
-        (F.col("hits") / F.col("support") >= min_precision) & (F.col("support") >= min_support)
+    flags = flags or FLAGS
+    if min_precision <= 0.5:
+        raise ValueError("a precision of one half or less does not single out a label")
+    shown = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("int"), F.lit(0)).cast("string")) for f in flags]
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.array(*shown, F.concat(F.lit(_LABEL), F.col(label))).alias("items"))
+    rows = cut_lineage(rows)
+    n = rows.count()
+    if n < min_support:
+        return rows.sparkSession.createDataFrame(
+            [], ", ".join(f"{f} int" for f in flags) + ", label string, precision double, support bigint")
+    # A label's rows in a rule are at least as many as this, and so are the rule's own.
+    least = min(min_support, math.ceil(min_precision * min_support))
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets
+    whole = rows.groupBy(F.array().cast("array<string>").alias("items")).agg(F.count("*").alias("freq"))
+    sets = found.unionByName(whole).select(
+        F.array_sort(F.filter("items", lambda i: ~i.startswith(_LABEL))).alias("body"),
+        F.get(F.filter("items", lambda i: i.startswith(_LABEL)), 0).alias("label"), "freq")
+    rules = sets.groupBy("body").agg(
+        F.max(F.when(F.col("label").isNull(), F.col("freq"))).alias("support"),
+        F.max(F.when(F.col("label").isNotNull(), F.col("freq"))).alias("hits"),
+        F.max_by("label", F.when(F.col("label").isNotNull(), F.col("freq"))).alias("label"),
     )
-    return precise.select(*flags, "label", "precision", "support")
+    precision = F.col("hits") / F.col("support")
+    kept = rules.filter((F.col("support") >= min_support) & (precision >= min_precision))
+    values = [F.when(F.array_contains("body", f"{f}=1"), 1).when(F.array_contains("body", f"{f}=0"), 0).alias(f) for f in flags]
+    return kept.select(*values, F.substring("label", len(_LABEL) + 1, 1 << 30).alias("label"), F.round(precision, 4).alias("precision"), "support")
+
+
+_LABEL = "label="

@@ -36,7 +36,6 @@ FAILURE_MARKS = ["Error", "error", "Traceback", "FAILED", "exit code: 1"]
 SUCCESS_MARK = "exit code: 0"
 # Exit states that rule a solution out.
 UNRESOLVED_STATES = ["error", "cost", "context"]
-CONTENT_CHARS, OBSERVATION_CHARS = 2000, 4000
 
 
 def action_type(action: Column) -> Column:
@@ -53,9 +52,9 @@ def _step(event: Column) -> Column:
     action = F.coalesce(j.first_truthy_text(j.child(event, "$.action")), F.lit(""))
     seen = F.coalesce(j.first_truthy_text(j.child(event, "$.observation")), F.lit(""))
     shown = F.when(
-        F.length(seen) > 0, observation(F.substring(seen, 1, OBSERVATION_CHARS), inferred_exit(seen))
+        F.length(seen) > 0, observation(seen, inferred_exit(seen))
     )
-    return step(action_type(action), F.substring(action, 1, CONTENT_CHARS), shown)
+    return step(action_type(action), action, shown)
 
 
 def normalize_action_lists(records: DataFrame) -> DataFrame:

@@ -40,7 +40,6 @@ TOOLS = {
 }
 # Marks of a failed call in its answer (lower case).
 FAILURE_MARKS = ["error", "traceback", "not found", "failed"]
-ARGUMENT_CHARS, TEXT_CHARS, OBSERVATION_CHARS = 300, 2000, 4000
 
 def rendered_arguments(call: Column) -> Column:
     """The arguments as JSON, cut to 300 characters; text that is no JSON goes under ``raw``."""
@@ -48,7 +47,7 @@ def rendered_arguments(call: Column) -> Column:
     text = F.when(raw.isNull(), F.lit("{}")).otherwise(j.text_of(raw))
     valid = F.when(j.is_string(raw), j.parse_strict(text).isNotNull()).otherwise(True)
     wrapped = F.to_json(F.struct(text.alias("raw")))
-    return F.substring(j.spaced_json(F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(wrapped)), 1, ARGUMENT_CHARS)
+    return j.spaced_json(F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(wrapped))
 
 
 def inferred_exit(answer: Column) -> Column:
@@ -115,7 +114,7 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
 
     def call_step(e: Column, answer: Column) -> Column:
         seen = F.when(
-            F.length(answer) > 0, observation(F.substring(answer, 1, OBSERVATION_CHARS), inferred_exit(answer))
+            F.length(answer) > 0, observation(answer, inferred_exit(answer))
         )
         content = F.concat(e["name"], F.lit("("), e["content"], F.lit(")"))
         return placed(e, step(lookup(TOOLS, F.lower(e["name"]), "unknown"), content, seen))
@@ -123,7 +122,7 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
     calls = F.flatten(F.transform("_groups", lambda g: F.transform(g["calls"], lambda e: call_step(e, g["answer"]))))
     texts = F.transform(
         F.filter("_entries", lambda e: e["is_call"] == 2),
-        lambda e: placed(e, step(F.lit("unknown"), F.substring(e["content"], 1, TEXT_CHARS), F.lit(None))),
+        lambda e: placed(e, step(F.lit("unknown"), e["content"], F.lit(None))),
     )
     ordered = F.array_sort(
         F.concat(calls, texts),
@@ -150,7 +149,7 @@ def normalize_chats(records: DataFrame) -> DataFrame:
         steps=F.col("steps"), final_patch=nullif_empty(strip(shown_at(r, "$.patch", ""))),
         resolved=j.truthy(j.child(r, "$.resolved")),
         metadata=metadata({
-            "test_output": F.substring(shown_at(r, "$.test_output", ""), 1, TEXT_CHARS),
+            "test_output": shown_at(r, "$.test_output", ""),
             "acr_version": j.text_of(r, "$.acr_version"),
         }),
     )

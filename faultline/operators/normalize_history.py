@@ -48,7 +48,6 @@ EVENT_TYPES = {
 CONTENT_KEYS = ("command", "code", "content", "thought", "message", "path", "args")
 CONTENT_SUBKEYS = ("command", "code", "content", "path")
 OBSERVATION_KEYS = ("content", "message", "output")
-ARGS_CHARS = 500
 
 
 def action_type(name: Column, extra_types: dict[str, str] | None = None) -> Column:
@@ -108,9 +107,9 @@ def event_text(m: Column, replaced: dict[str, Column] | None = None) -> Column:
                 m[key]["kind"].startswith("OBJECT"), F.coalesce(*inner)
             )
         )
-    rendered = F.when(_truthy_text(m["args"]).isNotNull(), F.substring(j.spaced_json(
+    rendered = F.when(_truthy_text(m["args"]).isNotNull(), j.spaced_json(
         F.when(m["args"]["kind"] == "STRING", F.to_json(m["args"]["value"])).otherwise(m["args"]["text"])
-    ), 1, ARGS_CHARS))
+    ))
     return F.coalesce(*candidates, rendered, F.lit(""))
 
 

@@ -19,7 +19,6 @@ AGENT = "aider"
 # Marks in a transcript.
 EDIT_MARK = r"(?:Applied edit|Edited|Updated|Modified)\s+`?([^`\n]+)`?"
 ERROR_MARK = r"(?:Error|Failed|Traceback|Aider v\S+ is not installed)"
-CONTENT_CHARS, OBSERVATION_CHARS = 2000, 4000
 
 
 def _no_steps() -> Column:
@@ -44,19 +43,19 @@ def transcript_blocks(text: Column) -> Column:
     return let(F.split(lines, "\n> "), parts)
 
 
-def _block_step(block: Column) -> Column:
+def block_step(block: Column) -> Column:
     action, seen, last = block["action"], block["seen"], block["is_last"]
     kind = F.when(
         last, F.when(F.lower(action).contains("commit"), "finish").otherwise("command")
     ).otherwise(F.when(matches(seen, EDIT_MARK), "file_edit").otherwise("command"))
     code = F.when(~last & matches(seen, ERROR_MARK), 1).otherwise(0)
-    shown_text = F.when(F.length(seen) > 0, observation(F.substring(seen, 1, OBSERVATION_CHARS), code))
-    return step(kind, F.substring(action, 1, CONTENT_CHARS), shown_text)
+    shown_text = F.when(F.length(seen) > 0, observation(seen, code))
+    return step(kind, action, shown_text)
 
 
 def transcript_steps(blocks: Column) -> Column:
     """Steps of the blocks; a block with an empty action is no step."""
-    return numbered(F.transform(F.filter(blocks, lambda b: F.length(b["action"]) > 0), _block_step))
+    return numbered(F.transform(F.filter(blocks, lambda b: F.length(b["action"]) > 0), block_step))
 
 
 def summary_steps(record: Column) -> Column:

@@ -40,11 +40,11 @@ def _labels(present: dict[int, str]) -> str:
     return "array_compact(array(" + ", ".join(f"CASE WHEN {present[i]} THEN {quoted(LABELS[i])} END" for i in ordered) + "))"
 
 
-def step_facts(steps: DataFrame) -> DataFrame:
-    """The narrow per-step facts the fold needs: all regexes run here, before any shuffle, and the
-    long texts end here."""
+def step_facts(steps: DataFrame, *keep: str) -> DataFrame:
+    """The narrow per-step facts the fold needs, and the ``keep`` columns: all regexes run here, before any
+    shuffle, and the long texts end here."""
     flagged = steps.selectExpr(
-        "run_id", "index", "action_type", "exit_code", "has_obs", "coalesce(obs_content, '') AS _obs",
+        *keep, "run_id", "index", "action_type", "exit_code", "has_obs", "coalesce(obs_content, '') AS _obs",
         f"{stepflags.failed(*stepflags.STEP_COLUMNS)} AS failed",
         f"{stepflags.runs_tests('action_type', 'content')} AS is_test",
         f"{stepflags.runs_test_harness('action_type', 'content')} AS is_harness",
@@ -52,7 +52,7 @@ def step_facts(steps: DataFrame) -> DataFrame:
         f"{stepflags.opened_path('action_type', 'content')} AS _opened",
     )
     return flagged.selectExpr(
-        "run_id", "index", "failed", "is_test", "action_type = 'file_edit' AS is_edit",
+        *keep, "run_id", "index", "failed", "is_test", "action_type = 'file_edit' AS is_edit",
         "action_type = 'finish' AS is_finish",
         # A long command is grouped by its digest, a short one by itself; both exact.
         """CASE WHEN length(_command) <= 64 THEN concat('c', _command)
@@ -87,11 +87,15 @@ _MINIMA = {
 }
 
 
+#: All folds; each merges with itself in any order.
+FOLDED = (_SUMS, _MAXIMA, _MINIMA)
+
+
 def fold_steps(steps: DataFrame) -> DataFrame:
     """Per-run sums, first and last positions over a steps table. All buffers are plain numbers, so both
     aggregations hash and combine before they shuffle."""
     per_item = step_facts(steps).groupBy("run_id", "item").agg(
-        *[F.expr(f"{e} AS {n}") for part in (_SUMS, _MAXIMA, _MINIMA) for n, e in part.items()]
+        *[F.expr(f"{e} AS {n}") for part in FOLDED for n, e in part.items()]
     )
     return per_item.groupBy("run_id").agg(
         *[F.expr(f"sum({n}) AS {n}") for n in _SUMS],
@@ -105,20 +109,24 @@ def fold_steps(steps: DataFrame) -> DataFrame:
 def signals_from_steps(steps: DataFrame, runs: DataFrame) -> DataFrame:
     """Signals from a steps table and the runs' own columns
     (``run_id, task_id, agent, model, final_patch, test_passed, error``, one row per run)."""
-    own = runs.select(
+    return derive(own_facts(runs).join(fold_steps(steps), "run_id", "left"))
+
+
+def own_facts(runs: DataFrame) -> DataFrame:
+    """What the signals take from a run's own columns."""
+    return runs.select(
         "run_id", "task_id", "agent", "model", "test_passed",
         produced_patch(F.col("final_patch")).alias("produced_patch"),
         catastrophic_edit(F.col("final_patch")).alias("catastrophic_edit"),
         F.expr("coalesce(length(error) > 0, false) AS framework_error"),
     )
-    return _derive(own.join(fold_steps(steps), "run_id", "left"))
 
 
 def _total(code: str) -> str:
     return " + ".join(f"fp{i}" for i in _ids(code))
 
 
-def _derive(folded: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def derive(folded: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Turn the folded columns into the signals the rules read; ``extra`` columns pass through."""
     counts = [*_SUMS, "unique_files_opened", "n_repeated_commands"]
     kept = [c for c in folded.columns if c not in counts]
@@ -209,7 +217,7 @@ def signals_from_runs(runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).selectExpr(
         "*", "size(failed_step_indices) AS n_failed_steps", "size(repeated_commands) AS n_repeated_commands"
     )
-    return _derive(own, (*keep, *_LISTS))
+    return derive(own, (*keep, *_LISTS))
 
 
 def _nested_facts() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from faultline.operators.calibration import LEARNING_RATE, STEPS
 from faultline.operators.compaction import catalog_text
-from faultline.operators.mining import CUBE_FLAGS, FEATURES, KEYWORD_STOPWORDS
+from faultline.operators.mining import FEATURES, FLAGS, KEYWORD_STOPWORDS
 from faultline.operators.responses import BASELINE_KEYWORDS
 from faultline.operators.rules import RULES
 from faultline.functions.stepflags import FILE_PATH, RUNTESTS_COMMAND, TEST_COMMAND, TEST_FAIL, TEST_PASS
@@ -73,6 +73,9 @@ runs AS (
     CASE WHEN rk % 20 = 1 THEN 'diff --git a/src/mod.py b/src/mod.py' || repeat(chr(10) || '-x', 12)
          WHEN rk % 4 = 1 THEN 'diff --git a/src/mod.py b/src/mod.py' || chr(10) || '-x' || chr(10) || '+y' END AS final_patch,
     CASE WHEN rk % 4 <> 0 THEN rk % 4 = 1 END AS test_passed,
+    CASE WHEN rk % 4 <> 0 THEN rk % 9 + 4 END AS total_tests, CASE WHEN rk % 4 = 1 THEN rk % 9 + 4 END AS passed_tests,
+    CASE WHEN rk % 4 = 2 THEN rk % 3 END AS failed_tests,
+    CASE WHEN rk % 4 <> 0 AND rk % 5 < 3 THEN 'log of ' || rk || repeat(chr(10) || 'ran', CAST(rk % 300 AS INTEGER)) ELSE '' END AS raw_log,
     CASE WHEN rk % 7 = 0 THEN rk % 14 = 0 END AS resolved,
     CASE WHEN rk % 50 = 3 THEN 'RuntimeError: agent crashed' END AS error,
     count(*) AS n_steps, max(ts) AS ended_at
@@ -284,34 +287,54 @@ kept AS (
   WHERE failed OR action_type = 'file_edit' OR idx >= n - 6 OR idx < 2),
 gapped AS (SELECT *, coalesce(idx - previous - 1, 0) AS skipped FROM kept)
 """
-_SIGNAL_JSON = (
-    "'{' || " + " || ',' || ".join(
-        f"'\"{c}\":' || coalesce(CAST({c} AS VARCHAR), 'null')" for c in (
-            "produced_patch", "no_file_edits", "ran_tests", "tests_passed", "finished_explicitly",
-            "finished_without_testing", "finished_on_red", "hit_resource_limit", "framework_error", "catastrophic_edit",
-            "verified_without_editing", "step_count", "unique_files_opened", "assertion_after_edit", "narrow_file_search")
-    ) + " || '}'"
-)
+def _json_fields(*names: str) -> str:
+    return " || ',' || ".join(f"'\"{c}\":' || coalesce(CAST({c} AS VARCHAR), 'null')" for c in names)
+
+
 PARTS = SALIENT + f"""
 , lines AS (
   SELECT run_id, idx, CASE WHEN skipped > 0 THEN '... [' || skipped || ' step(s) omitted] ...' || chr(10) ELSE '' END
     || '[' || idx || '] ' || action_type || ': ' || content
     || CASE WHEN has_obs THEN chr(10) || '    -> ' || coalesce('exit=' || exit_code || ' | ', '') || obs ELSE '' END AS line
   FROM gapped),
-body AS (SELECT run_id, idx // 256 + 1 AS part, string_agg(line, chr(10) ORDER BY idx) AS text FROM lines GROUP BY 1, 2),
-framed AS (SELECT r.*, s.step_count, {_SIGNAL_JSON} AS signals FROM runs r JOIN sig s USING (run_id)),
-parts AS (
-  SELECT run_id, 0 AS part, '=== TASK ===' || chr(10) || 'task_id: ' || task_id || chr(10)
+listed AS (
+  SELECT run_id, 0 AS section, idx AS o, CAST(idx AS VARCHAR) AS item FROM flagged WHERE failed
+  UNION ALL SELECT run_id, 1, first_index, '{{"command":' || CAST(to_json(command) AS VARCHAR) || ',"count":' || n || '}}' FROM commands WHERE n >= 3
+  UNION ALL SELECT run_id, 2, step_index, '{{"step":' || step_index || ',"code":"' || code || '","label":' || CAST(to_json(label) AS VARCHAR) || '}}' FROM fp
+  UNION ALL SELECT run_id, 3, idx, CAST(to_json(path) AS VARCHAR) FROM flagged WHERE action_type = 'file_edit' AND path IS NOT NULL
+  UNION ALL SELECT run_id, 4, idx, line FROM lines),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, section ORDER BY o) - 1 AS r FROM listed),
+lengths AS (SELECT run_id, section, (count(*) + 255) // 256 AS parts FROM listed GROUP BY ALL),
+framed AS (SELECT * FROM runs r JOIN sig s USING (run_id)),
+heads AS (
+  SELECT run_id, '=== TASK ===' || chr(10) || 'task_id: ' || task_id || chr(10)
     || coalesce('repo: ' || repo || chr(10), '') || 'problem_statement:' || chr(10) || left(problem_statement, 1500)
-    || CASE WHEN length(problem_statement) > 1500 THEN '...[truncated]' ELSE '' END || chr(10) || chr(10)
-    || '=== DETERMINISTIC SIGNALS ===' || chr(10) || signals || chr(10) || chr(10) || '=== TRAJECTORY (salient steps) ===' AS text
-  FROM framed
-  UNION ALL SELECT run_id, part, text FROM body
+    || CASE WHEN length(problem_statement) > 1500 THEN '...[truncated]' ELSE '' END AS head,
+    chr(10) || '=== FINAL PATCH ===' || chr(10) || coalesce(final_patch, '(none produced)') AS patch
+  FROM runs),
+frames AS (
+  SELECT run_id, -1 AS section, head || chr(10) || chr(10) || '=== DETERMINISTIC SIGNALS ===' || chr(10) || '{{' ||
+    {_json_fields("produced_patch", "no_file_edits", "ran_tests", "tests_passed", "finished_explicitly", "finished_without_testing", "finished_on_red")}
+    || ',"failed_step_indices":[' AS item FROM framed JOIN heads USING (run_id)
+  UNION ALL SELECT run_id, 0, '],"repeated_commands":[' FROM framed
+  UNION ALL SELECT run_id, 1, '],"error_fingerprints":[' FROM framed
+  UNION ALL SELECT run_id, 2, '],' ||
+    {_json_fields("hit_resource_limit", "framework_error", "catastrophic_edit", "verified_without_editing", "step_count", "unique_files_opened")}
+    || ',"edited_files":[' FROM framed
+  UNION ALL SELECT run_id, 3, '],' || {_json_fields("assertion_after_edit", "narrow_file_search")}
+    || '}}' || chr(10) || chr(10) || '=== TRAJECTORY (salient steps) ===' FROM framed
+  UNION ALL SELECT run_id, 4, chr(10) || patch || CASE WHEN test_passed IS NULL THEN '' ELSE
+      chr(10) || chr(10) || '=== TEST RESULT ===' || chr(10) || 'passed=' || CASE WHEN test_passed THEN 'True' ELSE 'False' END
+      || ' total=' || coalesce(CAST(total_tests AS VARCHAR), 'None') || ' passed_tests=' || coalesce(CAST(passed_tests AS VARCHAR), 'None')
+      || ' failed_tests=' || coalesce(CAST(failed_tests AS VARCHAR), 'None')
+      || CASE WHEN raw_log <> '' THEN chr(10) || left(raw_log, 800) ELSE '' END END
+    FROM framed JOIN heads USING (run_id)),
+pieces AS (
+  SELECT i.run_id, coalesce((SELECT sum(parts) FROM lengths l WHERE l.run_id = i.run_id AND l.section < i.section), 0) + 1 + r // 256 AS part,
+    section, r, CASE WHEN section = 4 THEN chr(10) WHEN r > 0 THEN ',' ELSE '' END || item AS item FROM ranked i
   UNION ALL
-  SELECT run_id, step_count // 256 + 2, chr(10) || '=== FINAL PATCH ===' || chr(10) || coalesce(final_patch, '(none produced)')
-    || CASE WHEN test_passed IS NULL THEN '' WHEN test_passed THEN chr(10) || chr(10) || '=== TEST RESULT ===' || chr(10) || 'passed=True'
-       ELSE chr(10) || chr(10) || '=== TEST RESULT ===' || chr(10) || 'passed=False' END
-  FROM framed)
+  SELECT f.run_id, coalesce((SELECT sum(parts) FROM lengths l WHERE l.run_id = f.run_id AND l.section <= f.section), 0), section, 1000000000, item FROM frames f),
+parts AS (SELECT run_id, CAST(part AS BIGINT) AS part, string_agg(item, '' ORDER BY section, r) AS text FROM pieces GROUP BY 1, 2)
 """
 _BASELINE = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(t, {_q(w)})" for w in words) + f" THEN {i}" for i, (_, words) in enumerate(BASELINE_KEYWORDS)
@@ -340,6 +363,24 @@ _CORRECTIONS = VERDICTS + f"""
     CASE WHEN rk % 5 <> 0 THEN 'note ' || rk END AS note, CAST(rk * 10 + r AS DOUBLE) AS created_at
   FROM verdicts, (VALUES (0), (1)) AS rounds(r) WHERE rk % 9 = 0 AND (r = 0 OR rk % 2 = 0))
 """
+def _resampled(pairs: str, upper: int) -> str:
+    """Bounds of accuracy and kappa over 1000 resamples; draw i of replicate b is row md5(42:b:i) modulo n."""
+    return f"""
+, cell AS (SELECT t, p, count(*) AS n, substr(md5(t || '|' || p), 1, 2) AS bucket FROM {pairs} GROUP BY t, p),
+stretch AS (SELECT *, sum(n) OVER (ORDER BY bucket, t, p) AS high, sum(n) OVER () AS total FROM cell),
+draw AS (SELECT b, ('0x' || substr(md5('42:' || b || ':' || i), 1, 8))::BIGINT % (SELECT max(total) FROM stretch)::BIGINT AS r
+  FROM range(1000) AS bs(b), (SELECT unnest(range((SELECT max(total) FROM stretch)::BIGINT)) AS i)),
+drawn AS (SELECT b, t, p, count(*) AS n FROM draw JOIN stretch s ON r >= s.high - s.n AND r < s.high GROUP BY ALL),
+side_t AS (SELECT b, t AS label, sum(n) AS n FROM drawn GROUP BY ALL), side_p AS (SELECT b, p AS label, sum(n) AS n FROM drawn GROUP BY ALL),
+expect AS (SELECT b, sum(side_t.n::DOUBLE * side_p.n) AS products FROM side_t JOIN side_p USING (b, label) GROUP BY b),
+whole AS (SELECT b, sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (WHERE t = p), 0)::DOUBLE AS good FROM drawn GROUP BY b),
+stat AS (SELECT good / n AS a, CASE WHEN coalesce(products, 0) / (n * n) >= 1 THEN 1
+    ELSE (good / n - coalesce(products, 0) / (n * n)) / (1 - coalesce(products, 0) / (n * n)) END AS k FROM whole LEFT JOIN expect USING (b)),
+bound AS (SELECT list_sort(list(a))[26] AS accuracy_low, list_sort(list(a))[{upper}] AS accuracy_high,
+    list_sort(list(k))[26] AS kappa_low, list_sort(list(k))[{upper}] AS kappa_high FROM stat)
+"""
+
+
 _LABELS = """
 both_labels AS (
   SELECT CAST(doc_id AS VARCHAR) AS run_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS t,
@@ -404,10 +445,10 @@ emitted AS (
   UNION ALL SELECT doc_id, i, last_action, last_text, seen, seen_exit, has_seen FROM state WHERE waits AND letter <> 'A'
   UNION ALL SELECT doc_id, i, alone, text, seen, seen_exit, has_seen FROM state WHERE NOT waits AND letter = 'O'
   UNION ALL SELECT doc_id, i, alone, text, seen, seen_exit, has_seen FROM events WHERE letter = 'N'
-  UNION ALL SELECT doc_id, 1000000000, as_action, text, NULL, NULL, false FROM state WHERE is_last AND waits_after)
+  UNION ALL SELECT doc_id, 4000000000000000000, as_action, text, NULL, NULL, false FROM state WHERE is_last AND waits_after)
 """
-HISTORY = SENTENCES + """
-, events AS (
+_DOC_EVENTS = SENTENCES + """
+, doc_events AS (
   SELECT doc_id, i,
     CASE kind WHEN 0 THEN 'A' WHEN 1 THEN 'O' WHEN 2 THEN 'A' WHEN 3 THEN 'B' WHEN 4 THEN 'N' WHEN 5 THEN 'O' ELSE 'A' END AS letter,
     CASE kind WHEN 0 THEN 'command' WHEN 2 THEN 'file_edit' WHEN 6 THEN 'finish' ELSE 'unknown' END AS as_action,
@@ -417,6 +458,12 @@ HISTORY = SENTENCES + """
     CASE kind WHEN 1 THEN i % 3 WHEN 3 THEN 1 END AS seen_exit,
     kind IN (1, 3) OR (kind IN (4, 5) AND s <> '') AS has_seen
   FROM kinded)
+"""
+HISTORY = _DOC_EVENTS + ", events AS (SELECT * FROM doc_events)" + _PAIRING
+# The documents of a source as one history; the column that names a history is still called doc_id.
+SOURCE_HISTORY = _DOC_EVENTS + """
+, events AS (SELECT d.source AS doc_id, e.doc_id * 1048576 + i AS i, letter, as_action, alone, e.text, seen, seen_exit, has_seen
+  FROM doc_events e JOIN documents d ON d.doc_id = e.doc_id)
 """ + _PAIRING
 SDK = SENTENCES + f"""
 , events AS (
@@ -440,11 +487,13 @@ ACTIONS = SENTENCES + f"""
     CASE i % 5 WHEN 0 THEN '' WHEN 1 THEN s WHEN 2 THEN s || ' Error' WHEN 3 THEN 'exit code: 0 ' || s ELSE '  ' || chr(9) END AS o
   FROM kinded)
 """
-TRANSCRIPTS = SENTENCES + rf"""
-, lines AS (
+_DOC_LINES = SENTENCES + """
+, doc_lines AS (
   SELECT doc_id, i, CASE kind WHEN 0 THEN '> ' || s WHEN 1 THEN 'Applied edit to src/m.py' WHEN 2 THEN 'Error: ' || s
-    WHEN 3 THEN '> ' || s WHEN 5 THEN '> git commit ' || s ELSE s END AS line FROM kinded),
-isles AS (
+    WHEN 3 THEN '> ' || s WHEN 5 THEN '> git commit ' || s ELSE s END AS line FROM kinded)
+"""
+_BLOCKS = rf"""
+, isles AS (
   SELECT *, starts_with(line, '> ') AS opens, sum(CASE WHEN starts_with(line, '> ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block
   FROM lines),
 blocks AS (
@@ -458,6 +507,12 @@ made AS (
     CASE WHEN NOT is_last AND regexp_matches(seen, '(?i)(?:Error|Failed|Traceback|Aider v\S+ is not installed)') THEN 1 ELSE 0 END AS code
   FROM blocks WHERE action <> '')
 """
+TRANSCRIPTS = _DOC_LINES + ", lines AS (SELECT * FROM doc_lines)" + _BLOCKS
+SOURCE_TRANSCRIPTS = _DOC_LINES + """
+, lines AS (SELECT d.source AS doc_id, d.doc_id * 1048576 + i AS i, line FROM doc_lines e JOIN documents d ON d.doc_id = e.doc_id)
+""" + _BLOCKS
+_TRANSCRIPT_STEPS = """SELECT 'aider-{doc}' || doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS index,
+  action_type, action AS content, seen <> '' AS has_obs, nullif(seen, '') AS obs_content, CASE WHEN seen <> '' THEN code END AS exit_code FROM made"""
 SUMMARIES = SENTENCES + """
 , items AS (
   SELECT doc_id, 0 AS stage, i, 'file_edit' AS action_type, 'edit f' || i || '.py' AS content, 'Applied edit to f' || i || '.py' AS seen, 0 AS code
@@ -471,7 +526,7 @@ sessions AS (
 CHATS = SENTENCES + """
 , calls AS (
   SELECT doc_id, i, 0 AS sub, 'c' || i AS id, 'command' AS action_type,
-    'Search_Class(' || left('{"q": "' || repeat('ab,: ', CAST(i % 100 AS INTEGER)) || '", "n": [' || i || ', 2]}', 300) || ')' AS content
+    'Search_Class(' || '{"q": "' || repeat('ab,: ', CAST(i % 100 AS INTEGER)) || '", "n": [' || i || ', 2]}' || ')' AS content
   FROM kinded WHERE kind = 0
   UNION ALL SELECT doc_id, i, 1, 'c' || i || 'b', 'file_edit', 'write_patch({"raw": "no json, really"})' FROM kinded WHERE kind = 0
   UNION ALL SELECT doc_id, i, 0, 'c' || i, 'file_read', 'view_file({})' FROM kinded WHERE kind = 5),
@@ -483,10 +538,10 @@ answers AS (
 all_steps AS (
   SELECT c.doc_id, c.i, c.sub, c.action_type, c.content, nullif(a.content, '') AS seen
   FROM calls c LEFT JOIN answers a ON a.doc_id = c.doc_id AND a.id = c.id
-  UNION ALL SELECT doc_id, i, 0, 'unknown', left(s, 2000), NULL FROM kinded WHERE kind = 3 AND s <> '')
+  UNION ALL SELECT doc_id, i, 0, 'unknown', s, NULL FROM kinded WHERE kind = 3 AND s <> '')
 """
-_CUBE = ", ".join(f"CAST({f} AS INTEGER) AS {f}" for f in CUBE_FLAGS)
-_CUBE_COLUMNS = ", ".join(CUBE_FLAGS)
+_FLAG_VALUES = ", ".join(f"coalesce(CAST({f} AS INTEGER), 0) AS {f}" for f in FLAGS)
+_FLAGS_OF_SET = ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN {f} END AS {f}" for i, f in enumerate(FLAGS))
 _STOP = ", ".join(_q(w) for w in KEYWORD_STOPWORDS)
 _PERCENT = "CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '%'"
 
@@ -563,9 +618,8 @@ ORACLES: dict[str, str] = {
     "prompt_parts": f"""WITH {PARTS}, told AS (SELECT run_id, part, CASE WHEN part = 0 THEN
         {_q('FAILURE TAXONOMY (choose primary from these codes only):' + chr(10) + catalog_text() + chr(10) * 4 + 'RUN:' + chr(10))} ELSE '' END || text AS text FROM parts)
       SELECT run_id, part, length(text) AS chars, md5(text) AS digest FROM told""",
-    "keyword_baseline": f"""WITH {PARTS}, whole AS (SELECT run_id, lower(string_agg(words, chr(10) ORDER BY part)) AS t FROM (
-        SELECT run_id, part, CASE WHEN part = 0 THEN split_part(text, '=== DETERMINISTIC SIGNALS ===', 1)
-          ELSE text END AS words FROM parts) GROUP BY 1)
+    "keyword_baseline": f"""WITH {PARTS}, whole AS (SELECT run_id, lower(head || patch || coalesce(string_agg(line, chr(10) ORDER BY idx), '')) AS t
+        FROM heads LEFT JOIN lines USING (run_id) GROUP BY run_id, head, patch)
       SELECT run_id, coalesce(([{', '.join(_q(c) for c, _ in BASELINE_KEYWORDS)}])[{_BASELINE} + 1], 'OTHER') AS primary_category, CAST(0.55 AS DOUBLE) AS confidence FROM whole""",
     "category_distribution": _ver("SELECT primary_category, count(*) AS count, owner FROM verdicts GROUP BY ALL"),
     "owner_distribution": _ver("SELECT owner, count(*) AS count FROM verdicts GROUP BY ALL"),
@@ -604,10 +658,13 @@ ORACLES: dict[str, str] = {
     "accuracy_kappa": f"WITH {VERDICTS}" + _KAPPA.format(by="", src="pairs", group="") + """
       , e AS (SELECT sum((tm.c / n.n) * (pm.c / n.n)) AS e FROM n, tm JOIN pm USING (label))
       SELECT n.n, n_agree, round(n_agree / n.n, 6) AS accuracy, round(CASE WHEN e >= 1 THEN 1 ELSE (n_agree / n.n - e) / (1 - e) END, 6) AS kappa FROM n, e""",
-    "eval_report": f"WITH {VERDICTS}" + _KAPPA.format(by="", src="pairs", group="") + """
+    "eval_report": f"WITH {VERDICTS}" + _KAPPA.format(by="", src="pairs", group="") + _resampled("pairs", 975) + """
       , e AS (SELECT sum((tm.c / n.n) * (pm.c / n.n)) AS e FROM n, tm JOIN pm USING (label))
       SELECT n.n, round(n_agree / n.n, 4) AS accuracy, round(CASE WHEN e >= 1 THEN 1 ELSE (n_agree / n.n - e) / (1 - e) END, 4) AS kappa,
-        true AS accuracy_inside, true AS kappa_inside FROM n, e""",
+        round(accuracy_low, 4) AS accuracy_low, round(accuracy_high, 4) AS accuracy_high, round(kappa_low, 4) AS kappa_low,
+        round(kappa_high, 4) AS kappa_high FROM n, e, bound""",
+    "bootstrap_ci": f"WITH {VERDICTS}" + _resampled("pairs", 975) + "SELECT * FROM bound",
+    "annotator_bootstrap_ci": f"WITH {_LABELS}" + _resampled("both_labels", 976) + "SELECT * FROM bound",
     "per_class": _ver("""
       , l AS (SELECT DISTINCT unnest([t, p]) AS label FROM pairs),
       c AS (SELECT label, count(*) FILTER (WHERE t = label AND p = label) AS tp, count(*) FILTER (WHERE p = label) AS pp,
@@ -643,13 +700,20 @@ ORACLES: dict[str, str] = {
         "FROM proof p WHERE p.run_id = c.run_id), '') AS text FROM full_card c WHERE primary_category = 'OTHER') " + _keywords("texts")),
     "gold_override": _ver("""SELECT run_id, primary_category, CASE WHEN rk % 4 = 0 THEN t ELSE primary_category END AS true_label FROM pairs"""),
     "class_distribution": f"WITH {_LABELLED} SELECT true_label, count(*) AS count FROM labelled GROUP BY 1",
-    "rule_mining_cube": f"""WITH {_LABELLED}, flags AS (SELECT {_CUBE}, true_label FROM labelled),
-      cubed AS (SELECT {_CUBE_COLUMNS}, GROUPING({_CUBE_COLUMNS}) AS g, true_label, count(*) AS n, GROUPING(true_label) AS gl FROM flags GROUP BY CUBE ({_CUBE_COLUMNS}, true_label)),
-      best AS (SELECT * FROM cubed WHERE gl = 0 QUALIFY row_number() OVER (PARTITION BY g, {_CUBE_COLUMNS} ORDER BY n DESC, true_label) = 1)
-      SELECT {', '.join('t.' + f for f in CUBE_FLAGS)}, b.true_label AS label, round(b.n / t.n, 4) AS precision, t.n AS support
-      FROM cubed t JOIN best b ON t.g = b.g AND {' AND '.join(f't.{f} IS NOT DISTINCT FROM b.{f}' for f in CUBE_FLAGS)}
-      WHERE t.gl = 1 AND b.n / t.n >= 0.85 AND t.n >= 3""",
+    "rule_mining_cube": f"""WITH {_LABELLED}, flags AS (SELECT {_FLAG_VALUES}, true_label, count(*) AS n FROM labelled GROUP BY ALL),
+      counted AS (SELECT m, {_FLAGS_OF_SET}, true_label, sum(n) AS n FROM flags, range({2 ** len(FLAGS)}) AS sets(m) GROUP BY ALL),
+      best AS (SELECT m, {', '.join(FLAGS)}, arg_max(true_label, n) AS label, max(n) AS hits, sum(n) AS total FROM counted GROUP BY ALL)
+      SELECT {', '.join(FLAGS)}, label, round(hits / total, 4) AS precision, CAST(total AS BIGINT) AS support
+      FROM best WHERE hits / total >= 0.85 AND total >= 3""",
+    "tfidf_terms": rf"""WITH words AS (
+        SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})) AS w
+        FROM documents),
+      held AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words)
+      SELECT term, count(*) AS count, count(DISTINCT doc_id) AS document_count,
+        round(ln((1 + (SELECT count(*) FROM words)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS weight
+      FROM held GROUP BY term ORDER BY count DESC, term LIMIT 300""",
     "history_steps": f"WITH {HISTORY} " + _EMITTED.format(rid="'openhands-doc-' || doc_id"),
+    "event_table_steps": f"WITH {SOURCE_HISTORY} " + _EMITTED.format(rid="'openhands-' || doc_id"),
     "history_runs": f"""WITH {HISTORY}, sizes AS (SELECT doc_id, count(*) AS c FROM emitted GROUP BY 1)
       SELECT 'openhands-doc-' || doc_id AS run_id, 'openhands' AS agent, 'doc-' || doc_id AS task_id, coalesce(c, 0) AS step_count,
         CASE WHEN doc_id % 2 = 0 THEN 'diff --git' END AS final_patch, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 = 1 END AS resolved,
@@ -658,28 +722,50 @@ ORACLES: dict[str, str] = {
     "ingest_batch": """SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 3 = 2) AS written, count(*) FILTER (WHERE doc_id % 3 <> 2) AS skipped FROM documents""",
     "sdk_steps": f"WITH {SDK} " + _EMITTED.format(rid="CASE WHEN doc_id % 2 = 0 THEN 'sdk-doc-' || doc_id ELSE 'sdk-stem-' || doc_id END"),
     "action_list_steps": f"""WITH {ACTIONS} SELECT 'swe-agent-doc-' || doc_id AS run_id, i AS index,
-        (['command', 'file_edit', 'file_read', 'command', 'finish', 'finish', 'unknown'])[kind + 1] AS action_type, left(a, 2000) AS content,
-        o <> '' AS has_obs, nullif(left(o, 4000), '') AS obs_content,
+        (['command', 'file_edit', 'file_read', 'command', 'finish', 'finish', 'unknown'])[kind + 1] AS action_type, a AS content,
+        o <> '' AS has_obs, nullif(o, '') AS obs_content,
         CASE WHEN o = '' THEN NULL WHEN contains(o, 'exit code: 0') OR trim(o, {_SPACE}) = '' THEN 0 WHEN {_FAIL_MARKS} THEN 1 END AS exit_code FROM entries""",
     "action_list_runs": """SELECT 'swe-agent-doc-' || doc_id AS run_id, NULL::VARCHAR AS model, '' AS repo, 'No problem statement provided.' AS problem_statement,
         CASE WHEN doc_id % 5 = 0 THEN 'diff a' END AS final_patch, doc_id % 3 = 0 AND doc_id % 4 <> 0 AS resolved,
         CASE WHEN doc_id % 4 = 0 THEN 'exit_cost' ELSE 'submitted' END AS exit_status, CAST(doc_id AS VARCHAR) AS api_calls FROM documents""",
-    "transcript_steps": f"""WITH {TRANSCRIPTS} SELECT 'aider-doc-' || doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS index,
-        action_type, left(action, 2000) AS content, seen <> '' AS has_obs, nullif(left(seen, 4000), '') AS obs_content,
-        CASE WHEN seen <> '' THEN code END AS exit_code FROM made""",
+    "transcript_steps": f"WITH {TRANSCRIPTS} " + _TRANSCRIPT_STEPS.format(doc="doc-"),
+    "transcript_line_steps": f"WITH {SOURCE_TRANSCRIPTS} " + _TRANSCRIPT_STEPS.format(doc=""),
     "session_summary_steps": f"""WITH {SUMMARIES} SELECT 'aider-doc-' || doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY stage, i) - 1 AS index,
         action_type, content, true AS has_obs, seen AS obs_content, code AS exit_code FROM items""",
     "session_summary_runs": f"""WITH {SUMMARIES} SELECT 'aider-doc-' || doc_id AS run_id, code = 0 AND NOT crashed AND edited AS resolved,
         CASE WHEN doc_id % 3 = 0 THEN 'diff --git' END AS final_patch, CASE WHEN crashed THEN 'crash ' || doc_id END AS error,
         CAST(code AS VARCHAR) AS exit_status, '0.25' AS cost FROM sessions""",
     "chat_steps": f"""WITH {CHATS} SELECT 'acr-doc-' || doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) - 1 AS index, action_type, content,
-        seen IS NOT NULL AS has_obs, left(seen, 4000) AS obs_content,
+        seen IS NOT NULL AS has_obs, seen AS obs_content,
         CASE WHEN seen IS NULL THEN NULL WHEN regexp_matches(lower(seen), 'error|traceback|not found|failed') THEN 1 ELSE 0 END AS exit_code FROM all_steps""",
-    "all_formats": f"""SELECT agent, (SELECT count(*) FROM documents) AS runs, steps, failed FROM (
+    "sdk_runs": f"""WITH {SDK}, sizes AS (SELECT doc_id, count(*) AS c FROM emitted GROUP BY 1)
+      SELECT CASE WHEN doc_id % 2 = 0 THEN 'sdk-doc-' ELSE 'sdk-stem-' END || doc_id AS run_id, 'openhands' AS agent,
+        CASE WHEN doc_id % 2 = 0 THEN 'doc-' ELSE 'stem-' END || doc_id AS task_id, coalesce(c, 0) AS step_count, false AS resolved
+      FROM documents LEFT JOIN sizes USING (doc_id)""",
+    "transcript_runs": f"""WITH {TRANSCRIPTS}, sizes AS (SELECT doc_id, count(*) AS c FROM made GROUP BY 1)
+      SELECT 'aider-doc-' || doc_id AS run_id, 'aider' AS agent, 'doc-' || doc_id AS task_id, coalesce(c, 0) AS step_count, true AS resolved
+      FROM documents LEFT JOIN sizes USING (doc_id)""",
+    "chat_runs": f"""WITH {CHATS}, sizes AS (SELECT doc_id, count(*) AS c FROM all_steps GROUP BY 1)
+      SELECT 'acr-doc-' || doc_id AS run_id, 'autocoderover' AS agent, 'doc-' || doc_id AS task_id, coalesce(c, 0) AS step_count,
+        false AS resolved, 'diff' AS final_patch FROM documents LEFT JOIN sizes USING (doc_id)""",
+    "all_formats": f"""SELECT agent, sum(runs) AS runs, sum(steps) AS steps, sum(failed) AS failed FROM (SELECT *, (SELECT count(*) FROM documents) AS runs FROM (
         SELECT 'openhands' AS agent, (WITH {HISTORY} SELECT count(*) FROM emitted) AS steps, (SELECT count(*) FROM documents WHERE doc_id % 3 <> 1) AS failed
+        UNION ALL SELECT 'openhands', (WITH {SDK} SELECT count(*) FROM emitted), (SELECT count(*) FROM documents)
+        UNION ALL SELECT 'aider', (WITH {TRANSCRIPTS} SELECT count(*) FROM made), 0
         UNION ALL SELECT 'swe-agent', (WITH {ACTIONS} SELECT count(*) FROM entries), (SELECT count(*) FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 4 <> 0))
         UNION ALL SELECT 'aider', (WITH {SUMMARIES} SELECT count(*) FROM items), (WITH {SUMMARIES} SELECT count(*) FROM sessions WHERE NOT (code = 0 AND NOT crashed AND edited))
-        UNION ALL SELECT 'autocoderover', (WITH {CHATS} SELECT count(*) FROM all_steps), (SELECT count(*) FROM documents))""",
+        UNION ALL SELECT 'autocoderover', (WITH {CHATS} SELECT count(*) FROM all_steps), (SELECT count(*) FROM documents))) GROUP BY agent""",
+    "step_sessions": f"""WITH {RUNS}, marked AS (
+        SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM flagged),
+      joined AS (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts, idx) AS session FROM marked),
+      again AS (SELECT run_id, session, count(*) AS n FROM (
+        SELECT run_id, session FROM joined WHERE action_type = 'command' GROUP BY run_id, session, content HAVING count(*) >= 3) GROUP BY ALL)
+      SELECT run_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS step_count,
+        count(*) FILTER (WHERE failed) AS n_failed_steps, count(*) FILTER (WHERE action_type = 'file_edit') AS n_edits,
+        count(*) FILTER (WHERE action_type = 'command' AND {_re('content', TEST_COMMAND)}) AS n_tests,
+        count(*) FILTER (WHERE action_type = 'finish') AS n_finish, max(idx) FILTER (WHERE action_type = 'file_edit') AS last_edit,
+        count(DISTINCT path) FILTER (WHERE action_type = 'file_read') AS unique_files_opened, coalesce(max(again.n), 0) AS n_repeated_commands
+      FROM joined LEFT JOIN again USING (run_id, session) GROUP BY run_id, session""",
     "tumbling_fingerprints": _sig(
         "SELECT strftime(s.ts, '%Y-%m-%d') AS day, f.code, count(*) AS count FROM fp f JOIN steps s ON s.run_id = f.run_id AND s.idx = f.step_index GROUP BY 1, 2"),
 }

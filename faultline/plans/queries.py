@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import calibration, cards as card_ops, compaction, evaluation, mining, responses as response_ops
-from faultline.operators import signals as signal_ops, steps as step_ops, views
+from faultline.operators import calibration, cards as card_ops, compaction, evaluation, event_pairing, mining, responses as response_ops
+from faultline.operators import signals as signal_ops, steps as step_ops, transcript_lines, views
 from faultline.operators.normalize_actions import normalize_action_lists
 from faultline.operators.normalize_chats import normalize_chats
-from faultline.operators.normalize_history import normalize_histories, normalize_sdk
+from faultline.operators.normalize_history import normalize_histories, normalize_sdk, plain_event
 from faultline.operators.normalize_sessions import normalize_sessions
 from faultline.plans.classify import classify_runs
 from faultline.sources import derived, derived_logs
 from faultline.sources.records import ingest_counts, union_runs
+from faultline.streaming.sessions import step_sessions as sessions_of
 from faultline.streaming.windows import fingerprint_windows
 from faultline.taxonomy import CODES, with_taxonomy
 
@@ -465,13 +466,7 @@ def eval_details(spark, sf_dir):
 
 @query
 def eval_report(spark, sf_dir):
-    """The report's point estimates, and whether its drawn intervals hold them."""
-    made = evaluation.report(_pairs(spark, sf_dir))
-    return made.select(
-        "n", "accuracy", "kappa",
-        F.col("accuracy").between(F.col("accuracy_low"), F.col("accuracy_high")).alias("accuracy_inside"),
-        F.col("kappa").between(F.col("kappa_low"), F.col("kappa_high")).alias("kappa_inside"),
-    )
+    return evaluation.report(_pairs(spark, sf_dir))
 
 
 @query
@@ -573,6 +568,13 @@ def other_card_keywords(spark, sf_dir):
     return mining.top_keywords(texts)
 
 
+@query
+def tfidf_terms(spark, sf_dir):
+    counted = mining.grams(_documents(spark, sf_dir), mining.KEYWORD_STOPWORDS)
+    weights = mining.term_weights(counted)
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
 @query
 def cluster_other(spark, sf_dir):
     return mining.cluster_report(_documents(spark, sf_dir))
@@ -600,7 +602,7 @@ def class_distribution(spark, sf_dir):
 
 @query
 def rule_mining_cube(spark, sf_dir):
-    return mining.cube_rules(_labelled(spark, sf_dir))
+    return mining.conjunction_rules(_labelled(spark, sf_dir))
 
 
 @query
@@ -623,6 +625,13 @@ def history_steps(spark, sf_dir):
     return _step_rows(normalize_histories(derived_logs.histories(spark, sf_dir)))
 
 
+@query
+def event_table_steps(spark, sf_dir):
+    events = event_pairing.event_rows(derived_logs.event_table(spark, sf_dir), plain_event)
+    paired = event_pairing.pair_event_table(events, 8 * derived_logs.EVENT_SPAN)
+    return event_pairing.step_rows(paired)
+
+
 @query
 def history_runs(spark, sf_dir):
     runs = normalize_histories(derived_logs.histories(spark, sf_dir))
@@ -638,6 +647,31 @@ def ingest_batch(spark, sf_dir):
     return ingest_counts(normalize_histories(derived_logs.histories(spark, sf_dir), strict_null=True))
 
 
+def _run_rows(runs: DataFrame, *more: str) -> DataFrame:
+    return runs.select(
+        "run_id", "agent", F.col("task.task_id").alias("task_id"), F.size("steps").alias("step_count"), "resolved", *more)
+
+
+@query
+def sdk_runs(spark, sf_dir):
+    return _run_rows(normalize_sdk(derived_logs.sdk_traces(spark, sf_dir)))
+
+
+@query
+def transcript_line_steps(spark, sf_dir):
+    return event_pairing.step_rows(transcript_lines.transcript_line_steps(derived_logs.transcript_lines(spark, sf_dir)))
+
+
+@query
+def transcript_runs(spark, sf_dir):
+    return _run_rows(normalize_sessions(derived_logs.transcripts(spark, sf_dir)))
+
+
+@query
+def chat_runs(spark, sf_dir):
+    return _run_rows(normalize_chats(derived_logs.chats(spark, sf_dir)), "final_patch")
+
+
 @query
 def sdk_steps(spark, sf_dir):
     return _step_rows(normalize_sdk(derived_logs.sdk_traces(spark, sf_dir)))
@@ -684,9 +718,11 @@ def chat_steps(spark, sf_dir):
 
 @query
 def all_formats(spark, sf_dir):
-    """Runs of all formats in one table, counted by agent."""
+    """Runs of all six kinds of logs in one table, counted by agent."""
     runs = union_runs(
         normalize_histories(derived_logs.histories(spark, sf_dir)),
+        normalize_sdk(derived_logs.sdk_traces(spark, sf_dir)),
+        normalize_sessions(derived_logs.transcripts(spark, sf_dir)),
         normalize_action_lists(derived_logs.action_lists(spark, sf_dir)),
         normalize_sessions(derived_logs.summaries(spark, sf_dir)),
         normalize_chats(derived_logs.chats(spark, sf_dir)),
@@ -708,6 +744,14 @@ def nested_cards(spark, sf_dir):
 # Windows
 
 
+@query
+def step_sessions(spark, sf_dir):
+    """Sessions of the sample's steps, which end after twelve quiet hours."""
+    return sessions_of(derived.steps(spark, sf_dir), "12 hours").select(
+        "run_id", "session_start", "session_end", "step_count", "n_failed_steps", "n_edits", "n_tests", "n_finish", "last_edit",
+        "unique_files_opened", "n_repeated_commands")
+
+
 @query
 def tumbling_fingerprints(spark, sf_dir):
     counted = fingerprint_windows(derived.steps(spark, sf_dir))

@@ -85,6 +85,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"""CASE WHEN rk % 20 = 1 THEN concat('diff --git a/src/mod.py b/src/mod.py', repeat('\n-x', 12))
                  WHEN rk % 4 = 1 THEN 'diff --git a/src/mod.py b/src/mod.py\n-x\n+y' END AS final_patch""",
         "if(rk % 4 <> 0, rk % 4 = 1, NULL) AS test_passed",
+        "if(rk % 4 <> 0, rk % 9 + 4, NULL) AS total_tests", "if(rk % 4 = 1, rk % 9 + 4, NULL) AS passed_tests",
+        "if(rk % 4 = 2, rk % 3, NULL) AS failed_tests",
+        r"if(rk % 4 <> 0 AND rk % 5 < 3, concat('log of ', rk, repeat('\nran', CAST(rk % 300 AS INT))), '') AS raw_log",
         "if(rk % 7 = 0, rk % 14 = 0, NULL) AS resolved",
         "if(rk % 50 = 3, 'RuntimeError: agent crashed', NULL) AS error",
         "n_steps", "ended_at",

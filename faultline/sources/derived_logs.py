@@ -18,8 +18,11 @@ KINDS = 7
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    sentences = F.split(F.regexp_replace("text", LINE_BREAK, "."), r"\.")
-    return docs.select("doc_id", sentences.alias("s"))
+    return docs.select("doc_id", _split("text").alias("s"))
+
+
+def _split(text: str) -> Column:
+    return F.split(F.regexp_replace(text, LINE_BREAK, "."), r"\.")
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -65,34 +68,47 @@ def _id() -> Column:
     return _quoted(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
 
 
-def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-history records: ``doc_id, record``."""
+def _history_event(s: Column, i: Column) -> Column:
+    agent, environment = F.lit("agent"), F.lit("environment")
+    return _by_kind(
+        s, i,
+        _object(source=agent, action=F.lit("run"), command=s),
+        _object(source=environment, observation=F.lit("run"), content=s, extras=F.struct((i % 3).alias("exit_code"))),
+        _object(
+            source=agent, action=F.lit("Edit"),
+            args=F.struct(F.concat(F.lit("src/m"), (i % 5).cast("string"), F.lit(".py")).alias("path")),
+        ),
+        _object(source=agent, observation=F.lit("note"), content=s, exit_code=F.lit("1")),
+        _object(type=F.lit("message"), message=s),
+        _object(source=environment, observation=F.lit("error"), message=s),
+        _object(source=agent, action=F.lit("finish"), thought=s, args=F.struct(F.lit(1).alias("n"), F.lit("").alias("s"))),
+    )
 
-    def event(s: Column, i: Column) -> Column:
-        agent, environment = F.lit("agent"), F.lit("environment")
-        return _by_kind(
-            s, i,
-            _object(source=agent, action=F.lit("run"), command=s),
-            _object(source=environment, observation=F.lit("run"), content=s, extras=F.struct((i % 3).alias("exit_code"))),
-            _object(
-                source=agent, action=F.lit("Edit"),
-                args=F.struct(F.concat(F.lit("src/m"), (i % 5).cast("string"), F.lit(".py")).alias("path")),
-            ),
-            _object(source=agent, observation=F.lit("note"), content=s, exit_code=F.lit("1")),
-            _object(type=F.lit("message"), message=s),
-            _object(source=environment, observation=F.lit("error"), message=s),
-            _object(source=agent, action=F.lit("finish"), thought=s, args=F.struct(F.lit(1).alias("n"), F.lit("").alias("s"))),
-        )
 
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-history records: ``doc_id, record``."""
     docs = _sentences(spark, sf_dir)
     resolved = F.when(F.col("doc_id") % 3 == 0, F.lit("null")).otherwise((F.col("doc_id") % 3 == 1).cast("string"))
     block = F.when(F.col("doc_id") % 2 == 0, '{"resolved":true,"git_patch":"diff --git"}').otherwise("{}")
     return _record(
         docs, _member("instance_id", _id()), _member("resolved", resolved), _member("test_result", block),
-        _member("history", _list(F.transform("s", event))),
+        _member("history", _list(F.transform("s", _history_event))),
     )
 
 
+EVENT_SPAN = 1 << 20  # positions of one document in the history of its source
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event histories as ``run_id, pos, event VARIANT``, one row an event: a source's documents are one history."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    sentences = docs.select("doc_id", "source", F.posexplode(_split("text")).alias("i", "s"))
+    text = _history_event(F.col("s"), F.col("i"))
+    return sentences.select(
+        F.concat(F.lit("openhands-"), "source").alias("run_id"), (F.col("doc_id") * EVENT_SPAN + F.col("i")).alias("pos"),
+        F.parse_json(text).alias("event"))
+
+
 def sdk_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace records with structured actions: ``doc_id, record, file_stem``."""
 
@@ -151,18 +167,28 @@ def action_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _transcript_line(s: Column, i: Column) -> Column:
+    command = F.concat(F.lit("> "), s)
+    return _by_kind(
+        s, i, command, F.lit("Applied edit to src/m.py"), F.concat(F.lit("Error: "), s), command,
+        s, F.concat(F.lit("> git commit "), s), s,
+    )
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as ``run_id, chunk, pos, line``: a source's documents are one transcript."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    lines = docs.select("doc_id", "source", F.posexplode(_split("text")).alias("i", "s"))
+    return lines.select(
+        F.concat(F.lit("aider-"), "source").alias("run_id"), F.floor(F.col("doc_id") / 8).alias("chunk"),
+        (F.col("doc_id") * EVENT_SPAN + F.col("i")).alias("pos"), _transcript_line(F.col("s"), F.col("i")).alias("line"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session records that hold a chat transcript: ``doc_id, record``."""
 
-    def line(s: Column, i: Column) -> Column:
-        command = F.concat(F.lit("> "), s)
-        return _by_kind(
-            s, i, command, F.lit("Applied edit to src/m.py"), F.concat(F.lit("Error: "), s), command,
-            s, F.concat(F.lit("> git commit "), s), s,
-        )
-
     docs = _sentences(spark, sf_dir)
-    chat = _object(chat_history=F.array_join(F.transform("s", line), "\n"))
+    chat = _object(chat_history=F.array_join(F.transform("s", _transcript_line), "\n"))
     return _record(
         docs, _member("instance_id", _id()), _inner(chat),
         _member("files_edited", F.lit('["a.py"]')),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
@@ -14,8 +14,9 @@ from faultline.operators.normalize_actions import normalize_action_lists
 from faultline.operators.normalize_chats import normalize_chats
 from faultline.operators.normalize_history import normalize_histories, normalize_sdk
 from faultline.operators.normalize_sessions import normalize_sessions
-from faultline.operators.steps import keep_failed
+from faultline.operators.steps import keep_failed, run_failed
 from faultline.schema import CARD_DDL, GOLD_DDL, RESPONSE_DDL, RUN_DDL, struct
+from faultline.sources.json_arrays import read_array_records
 from faultline.taxonomy import is_code
 
 
@@ -90,8 +91,11 @@ def _record_documents(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_raw_records(spark: SparkSession, path, layout: str) -> DataFrame:
-    """``record VARIANT`` of files in one ``layout``: "lines" has one JSON object per line and suits large
-    inputs; "document" has one JSON array or (indented) object per file, which one task reads whole."""
+    """``record VARIANT`` of files in one ``layout``: "lines" has one JSON object per line; "array" has one JSON
+    array per file, which is split over tasks at any size; "document" has one JSON array or (indented) object per
+    file, which one task reads whole."""
+    if layout == "array":
+        return read_array_records(spark, path).select("record")
     if layout == "lines":
         return _record_lines(spark, path)
     if layout == "document":
@@ -131,19 +135,47 @@ def read_history_document(spark: SparkSession, path: str) -> DataFrame:
     return normalize_histories(_whole_files(spark, path))
 
 
+def _numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``value`` and ``line`` of the lines that are not blank, numbered from 1 over all files in path order.
+
+    Rows of one split are numbered by the scan itself; the counts of earlier splits shift them, so the numbers do not
+    depend on how files are split and no line is shuffled.
+    """
+    lines = spark.read.text(path).filter(not_blank(F.col("value"))).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row of three numbers for each split: some tens of megabytes for a million splits.
+    shifts = splits.select(
+        F.xxhash64("file", "block").alias("split"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.withColumn("split", F.xxhash64("file", "block")).join(F.broadcast(shifts), "split").select(
+        "value", (F.col("row") + F.col("shift")).alias("line"))
+
+
 def ingest_histories(spark: SparkSession, path: str, all_runs: bool = False) -> DataFrame:
-    """Runs from an event-history batch file, one record per line; only the failed ones unless
-    ``all_runs``. A broken line fails the job."""
-    lines = spark.read.text(path).filter(not_blank(F.col("value")))
+    """Runs from event-history batch files, one record per line; only the failed ones unless ``all_runs``. A broken
+    line fails the job. A record without an id is named by the number of its line."""
     parsed = j.parse_strict(F.col("value"))
-    records = lines.select(
+    records = _numbered_lines(spark, path).select(
         F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("not a JSON record")).cast("variant")).alias("record"),
-        F.concat(F.lit("unknown-"), (F.monotonically_increasing_id() + 1).cast("string")).alias("unnamed"),
+        F.concat(F.lit("unknown-"), F.col("line").cast("string")).alias("unnamed"),
     )
     runs = normalize_histories(records, F.col("unnamed"), strict_null=True)
     return runs if all_runs else keep_failed(runs)
 
 
+def ingest_to(spark: SparkSession, path: str, target: str, all_runs: bool = False) -> dict[str, int]:
+    """Write the runs of ``ingest_histories`` as JSON lines and give ``total, written, skipped``, counted on the way."""
+    seen = Observation("ingest")
+    failed = run_failed(F.col("resolved"), F.col("test_result.passed"))
+    kept = F.lit(True) if all_runs else failed
+    runs = ingest_histories(spark, path, all_runs=True).observe(
+        seen, F.count("*").alias("total"), F.count_if(kept).alias("written"), F.count_if(~kept).alias("skipped"))
+    runs.filter(kept).write.mode("overwrite").json(target)
+    return seen.get
+
+
 def ingest_counts(runs: DataFrame) -> DataFrame:
     """``total, written, skipped`` of a batch read with ``all_runs``."""
     kept = F.coalesce(~F.col("resolved"), ~F.col("test_result.passed"), F.lit(False))

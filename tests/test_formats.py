@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
-from faultline.operators import evaluation
+from faultline.operators import evaluation, event_pairing, transcript_lines
 from faultline.operators.normalize_chats import normalize_chats
-from faultline.operators.normalize_history import normalize_histories
+from faultline.operators.normalize_history import normalize_histories, plain_event
 from faultline.operators.normalize_sessions import normalize_sessions
 from faultline.plans.queries import QUERIES
-from faultline.sources import records
+from faultline.sources import json_arrays, records
 
 
 def _records(spark, docs):
@@ -111,6 +111,31 @@ def test_transcript(spark):
     assert runs.first().resolved is True
 
 
+@pytest.mark.parametrize("split, rows", [(64, 3), (1 << 27, 4096)])
+def test_transcript_lines_equal_whole_transcripts(spark, tmp_path, split, rows):
+    dice = random.Random(6)
+    lines = ["> open a.py", "> ", ">  run\x0bmore", "Applied edit to a.py", "Error: no", "", "text", "> git commit -m x", ">none", "Updated `x`"]
+    chats = {"hot": dice.choices(lines, k=900), "none": ["text", ""], "one": ["> go"], **{f"t{i}": dice.choices(lines, k=9) for i in range(9)}}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, held in chats.items():
+        (folder / f"{name}.md").write_text(dice.choice(["\n", "\r\n"]).join(held), encoding="utf-8", newline="")
+    docs = [{"instance_id": k, "chat_history": "\n".join(v)} for k, v in chats.items()]
+    whole = _steps(normalize_sessions(_records(spark, docs)))
+    for key, value in (("maxPartitionBytes", split), ("openCostInBytes", 1)):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        table = transcript_lines.read_transcript_lines(spark, str(folder), chunk_bits=rows.bit_length() - 1)
+        steps = event_pairing.step_rows(transcript_lines.transcript_line_steps(table, rows)).collect()
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    found = {}
+    for r in sorted(steps, key=lambda r: (r.run_id, r["index"])):
+        found.setdefault(r.run_id, []).append((r["index"], r.action_type, r.content, (r.obs_content, r.exit_code) if r.has_obs else None))
+    assert found == {k: v for k, v in whole.items() if v} and len(found["aider-hot"]) > 200
+
+
 def test_session_summary(spark):
     docs = [
         {"instance_id": "1", "files_edited": ["m.py"], "commits": [{"message": "fix"}], "error": None, "exit_status": 0, "model": "g"},
@@ -142,6 +167,32 @@ def test_chat_calls_join_their_last_answer(spark):
     ]
 
 
+@pytest.mark.parametrize("chunk_width", [3, 4096])
+def test_event_table_pairs_like_nested_histories(spark, chunk_width):
+    """Random histories, one of them a third of all events, with runs of both-kind events over many chunks."""
+    dice = random.Random(chunk_width)
+    letters = {
+        "A": {"source": "agent", "action": "run"}, "O": {"source": "environment", "observation": "run"},
+        "B": {"source": "agent", "observation": "note"}, "N": {"type": "message"},
+    }
+
+    def history(size, weights):
+        kinds = dice.choices("AOBN", weights, k=size)
+        return [{**letters[k], "content": f"{k}{i}", "exit_code": i % 3} if k != "A" else {**letters[k], "command": f"A{i}"} for i, k in enumerate(kinds)]
+
+    docs = [{"instance_id": str(i), "history": history(dice.randint(0, 12), (2, 2, 2, 1))} for i in range(40)]
+    docs += [{"instance_id": "hot", "history": history(240, (1, 1, 6, 2))}, {"instance_id": "both", "history": history(60, (0, 0, 1, 0))}]
+    nested = _steps(normalize_histories(_records(spark, docs)))
+    rows = [(f"openhands-{d['instance_id']}", i, json.dumps(e)) for d in docs for i, e in enumerate(d["history"])]
+    events = spark.createDataFrame(rows, "run_id STRING, pos LONG, t STRING").repartition(3).select(
+        "run_id", "pos", j.parse_strict(F.col("t")).alias("event"))
+    paired = event_pairing.pair_event_table(event_pairing.event_rows(events, plain_event), chunk_width)
+    found = {}
+    for r in sorted(event_pairing.step_rows(paired).collect(), key=lambda r: (r.run_id, r["index"])):
+        found.setdefault(r.run_id, []).append((r["index"], r.action_type, r.content, (r.obs_content, r.exit_code) if r.has_obs else None))
+    assert found == {k: v for k, v in nested.items() if v}
+
+
 def test_raw_record_layouts(spark, tmp_path):
     one, two = {"instance_id": "1", "trajectory": []}, {"instance_id": "2", "info": {"exit_status": "exit_cost", "resolved": True}}
     (tmp_path / "lines.jsonl").write_text(json.dumps(one) + "\n\n{broken\n" + json.dumps(two) + " trailing\n" + json.dumps(two))
@@ -159,6 +210,59 @@ def test_raw_record_layouts(spark, tmp_path):
     assert not records.read_action_lists(spark, str(tmp_path / "pretty.json"), "document").first().resolved
 
 
+@pytest.mark.parametrize("split", [64, 1 << 27])
+def test_split_arrays_equal_whole_documents(spark, tmp_path, split):
+    odd = [
+        {"id": i, "text": t, "deep": [{"a": {"b": "}"}}, [], {"c": ["{", "]"]}]} for i, t in enumerate(
+            ['plain', 'quote " and } brace', "back\\slash\\", '\\"}', "}}}", "", "é}ü{", "a,b: [1]"] * 4)
+    ]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    files = {
+        "dense": json.dumps(odd, separators=(",", ":")), "pretty": json.dumps(odd, indent=2), "mixed": json.dumps([1, "}", *odd[:3], None, [odd[3]], 2.5, odd[4], []]),
+        "none": " [ ] ", "numbers": "[1, 2, \"}{\"]", "spaces": "\n\t" + json.dumps(odd[:2]) + "\n \n",
+        "cut": json.dumps(odd)[:-1], "commas": json.dumps(odd[:3]).replace("}, {", "} {"), "tail": json.dumps(odd[:2]) + " x", "twice": "[{}] [{}]",
+        "string": '"[{}]"', "open": '[{"a": "}]', "extra": "[{}]}", "empty": "",
+    }
+    for name, text in files.items():
+        (folder / f"{name}.json").write_text(text, encoding="utf-8")
+    for key, value in (("maxPartitionBytes", split), ("openCostInBytes", 1)):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        found = {}
+        for r in json_arrays.read_array_records(spark, str(folder)).select("file", F.to_json("record").alias("t")).collect():
+            found.setdefault(r.file.rsplit("/")[-1][:-5], []).append(r.t)
+        whole = sorted(r[0] for r in records.read_raw_records(spark, str(folder), "document").select(F.to_json("record")).collect())
+        assert sorted(t for held in found.values() for t in held) == whole
+        assert {k: len(v) for k, v in found.items()} == {"dense": 32, "pretty": 32, "mixed": 4, "spaces": 2}
+        if split == 64:
+            assert spark.read.option("lineSep", "}").text(str(folder / "dense.json")).rdd.getNumPartitions() > 20
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+
+
+@pytest.mark.parametrize("split", [40, 1 << 27])
+def test_ingest_counts_on_the_way_and_names_by_line(spark, tmp_path, split):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("a", 30), ("b", 20)):
+        (folder / f"{name}.jsonl").write_text("".join("\n" * (i % 3) + json.dumps({"resolved": i % 2 == 0, "model": f"{name}{i}"}) + "\n" for i in range(n)))
+    for key, value in (("maxPartitionBytes", split), ("openCostInBytes", 1)):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        counts = records.ingest_to(spark, str(folder), str(tmp_path / "out"))
+        assert counts == {"total": 50, "written": 25, "skipped": 25}
+        every = records.ingest_to(spark, str(folder), str(tmp_path / "every"), all_runs=True)
+        assert every == {"total": 50, "written": 50, "skipped": 0}
+        names = {r.model: r.run_id for r in records.read_runs(spark, str(tmp_path / "every")).collect()}
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert names == {**{f"a{i}": f"openhands-unknown-{i + 1}" for i in range(30)}, **{f"b{i}": f"openhands-unknown-{i + 31}" for i in range(20)}}
+    assert records.read_runs(spark, str(tmp_path / "out")).count() == 25
+
+
 def test_trace_directory_and_batch(spark, tmp_path):
     traces = tmp_path / "traces"
     traces.mkdir()

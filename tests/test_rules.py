@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import cards as card_ops
+from faultline.operators import compaction
 from faultline.operators.compaction import compacted_parts, compacted_runs, run_words
 from faultline.operators.responses import keyword_baseline
 from faultline.operators.rules import apply_rules
@@ -10,7 +12,7 @@ from faultline.operators.signals import signals_from_runs, signals_from_steps
 from faultline.operators.steps import failed_steps, last_steps, steps_table, with_run_facts
 from faultline.plans.classify import classify_runs, match_rules_nested
 from faultline.sources.records import read_runs
-from tests.runs import CASES, run
+from tests.runs import CASES, LOOK, run
 
 
 def _runs(spark, tmp_path):
@@ -24,6 +26,7 @@ def _own(runs):
         "run_id", F.col("task.task_id").alias("task_id"), "agent", "model", "final_patch",
         F.col("test_result.passed").alias("test_passed"), "error", F.col("task.repo").alias("repo"),
         F.col("task.problem_statement").alias("problem_statement"),
+        *(f"test_result.{c}" for c in ("total_tests", "passed_tests", "failed_tests", "raw_log")),
     )
 
 
@@ -75,18 +78,28 @@ def test_baseline_reaches_every_code_in_both_forms(spark, tmp_path):
     assert nested == folded == {code: code for code in words}
 
 
-def test_compacted_parts_join_to_the_nested_text(spark, tmp_path):
-    runs = _runs(spark, tmp_path)
-    whole = {r.run_id: r.text for r in compacted_runs(runs).collect()}
-    parts = {}
-    for r in sorted(compacted_parts(steps_table(runs), _own(runs)).collect(), key=lambda r: (r.run_id, r.part)):
-        parts.setdefault(r.run_id, []).append(r.text)
+def _joined(parts):
+    whole = {}
+    for r in sorted(parts, key=lambda r: (r.run_id, r.part)):
+        whole.setdefault(r.run_id, []).append((r.part, r.text))
+    assert all([n for n, _ in p] == list(range(len(p))) for p in whole.values())
+    return {k: "".join(t for _, t in p) for k, p in whole.items()}
 
-    def trajectory(text):
-        return text.split("(salient steps) ===\n")[1].split("\n\n=== FINAL PATCH")[0]
 
-    assert {k: trajectory(v) for k, v in whole.items()} == {k: trajectory("\n".join(v)) for k, v in parts.items()}
+@pytest.mark.parametrize("part_steps, chunk_rows", [(256, 16_384), (3, 5), (1, 1)])
+def test_compacted_parts_join_to_the_nested_text(spark, tmp_path, monkeypatch, part_steps, chunk_rows):
+    monkeypatch.setattr(compaction, "PART_STEPS", part_steps)
+    noisy = [("command", f'run "{i % 4}" \t\u00e9', "bash: python: command not found" if i % 3 else "ok", i % 3) for i in range(40)]
+    noisy += [("file_edit", f"edit src/m{i}.py", "ok", 0) for i in range(9)] + [LOOK] * 5 + [("file_edit", "no name", "x" * 900, 1)]
+    documents = [r for r, _, _ in CASES] + [run("noisy", noisy, patch="diff\n+" + "y" * 3000), run("empty", [], passed=None)]
+    documents[-2]["test_result"] = {"passed": False, "total_tests": 7, "failed_tests": 2, "raw_log": "line\n" * 300}
+    path = tmp_path / "texts.jsonl"
+    path.write_text("\n".join(map(json.dumps, documents)))
+    runs = read_runs(spark, str(path))
+    whole = {r.run_id: r.text for r in compacted_runs(runs).collect()}
+    assert _joined(compacted_parts(steps_table(runs), _own(runs), chunk_rows).collect()) == whole
     assert "... [4 step(s) omitted] ..." in whole["stalled"]
+    assert "passed=False total=7 passed_tests=None failed_tests=2\nline" in whole["noisy"] and "TEST RESULT" not in whole["empty"]
 
 
 def test_run_and_step_predicates(spark, tmp_path):

@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import math
 import random
 
@@ -41,6 +43,36 @@ def test_bootstrap_matches_row_resampling(spark):
     assert found == evaluation.bootstrap_interval(_pairs(spark, pairs[::-1])).first()
 
 
+def test_bootstrap_draws_rows_by_digest(spark):
+    """Any statistic over the cells; the draws equal those of a plain loop over numbered rows."""
+    pairs = [("A", "A")] * 7 + [("B", "A")] * 4 + [("é|", "x")] * 2 + [("", "A")]
+    cell = sorted({(hashlib.md5(f"{t}|{p}".encode()).hexdigest()[:2], t, p) for t, p in pairs})
+    rows = [(t, p) for _, t, p in cell for _ in range(pairs.count((t, p)))]
+
+    def drawn(b):
+        picked = [rows[int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:8], 16) % len(rows)] for i in range(len(rows))]
+        return sum(t == "A" for t, _ in picked)
+
+    def a_share(cells, by):
+        return cells.groupBy(*by).agg(F.sum(F.when(F.col("true") == "A", F.col("n")).otherwise(0)).cast("double").alias("a"))
+
+    found = evaluation.bootstrap_statistics(_pairs(spark, pairs), a_share, iterations=40).collect()
+    assert {r.replicate: r.a for r in found} == {b: drawn(b) for b in range(40)}
+    bounds = evaluation.bootstrap_interval(_pairs(spark, pairs), 40, statistic=a_share).first()
+    values = sorted(drawn(b) for b in range(40))
+    assert tuple(bounds) == (values[1], values[38])
+    empty = evaluation.bootstrap_interval(_pairs(spark, []), 10).first()
+    assert set(empty) == {0.0}
+
+
+@pytest.mark.parametrize("slot", [1, 5])
+def test_bootstrap_slots_do_not_change_draws(spark, monkeypatch, slot):
+    pairs = _pairs(spark, [("A", "A")] * 9 + [("B", "A")] * 4 + [("C", "B")])
+    whole = sorted(evaluation.resampled_cells(pairs, 20).collect())
+    monkeypatch.setattr(evaluation, "SLOT", slot)
+    assert sorted(evaluation.resampled_cells(pairs, 20).collect()) == whole
+
+
 def test_half_split_equals_a_global_rank(spark):
     pairs = _pairs(spark, [("A", "A")] * 31)
     found = {r.run_id: r.half for r in evaluation.half_split(pairs).collect()}
@@ -141,3 +173,40 @@ def test_clusters_and_tree(spark):
     labelled = spark.createDataFrame(rows, "true_label STRING, " + ", ".join(f"{f} INT" for f in mining.FEATURES))
     rules = [tuple(r) for r in mining.tree_rules(labelled).collect()]
     assert sorted(r[0] for r in rules) == ["A", "B"] and all(r[1] == 1.0 and r[2] == 20 and "no_file_edits" in r[3] for r in rules)
+
+
+def test_conjunctions_equal_plain_counting(spark):
+    flags = mining.FLAGS[:5]
+    dice = random.Random(3)
+    rows = [(*(dice.random() < 0.5 for _ in flags), "A" if dice.random() < 0.8 else "B") for _ in range(60)] + [(None,) * 5 + ("C",)] * 3
+    labelled = spark.createDataFrame(rows, ", ".join(f"{f} BOOLEAN" for f in flags) + ", true_label STRING")
+    want = set()
+    for values in itertools.product((0, 1, None), repeat=5):
+        hit = [r[5] for r in rows if all(v is None or int(bool(x)) == v for x, v in zip(r, values))]
+        for label in set(hit):
+            if len(hit) >= 3 and hit.count(label) / len(hit) >= 0.85:
+                want.add((*values, label, round(hit.count(label) / len(hit), 4), len(hit)))
+    assert {tuple(r) for r in mining.conjunction_rules(labelled, flags).collect()} == want and len(want) > 40
+    assert mining.conjunction_rules(labelled.limit(2), flags).count() == 0
+
+
+def test_vocabulary_ties_are_broken_by_term(spark):
+    texts = spark.createDataFrame([("zeta alpha", ), ("alpha zeta beta",), ("beta",), (None,)], "text STRING")
+    for parts in (1, 5):
+        counted = mining.grams(texts.repartition(parts), [])
+        top = [tuple(r) for r in mining.term_weights(counted, 4).orderBy(F.desc("count"), "term").collect()]
+        assert [(t, n, d) for t, n, d, _ in top] == [("alpha", 2, 2), ("beta", 2, 2), ("zeta", 2, 2), ("alpha zeta", 1, 1)]
+        assert top[0][3] == pytest.approx(math.log(5 / 3) + 1)
+        _, vocabulary = mining.tfidf(texts.repartition(parts), 4, [])
+        assert vocabulary == [t for t, *_ in top]
+
+
+def test_clusters_keep_the_best_start(spark):
+    dice = random.Random(8)
+    words = ["apple", "pie", "sugar", "engine", "wheel", "brake", "moon", "star", "comet", "salt"]
+    texts = spark.createDataFrame([(str(i), " ".join(dice.choices(words, k=5))) for i in range(60)], "run_id STRING, text STRING")
+    vectors, _ = mining.tfidf(texts)
+    model, costs = mining.best_of_starts(vectors, 3)
+    assert len(costs) == mining.STARTS and model.summary.trainingCost == min(costs) < max(costs)
+    once = sorted(map(tuple, mining.cluster_texts(texts.repartition(1))[0].collect()))
+    assert once == sorted(map(tuple, mining.cluster_texts(texts.repartition(7))[0].collect()))
