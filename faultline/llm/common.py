@@ -72,3 +72,10 @@ def byte_slices(batches: Iterator[pa.RecordBatch], name: str, most: int, rows: i
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a column; null is the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+def gathered(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``flat``, joined; run i has ``lengths[i]`` items."""
+    n = lengths[at]
+    shift = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(n) - n)
+    return flat[np.repeat(shift, n) + np.arange(n.sum())]

@@ -1,18 +1,18 @@
-"""Language-model scoring with bigram counts on a logarithmic scale.
+"""Language-model scoring with bigram counts in a log-frequency Bloom filter.
 
 * ``tokenised`` cuts the corpus into blocks of whole documents: numbers of words, and each block's distinct
   word hashes with their training counts.
 * ``word_counts`` sends each block's words to buckets by hash, adds them up, and answers every block. Counts
   are exact; a word stands once per block, so a frequent word costs no more than others.
-* ``pair_levels`` does the same with each block's distinct bigrams and answers with the level of the count,
-  1 + floor(2 log2 count), in one byte.
-* ``scores`` reads a level as a count c2, which gives (c2 + K p1) / (c1 + K), where c1 is the count of the word
-  before and p1 the smoothed share of the word alone.
-
-Buckets grow in number and not in size with the corpus, and nothing is broadcast. Bigrams of a bucket are told
-apart by 32 bits, so one never seen meets another's count with a probability of at most 2^20 / 2^32.
-``filter_of`` puts the levels into a Bloom filter of at most ``MOST_BITS``, for small corpora; ``scores`` does
-not use it.
+* ``filter_segments`` adds up the blocks' training bigrams in the same way and enters them into the filter: a
+  bigram of level L stands in it L times, as (bigram, 1) to (bigram, L), where L is 1 + floor(2 log2 count). Counts
+  themselves are not kept. The segments are the model; each has ``BITS_PER_ENTRY`` bits for an entry, so the rate
+  of false hits is the same at every size, and they grow in number with the corpus.
+* ``probed`` asks for the level of every distinct bigram of every block by membership probes, level by level until
+  one misses. A whole filter has no size bound and is not broadcast: a block's bigrams go to their segments.
+* ``scores`` reads a level by its lower end as a count c2, which gives (c2 + K p1) / (c1 + K), where c1 is the
+  count of the word before and p1 the smoothed share of the word alone. But for false hits, shares after one word
+  do not add up to more than one.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from faultline.llm.common import slices, written
 
 BLOCK_TOKENS = 1 << 20
-BITS_PER_ENTRY = 12
-MOST_BITS = 1 << 29
-PROBES = 3
+BITS_PER_ENTRY = 14
+PROBES = 5
 LEVELS = 64
 SMOOTH = 0.1
 PRIOR = 200.0
@@ -152,8 +151,8 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _counts(levels: np.ndarray) -> np.ndarray:
-    """The middle of each level; 0 stays 0."""
-    return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 2.0 ** ((levels - 0.5) / 2)))
+    """The least count of each level; 0 stays 0."""
+    return np.where(levels == 0, 0.0, np.ceil(2.0 ** ((levels - 1.0) / 2) - 1e-9))
 
 
 def _slots(rest: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
@@ -164,101 +163,81 @@ def _slots(rest: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
         yield (base + np.uint64(probe) * step) % np.uint64(bits)
 
 
-class LogFilter:
-    """Segments of a Bloom filter, one per bucket, in one array of bytes."""
-
-    def __init__(self, buckets: int, segment_bits: int):
-        self.buckets, self.bits = buckets, segment_bits
-        self.data = np.zeros(buckets * segment_bits // 8, np.uint8)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised counts of bigrams: 0, or the middle of the highest level that all probes meet."""
-        bucket = keys % np.uint64(self.buckets)
-        rest = ((keys // np.uint64(self.buckets)) & np.uint64(0xFFFFFFFF))
-        level = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        for number in range(1, LEVELS + 1):
-            inside = np.ones(len(alive), bool)
-            base = bucket[alive] * np.uint64(self.bits)
-            for slot in _slots(rest[alive], number, self.bits):
-                at = base + slot
-                inside &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[inside]
-            if not len(alive):
-                break
-            level[alive] = number
-        return _counts(level)
-
-
-def filter_of(blocks: DataFrame, pairs: int) -> LogFilter:
-    """The filter over all training bigrams; what reaches the driver is its bits, ``MOST_BITS`` at most."""
-    buckets = max(1, -(-pairs // BUCKET_ENTRIES))
-    bits = min(MOST_BITS, BITS_PER_ENTRY * max(pairs, 1024))
-    segment = max(64, bits // buckets // 8 * 8)
+def segment_of(rest: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bytes of a segment that holds distinct bigrams with their counts."""
+    levels = _levels(counts)
+    bits = max(64, -(-BITS_PER_ENTRY * int(levels.sum()) // 8) * 8)
+    data = np.zeros(bits, np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for slot in _slots(rest[levels >= level], level, bits):
+            data[slot] = 1
+    return np.packbits(data, bitorder="little")
+
+
+def levels_in(segment: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The highest level up to which all probes of a bigram meet, 0 if the first one misses."""
+    bits, found, alive = 8 * len(segment), np.zeros(len(rest), np.uint8), np.arange(len(rest))
+    for level in range(1, LEVELS + 1):
+        inside = np.ones(len(alive), bool)
+        for at in _slots(rest[alive], level, bits):
+            inside &= (segment[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        alive = alive[inside]
+        if not len(alive):
+            break
+        found[alive] = level
+    return found
+
+
+def _block_pairs(blocks: DataFrame, buckets: int, training: bool) -> DataFrame:
+    """(block, bucket, rest[, counts]): each block's distinct bigrams, or its training bigrams and their counts."""
+    columns = ["block", "bucket", "rest", "counts"][:4 if training else 3]
+    kinds = {"bucket": pa.int32(), "rest": pa.binary(), "counts": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            row = {c: batch.column(c)[0].as_py() for c in ("held", "lengths", "tokens", "words")}
+            row = {c: batch.column(c)[0].as_py() for c in ("block", "held", "lengths", "tokens", "words")}
             lengths = np.frombuffer(row["lengths"], "<u4")
             keys = _pair_keys(np.frombuffer(row["words"], np.uint64), _unpacked(row["tokens"]), lengths)
-            keys, counts = np.unique(keys[np.repeat(~np.array(row["held"]), lengths)], return_counts=True)
+            if training:
+                keys = keys[np.repeat(~np.array(row["held"]), lengths)]
+            keys, counts = np.unique(keys, return_counts=True)
             parts = []
             for bucket, at in _bucketed(keys, buckets):
                 rest = (keys[at] // np.uint64(buckets)).astype("<u4")  # the low 32 bits
                 parts.append((bucket, rest.tobytes(), counts[at].astype("<u4").tobytes()))
-            columns = [pa.array([p[i] for p in parts], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rest", "counts"])
+            arrays = [pa.array([row["block"]] * len(parts), pa.int64())]
+            arrays += [pa.array([p[i] for p in parts], kinds[c]) for i, c in enumerate(columns[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    schema = "block long, bucket int, rest binary" + (", counts binary" if training else "")
+    return blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(cut, schema)
+
 
+def filter_segments(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, entries, segment): the filter over all training bigrams, a row for each bucket that has one."""
     def entered(group: pa.Table) -> pa.Table:
         rest = np.concatenate([np.frombuffer(r, "<u4") for r in group.column("rest").to_pylist()])
         counts = np.concatenate([np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()])
         rest, place = np.unique(rest, return_inverse=True)
-        levels = _levels(np.bincount(place, weights=counts))
-        data = np.zeros(segment, np.uint8)
-        for level in range(1, int(levels.max()) + 1):
-            for slot in _slots(rest[levels >= level], level, segment):
-                data[slot] = 1
-        packed = np.packbits(data, bitorder="little").tobytes()
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "segment": pa.array([packed], pa.binary())})
-
-    parts = blocks.select("held", "lengths", "tokens", "words").mapInArrow(cut, "bucket int, rest binary, counts binary")
-    segments = parts.groupBy("bucket").applyInArrow(entered, "bucket int, segment binary")
-    found = LogFilter(buckets, segment)
-    for row in segments.toLocalIterator():
-        start = row["bucket"] * segment // 8
-        found.data[start:start + segment // 8] = np.frombuffer(row["segment"], np.uint8)
-    return found
-
+        totals = np.bincount(place, weights=counts)
+        return pa.table({
+            "bucket": group.column("bucket").slice(0, 1), "entries": pa.array([int(_levels(totals).sum())], pa.int64()),
+            "segment": pa.array([segment_of(rest, totals).tobytes()], pa.binary()),
+        })
 
-def pair_levels(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, levels): levels of the training counts of each block's distinct bigrams, 0 for one never seen."""
+    return _block_pairs(blocks, buckets, True).groupBy("bucket").applyInArrow(entered, "bucket int, entries long, segment binary")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            row = {c: batch.column(c)[0].as_py() for c in ("block", "held", "lengths", "tokens", "words")}
-            lengths = np.frombuffer(row["lengths"], "<u4")
-            keys = _pair_keys(np.frombuffer(row["words"], np.uint64), _unpacked(row["tokens"]), lengths)
-            keys, place = np.unique(keys, return_inverse=True)
-            counts = np.bincount(place[np.repeat(~np.array(row["held"]), lengths)], minlength=len(keys))
-            parts = []
-            for bucket, at in _bucketed(keys, buckets):
-                rest = (keys[at] // np.uint64(buckets)).astype("<u4")  # the low 32 bits
-                parts.append((bucket, rest.tobytes(), counts[at].astype("<u4").tobytes()))
-            columns = [pa.array([row["block"]] * len(parts), pa.int64()),
-                       *(pa.array([p[i] for p in parts], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "rest", "counts"])
 
-    def answer(group: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(r, "<u4") for r in group.column("rest").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()])
-        _, place = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.bincount(place, weights=counts)
-        levels = np.where(totals > 0, _levels(np.maximum(totals, 1)), 0).astype(np.uint8)[place]
-        replies = [part.tobytes() for part in np.split(levels, np.cumsum([len(a) for a in asked])[:-1])]
-        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "levels": pa.array(replies, pa.binary())})
+def probed(blocks: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, levels): levels of each block's distinct bigrams, in the order of their keys."""
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rests = [np.frombuffer(r, "<u4") for r in asked.column("rest").to_pylist()]
+        segment = np.frombuffer(held.column("segment")[0].as_py(), np.uint8) if held.num_rows else np.zeros(8, np.uint8)
+        replies = [levels_in(segment, rest).tobytes() for rest in rests]
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "levels": pa.array(replies, pa.binary())})
 
-    asked = blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(ask, "block long, bucket int, rest binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, levels binary")
+    asked = _block_pairs(blocks, buckets, False).groupBy("bucket")
+    return asked.cogroup(segments.select("bucket", "segment").groupBy("bucket")).applyInArrow(answer, "block long, bucket int, levels binary")
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, buckets: int, pairs: DataFrame, pair_buckets: int, trained: int, distinct: int) -> DataFrame:
@@ -309,5 +288,6 @@ def scores(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     answers = written(word_counts(blocks, buckets))
     totals = answers.agg(F.sum("trained").alias("n"), F.sum("distinct").alias("v")).first()
     pair_buckets = max(buckets, -(-(sizes["pairs"] or 0) // BUCKET_ENTRIES))
-    pairs = written(pair_levels(blocks, pair_buckets))
+    segments = written(filter_segments(blocks, pair_buckets))
+    pairs = written(probed(blocks, segments, pair_buckets))
     return _scored(blocks, answers, buckets, pairs, pair_buckets, totals["n"] or 0, totals["v"] or 0)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-from faultline.llm.common import byte_slices, strings, written
+from faultline.llm.common import byte_slices, gathered, strings, written
 from faultline.llm.token_counts import RUNS, STABLE
 from faultline.llm.token_files import kind_of
 
@@ -45,13 +45,6 @@ BLANK = "Ġ"  # how byte-level vocabularies write a blank
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _gathered(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The runs ``at`` of ``flat``, joined; run i has ``lengths[i]`` items."""
-    n = lengths[at]
-    shift = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(n) - n)
-    return flat[np.repeat(shift, n) + np.arange(n.sum())]
-
-
 class Encoder:
     """A byte-level tokenizer that encodes each distinct run of letters or signs once per bounded table.
 
@@ -140,9 +133,9 @@ class Encoder:
         size = np.dtype(self.kind).itemsize
         flat, lengths = np.frombuffer(b"".join(ids_of), self.kind), np.array([len(x) // size for x in ids_of], np.int64)
         at = coded.indices.to_numpy().reshape(4, -1).T.ravel()
-        flat, lengths = _gathered(flat, lengths, at), lengths[at].reshape(-1, 4).sum(axis=1)
+        flat, lengths = gathered(flat, lengths, at), lengths[at].reshape(-1, 4).sum(axis=1)
         at = words.indices.to_numpy()
-        data = _gathered(flat, lengths, at).tobytes()
+        data = gathered(flat, lengths, at).tobytes()
         stops = np.concatenate([[0], np.cumsum(lengths[at])])[cut.offsets.to_numpy()] * size
         return [data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
 

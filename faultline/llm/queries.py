@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from faultline.llm import conversations, decontaminate, fingerprints, language_model, near_dedup, packing, pieces, quality, resampling
 from faultline.llm import token_counts, token_files, toxicity, warc
 from faultline.llm.common import documents, labels
+from faultline.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:

@@ -15,10 +15,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-from faultline.llm.common import slices, strings, written
+from faultline.llm.common import byte_slices, gathered, slices, strings, written
 
 MAGIC = b"RANS"
 SCALE = 20  # frequencies add up to 2 to this power
@@ -35,20 +35,24 @@ LANES, SEGMENT = 1024, 256
 BLOCK_TOKENS = 1 << 20
 WIDEST_ALPHABET = 1 << 19  # so that a table has a proven size
 HEAD = struct.Struct("<4sIQIIII")
-TABLE_ENTRIES, LONGEST_KEPT = 400_000, 48
+TABLE_ENTRIES, LONGEST_KEPT = 500_000, 48
+SLICE = 1 << 23  # texts are encoded in slices of about so many bytes
 #: One run of Latin letters between ASCII signs. The signs stand in pre-tokens of their own (the apostrophe may
 #: not, and is left out, like the sign that opens a special token), and letters of one run stand together.
-PLAIN = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+SIGNS, LETTERS = r"[!-&(-/:;=-@\[-`{-~]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PLAIN = f"^(?P<a>{SIGNS}*)(?P<b>{LETTERS}+)(?P<c>{SIGNS}*)$"
+
+LOWER = re.compile("[a-zß-öø-ÿ]+")
 
 _TOKENIZERS: dict[str, Words] = {}
 
 
 class Words:
-    """A tokenizer that drops white space and lower-cases, with bounded tables of distinct words.
+    """A tokenizer that drops white space and lower-cases, with a bounded table of distinct parts of words.
 
-    The first table holds words as they stand between blanks. A word that is missing is taken apart, if it is
-    a run of letters between signs, and its parts come from a second table; new runs of letters are encoded
-    together in one text and told apart by the tokens that end a word.
+    Arrow kernels cut texts at blanks and number the distinct words. A word that is a run of letters between signs is
+    taken apart; other words are one part. Each distinct part is looked up once per slice and ids are gathered by
+    position. New runs of letters are encoded together in one text and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -68,7 +72,6 @@ class Words:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kind = kind_of(len(self.ends))
         self.kept: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,43 +91,40 @@ class Words:
         stops = (stops * size).tolist()
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def _fill(self, words: list[str]) -> None:
-        """Put words into the first table."""
-        plain, odd = [], []
-        for word in words:
-            m = PLAIN.fullmatch(word)
-            if m is None:
-                odd.append(word)
-            else:
-                plain.append((word, m[1], m[2].lower(), m[3]))
-        self.kept.update(zip(odd, self._packed(odd)))
-        runs = list({p[2] for p in plain}.difference(self.parts))
-        self.parts.update(zip(runs, self._letters(runs)))
-        signs = list({s for p in plain for s in (p[1], p[3])}.difference(self.parts))
-        self.parts.update(zip(signs, self._packed(signs)))
-        parts = self.parts
-        self.kept.update((w, parts[a] + parts[b] + parts[c]) for w, a, b, c in plain)
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, by the table."""
+        if len(self.kept) > TABLE_ENTRIES:
+            self.kept = {}
+        missing = [p for p in parts if p not in self.kept]
+        # Only runs of letters are wholly letters: other parts hold a sign, a digit or a letter of another script.
+        runs = [p for p in missing if len(p) <= LONGEST_KEPT and LOWER.fullmatch(p)]
+        rest = list(set(missing).difference(runs))
+        self.kept.update(zip(runs, self._letters(runs)))
+        self.kept.update(zip(rest, self._packed(rest)))
+        found = list(map(self.kept.__getitem__, parts))
+        for part in rest:
+            if len(part) > LONGEST_KEPT:
+                del self.kept[part]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids. Blank and line feed separate pre-tokens, so words are encoded on their own."""
-        if len(self.kept) > TABLE_ENTRIES:
-            self.kept = {}
-        if len(self.parts) > TABLE_ENTRIES:
-            self.parts = {}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.kept.get, words)) for words in cut]
-        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
-        missing = list({words[i] for words, at in zip(cut, gaps) for i in at})
-        self._fill(missing)
-        for row, words, at in zip(found, cut, gaps):
-            for i in at:
-                row[i] = self.kept[words[i]]
-        long = [w for w in missing if len(w) > LONGEST_KEPT]
-        for w in long:
-            del self.kept[w]
-        if long:
-            self.parts = {k: v for k, v in self.parts.items() if len(k) <= LONGEST_KEPT}
-        return list(map(b"".join, found))
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary
+        match = pc.extract_regex(distinct, PLAIN)
+        plain = pc.is_valid(match)
+        a, b, c = (pc.fill_null(pc.struct_field(match, i), "") for i in range(3))
+        coded = pa.concat_arrays([a, pc.if_else(plain, pc.utf8_lower(b), distinct), c]).dictionary_encode()
+        ids_of = self._parts(coded.dictionary.to_pylist())
+        size = np.dtype(self.kind).itemsize
+        flat, lengths = np.frombuffer(b"".join(ids_of), self.kind), np.array([len(x) // size for x in ids_of], np.int64)
+        at = coded.indices.to_numpy().reshape(3, -1).T.ravel()
+        flat, lengths = gathered(flat, lengths, at), lengths[at].reshape(-1, 3).sum(axis=1)
+        at = words.indices.to_numpy()
+        data = gathered(flat, lengths, at).tobytes()
+        stops = np.concatenate([[0], np.cumsum(lengths[at])])[cut.offsets.to_numpy()] * size
+        return [data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
 
 def kind_of(alphabet: int) -> str:
@@ -145,7 +145,7 @@ def tokenised(docs: DataFrame, path: str, end: int | None, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         tail = b"" if end is None else np.array([end], words.kind).tobytes()
-        for batch in slices(batches):
+        for batch in byte_slices(batches, "text", SLICE):
             ids = [row + tail for row in words.encode(strings(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
