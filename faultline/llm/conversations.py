@@ -12,7 +12,7 @@ last row, so none is a beginning of another and ranks order them strictly; steps
 To find the states between the rows of a chunk, Hirschberg's divide and conquer: a forward vector of four costs
 (and ranks) and a backward one meet in the middle, the least-audit optimal crossing is chosen, and both halves go
 on alone, in space linear in the chunk. The same halving finds the states between chunks. So a conversation of any
-length is split: chunks become steps, the steps of a range one step, and so on; states come back the same way.
+length is split: chunks become steps, 256 steps become one step, and so on; states come back the same way.
 
 Costs, faults and edits are fixed by the rules below; texts move only to be handed out again.
 """
@@ -38,8 +38,8 @@ NEXT_USER, NEXT_ASSISTANT = {START: USER, SYSTEM: USER, ASSISTANT: USER}, {USER:
 AFTER = {"s": {START: SYSTEM}, "u": NEXT_USER, "a": NEXT_ASSISTANT, "o": {}}
 #: A row as one letter: its role's initial (o: any other), a capital if truncated, a digit if it must go.
 SOUND, SHORT, BAD = "suao", "SUAO", "0123"
-#: Bits of a row's place that its piece leaves out, by level: 4096 rows, a range, 256 ranges, and so on.
-SHIFTS = (12, 33, 41, 49, 57, 63)
+#: Bits of a row's place that its piece leaves out, by level: 4096 rows, 256 such pieces, and so on.
+SHIFTS = (12, 20, 28, 36, 44, 52, 60)
 FAR = 1 << 62
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -211,7 +211,8 @@ def _whole(rows: DataFrame) -> DataFrame:
 def marked(rows: DataFrame, parts: int) -> DataFrame:
     """Rows without their texts, in order: (conv, turn, role, digest, at, initial, fault), written once.
 
-    ``at`` grows along (conv, turn, role, digest); a conversation's rows are dealt over as many ranges as it fills.
+    A conversation's rows are dealt over as many ranges as it fills. ``at`` numbers them from 0 along (turn, role,
+    digest): a range's rows have consecutive numbers, which the counts of the conversation's earlier ranges shift.
     ``fault`` is blank, duplicate, truncated or null. A duplicate is found by its group's first place, counted
     before the shuffle; only groups of more than one row meet the rows again.
     """
@@ -222,7 +223,13 @@ def marked(rows: DataFrame, parts: int) -> DataFrame:
     plain = written(plain.withColumn("row", F.monotonically_increasing_id()))
     order = [F.col(c).asc_nulls_first() for c in ("conv", *ORDER, "row")]
     dealt = written(plain.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
-                    .withColumn("at", F.monotonically_increasing_id()))
+                    .withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    counts = dealt.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(F.col("conv").alias("_conv"), F.col("range").alias("_range"),
+                           (F.col("first") - F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("shift"))
+    dealt = dealt.join(shifts, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range"))).withColumn(
+        "at", F.col("at") - F.col("shift")).drop("_conv", "_range", "range", "shift")
     seen = dealt.filter("not blank").groupBy("conv", "role", "digest").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     seen = seen.filter("n > 1").select(*(F.col(c).alias(f"_{c}") for c in ("conv", "role", "digest")), "first")
     same = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("role") == F.col("_role")) & (F.col("digest") == F.col("_digest"))

@@ -122,7 +122,7 @@ def odd_rows():
     return rows + [(7, i, dice.choice(roles[:3]), f"w{dice.randint(0, 800)}{dice.choice(['.', ''])}") for i in range(1200)]
 
 
-@pytest.mark.parametrize("shifts", [conversations.SHIFTS, (2, 4, 6, 9, 20, 33, 36, 63)])
+@pytest.mark.parametrize("shifts", [conversations.SHIFTS, (2, 4, 6, 9, 20)])
 def test_odd_rows_and_a_conversation_of_many_chunks(spark, monkeypatch, odd_rows, shifts):
     monkeypatch.setattr(conversations, "SHIFTS", shifts)
     rows = spark.createDataFrame([(*r, 5, "x") for r in odd_rows], "conv_id long, turn long, role string, text string, at int, fault string")
