@@ -6,9 +6,11 @@ often over all documents (ties: the first). Where a document has that token, the
 words earlier as the token stands behind the window's start, and must end inside the document; then the
 words themselves are compared.
 
-Words are numbered by the benchmark's own vocabulary, so tokens are exact numbers and not hashes. The
-benchmark is taken in blocks of about ``block_words`` words, each small enough to send to every worker; one
-block makes two passes over the documents, one to count the tokens and one to match.
+Words are numbered by the benchmark's own vocabulary, so tokens are exact numbers and not hashes. Items are cut
+into pieces that overlap by one word less than a window, equal pieces are taken once, and prefix sums over the
+pieces' words make blocks of at most ``block_words`` words and one piece, whatever items they belong to: a block is
+small enough to send to every worker. One block makes two passes over the documents, one to count the tokens and
+one to match.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +50,6 @@ class Block:
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if ids else 0):
                 owners.setdefault(tuple(ids[at:at + size]), set()).add(item)
-        if len(vocabulary) >= 1 << 20:
-            raise ValueError("take smaller blocks")
         self.vocabulary = vocabulary
         self.windows = sorted(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
@@ -135,15 +135,46 @@ def _counted(docs: DataFrame, block: Broadcast, text: str) -> np.ndarray:
     return counts
 
 
+def _pieces(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """(item, words, n): stretches of at most ``piece_words`` windows of an item, each once. An item without id is
+    called null."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            owners, texts, sizes = [], [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for start in range(0, max(len(words) - window + 1, 1) if words else 0, piece_words):
+                    held = words[start:start + piece_words + window - 1]
+                    owners.append(item)
+                    texts.append(b" ".join(held))
+                    sizes.append(len(held))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["item", "words", "n"])
+
+    return items.mapInArrow(cut, "item string, words binary, n long").dropDuplicates(["item", "words"])
+
+
+def _numbered(pieces: DataFrame, block_words: int) -> DataFrame:
+    """(item, words, block): blocks of at most ``block_words`` words and one piece, in the order of a hash."""
+    hashed = pieces.withColumn("hash", F.xxhash64("item", "words")).withColumn("bucket", F.pmod("hash", F.lit(256)))
+    totals = hashed.groupBy("bucket").agg(F.sum("n").alias("total"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("bucket").orderBy("hash", "item").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.join(starts, "bucket").withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return placed.select("item", "words", F.floor(F.col("at") / block_words).alias("block"))
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, block_words: int) -> Iterator[Broadcast]:
-    """The benchmark's blocks, ready to match. An item without id is called null."""
+    """The benchmark's blocks, ready to match."""
     context = docs.sparkSession.sparkContext
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (4 * block_words)))
-    for number in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number) if blocks > 1 else items
-        block = Block([(r["item"], r["text"]) for r in part.collect()], window)
+    block_words = min(block_words, BLOCK_WORDS)  # a vocabulary has fewer than 2^20 words
+    pieces = written(_numbered(_pieces(benchmark, window, max(1, block_words // 8)), block_words))
+    last = pieces.agg(F.max("block").alias("n")).first()["n"] or 0
+    for number in range(last + 1):
+        part = pieces.filter(F.col("block") == number).select("item", "words")
+        block = Block([(r["item"], bytes(r["words"])) for r in part.collect()], window)  # at most a block's words
         counting = context.broadcast(block)
         block.order(_counted(docs, counting, text))
         counting.unpersist()

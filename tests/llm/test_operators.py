@@ -197,6 +197,37 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_hot_item(spark):
+    """One item id holds most rows, one text a third of them, and one item is longer than a block."""
+    dice = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    long = " ".join(dice.choices(words, k=3000))
+    items = [("hot", " ".join(dice.choices(words, k=30))) for _ in range(40)] + [("hot", "same text " * 9)] * 60 + [("long", long), (None, "x y z"), ("none", None)]
+    docs = [(i, " ".join([*dice.choices(words, k=20), *t.split()[dice.randint(0, 5):][:dice.randint(3, 25)]])) for i, (_, t) in enumerate(items[:60])]
+    docs += [(100, "a " + " ".join(long.split()[700:760])), (101, "u x y z"), (102, None), (103, " ".join(long.split()[-12:]))]
+
+    def windows(text):
+        held = text.split() if text else []
+        return {tuple(held[i:i + 10]) for i in range(max(len(held) - 9, 1))} if held else set()
+
+    wanted = []
+    for i, text in docs:
+        held, hit, owners = (text or "").split(), set(), set()
+        for name, item in items:
+            for w in windows(item):
+                for at in range(len(held) - len(w) + 1):
+                    if tuple(held[at:at + len(w)]) == w:
+                        hit |= set(range(at, at + len(w)))
+                        owners.add("null" if name is None else name)
+        wanted.append((i, len(held), len(hit), len(owners), sha(",".join(sorted(owners))), bool(hit)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    for block in (500_000, 900):
+        found = decontaminate.hit_counts(decontaminate.occurrences(frame, benchmark, block_words=block))
+        assert ordered(map(tuple, found.collect())) == ordered(wanted)
+    assert sum(w[5] for w in wanted) > 20
+
+
 def test_language_model_counts(spark, sample):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sample}/documents.parquet").collect()] + [(10**9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
