@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.sequence import with_ordinal
 from faultline.functions.text import strip
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, written_table
 
 MIN_OVERLAP = 5
 ITERATIONS, ALPHA, SEED = 1000, 0.05, 42
@@ -143,7 +143,7 @@ def resampled_cells(pairs: DataFrame, iterations: int = ITERATIONS, seed: int =
         "true", "predicted", "low",
         F.explode(F.sequence(F.floor(F.col("low") / SLOT), F.floor((F.col("high") - 1) / SLOT))).alias("slot"))
     # A slot has at most as many cells as numbers.
-    slots = slots.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("low", "true", "predicted"))).alias("cells"))
+    slots = written_table(slots.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("low", "true", "predicted"))).alias("cells")))
     found = draws.join(slots, "slot").select(
         "replicate", F.element_at(F.filter("cells", lambda c: c["low"] <= F.col("row")), -1).alias("cell"))
     return found.groupBy("replicate", F.col("cell.true").alias("true"), F.col("cell.predicted").alias("predicted")).agg(F.count("*").alias("n"))

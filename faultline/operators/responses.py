@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
+from faultline.functions.arrays import group_starts, groups, let
 from faultline.functions.barrier import computed_once
 from faultline.functions.text import contains_any, strip
 from faultline.schema import CATEGORY_SCORE, EVIDENCE
@@ -134,20 +135,39 @@ def cited_evidence(verdicts: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def cited_evidence_nested(steps: Column, cited: Column, notes: Column) -> Column:
-    """The same for a nested run: the last step with a cited index is quoted."""
-
-    def quote(i: Column) -> Column:
-        step = F.get(F.reverse(F.filter(steps, lambda s: s["index"] == i)), 0)
-        return F.when(
-            step.isNotNull(),
-            F.struct(
-                i.cast("int").alias("step_index"),
-                excerpt(step["content"], step["observation"]["content"]).alias("excerpt"),
-                _note(notes, i).alias("why"),
-            ),
-        )
-
-    return F.filter(F.transform(cited, quote), lambda e: e.isNotNull()).cast(f"array<{EVIDENCE}>")
+    """The same for a nested run: the last step with a cited index is quoted.
+
+    Steps, notes and citations are sorted together by index, so that each citation lies beside what it needs: the
+    work is that of sorting, however many citations and steps there are.
+    """
+    def entry(index: Column, kind: int, place: Column, note: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if note is None else note
+        return F.struct(index.cast("long").alias("index"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), text.alias("note"))
+
+    named = F.map_entries(F.coalesce(F.try_variant_get(notes, "$", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    # A note counts under the plain digits of an index only.
+    numbered = F.filter(named, lambda e: e["key"].try_cast("long").cast("string") == e["key"])
+    everything = F.concat(
+        F.transform(numbered, lambda e: entry(e["key"].try_cast("long"), 0, F.lit(0), e["value"])),
+        F.transform(steps, lambda s, i: entry(s["index"], 1, i)), F.transform(cited, lambda i, rank: entry(i, 2, rank)))
+
+    def answered(group: Column) -> Column:
+        note = F.get(F.filter(group, lambda e: e["kind"] == 0), 0)["note"]
+        last = F.try_element_at(F.filter(group, lambda e: e["kind"] == 1), F.lit(-1))["place"]
+        return let(F.struct(note.alias("note"), last.alias("last")), lambda known: F.transform(
+            F.filter(group, lambda e: (e["kind"] == 2) & known["last"].isNotNull()),
+            lambda e: F.struct(e["place"].alias("rank"), e["index"].alias("index"), known["last"].alias("place"), known["note"].alias("note"))))
+
+    found = let(F.array_sort(everything), lambda o: let(
+        group_starts(o, lambda e: e["index"]), lambda starts: F.flatten(F.transform(groups(o, starts), answered))))
+
+    def quote(e: Column) -> Column:
+        return let(F.get(steps, e["place"]), lambda step: F.struct(
+            e["index"].cast("int").alias("step_index"), excerpt(step["content"], step["observation"]["content"]).alias("excerpt"),
+            F.coalesce(e["note"], F.lit("")).alias("why")))
+
+    evidence = F.transform(F.array_sort(found), quote).cast(f"array<{EVIDENCE}>")
+    return F.when(cited.isNotNull() & steps.isNotNull(), evidence)
 
 
 def baseline_rank(text: Column) -> Column:

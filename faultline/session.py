@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only a local session may fall back to a
     folder of this machine.
     """
+    _checkpoint_folder(df)
+    return df.checkpoint()
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the checkpoint folder: unlike a checkpoint's, its size is known, so that Spark
+    picks the join by it."""
+    path = f"{_checkpoint_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -37,4 +51,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="faultline-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()

@@ -10,7 +10,8 @@ from faultline.operators.normalize_chats import normalize_chats
 from faultline.operators.normalize_history import normalize_histories, plain_event
 from faultline.operators.normalize_sessions import normalize_sessions
 from faultline.plans.queries import QUERIES
-from faultline.sources import json_arrays, records
+from faultline.sources import json_arrays, records, sinks
+from tests.runs import CASES, run
 
 
 def _records(spark, docs):
@@ -316,3 +317,41 @@ def test_no_filter_repeats_a_normalizer(name, spark, sample):
     plan = QUERIES[name](spark, sample)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.split("\n") if "Filter " in line]
     assert not [f for f in filters if "transform(" in f or "variant_get" in f]
+
+
+def test_single_documents(spark, tmp_path):
+    """An indented run, and an event-history document with its outcome at the top or in the test block."""
+    one = run("single", [("command", "ls", "ok", 0)], patch="diff")
+    (tmp_path / "run.json").write_text(json.dumps(one, indent=2))
+    read = records.read_run_document(spark, str(tmp_path / "run.json")).first()
+    assert (read.run_id, read.steps[0].observation.exit_code, read.final_patch) == ("single", 0, "diff")
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(Exception):
+        records.read_run_document(spark, str(tmp_path / "broken.json")).collect()
+
+    folder = tmp_path / "histories"
+    folder.mkdir()
+    documents = {
+        "top": {"instance_id": "1", "resolved": True, "history": [{"source": "agent", "action": "run", "command": "x"}]},
+        "block": {"instance": {"instance_id": "2", "repo": "r"}, "test_result": {"resolved": False, "git_patch": "p"}},
+        "bare": {"events": [{"source": "environment", "observation": "run", "content": "seen"}]},
+    }
+    for name, held in documents.items():
+        (folder / f"{name}.json").write_text(json.dumps(held, indent=1))
+    found = {r.run_id: r for r in records.read_history_document(spark, str(folder)).collect()}
+    assert set(found) == {"openhands-1", "openhands-2", "openhands-unknown"}
+    assert found["openhands-1"].resolved and found["openhands-1"].test_result.passed and len(found["openhands-1"].steps) == 1
+    assert (found["openhands-2"].resolved, found["openhands-2"].final_patch, found["openhands-2"].test_result.passed) == (False, "p", False)
+    assert found["openhands-unknown"].resolved is None and found["openhands-unknown"].test_result is None
+
+
+def test_written_runs_and_gold_are_read_again(spark, tmp_path):
+    path = tmp_path / "runs.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r, _, _ in CASES))
+    runs = records.read_runs(spark, str(path))
+    sinks.write_json_lines(runs, str(tmp_path / "again"))
+    again = records.read_runs(spark, str(tmp_path / "again"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, runs.collect()))
+    gold = spark.createDataFrame([("a", "t", "OTHER", "me", "")], "run_id STRING, task_id STRING, true_category STRING, labeler STRING, notes STRING")
+    sinks.write_json_lines(gold, str(tmp_path / "gold"))
+    assert [tuple(r) for r in records.read_gold(spark, str(tmp_path / "gold")).drop("seq").collect()] == [tuple(gold.first())]

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.operators import cards as card_ops
 from faultline.operators import compaction
 from faultline.operators.compaction import compacted_parts, compacted_runs, run_words
-from faultline.operators.responses import keyword_baseline
+from faultline.operators.responses import cited_evidence_nested, keyword_baseline
 from faultline.operators.rules import apply_rules
 from faultline.operators.signals import signals_from_runs, signals_from_steps
 from faultline.operators.steps import failed_steps, last_steps, steps_table, with_run_facts
@@ -129,3 +131,24 @@ def test_markdown_and_corrections(spark, tmp_path):
         "run_id STRING, auto_label STRING, true_label STRING, note STRING, created_at DOUBLE")
     text = card_ops.with_corrections(cards, corrections).filter("run_id = 'stalled'").select(card_ops.markdown().alias("m")).first().m
     assert "- **Human correction**: `SCOPING` — n2" in text and "- **Confidence**: 72%" in text
+
+
+def test_nested_citations_are_linear(spark):
+    dice = random.Random(5)
+    steps = [(dice.randrange(300), f"content {i}") for i in range(400)]
+    cited = [dice.randrange(330) for _ in range(500)]
+    notes = {**{str(i): f"note {i}" for i in range(0, 330, 3)}, "007": "no index", "x": "no number"}
+    last = dict(steps)
+    many = 20_000
+
+    def quoted(steps, cited, notes):
+        rows = spark.createDataFrame(
+            [([{"index": i, "content": c, "observation": None} for i, c in steps], cited, json.dumps(notes))],
+            "steps ARRAY<STRUCT<index: INT, content: STRING, observation: STRUCT<content: STRING>>>, cited ARRAY<INT>, notes STRING")
+        evidence = cited_evidence_nested(F.col("steps"), F.col("cited"), F.parse_json("notes"))
+        return [tuple(e) for e in rows.select(evidence.alias("e")).first().e]
+
+    assert quoted(steps, cited, notes) == [(i, last[i], notes.get(str(i), "")) for i in cited if i in last]
+    start = time.perf_counter()
+    found = quoted([(i, f"c{i}") for i in range(many)], list(range(many)), {str(i): f"n{i}" for i in range(many)})
+    assert found == [(i, f"c{i}", f"n{i}") for i in range(many)] and time.perf_counter() - start < 30
