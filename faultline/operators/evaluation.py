@@ -17,7 +17,8 @@ from faultline.session import cut_lineage, written_table
 
 MIN_OVERLAP = 5
 ITERATIONS, ALPHA, SEED = 1000, 0.05, 42
-SLOT = 1024  # row numbers that are looked up together
+SLOT = 32  # row numbers that are looked up together
+BLOCK = 1024  # row numbers that one row of work stands for
 
 
 def latest_gold(gold: DataFrame, order: str) -> DataFrame:
@@ -133,9 +134,9 @@ def resampled_cells(pairs: DataFrame, iterations: int = ITERATIONS, seed: int =
     total = own.select(F.sum("n")).scalar()
     spark = pairs.sparkSession
     # Stretches of numbers, dealt evenly whatever the cells' sizes.
-    blocks = own.select(F.explode(F.sequence("low", F.col("high") - 1, F.lit(SLOT).cast("long"))).alias("begin"), "high")
+    blocks = own.select(F.explode(F.sequence("low", F.col("high") - 1, F.lit(BLOCK).cast("long"))).alias("begin"), "high")
     blocks = blocks.repartition(4 * spark.sparkContext.defaultParallelism, "begin")
-    numbers = blocks.select(F.explode(F.sequence("begin", F.least(F.col("begin") + SLOT, F.col("high")) - 1)).alias("i"))
+    numbers = blocks.select(F.explode(F.sequence("begin", F.least(F.col("begin") + BLOCK, F.col("high")) - 1)).alias("i"))
     draws = numbers.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate"), "i")
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate"), F.col("i"))), 1, 8), 16, 10).cast("long") % total
     draws = draws.select("replicate", drawn.alias("row")).withColumn("slot", F.floor(F.col("row") / SLOT))
