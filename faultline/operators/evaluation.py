@@ -18,7 +18,7 @@ from faultline.session import cut_lineage, written_table
 MIN_OVERLAP = 5
 ITERATIONS, ALPHA, SEED = 1000, 0.05, 42
 SLOT = 32  # row numbers that are looked up together
-BLOCK = 1024  # row numbers that one row of work stands for
+BLOCK = 64  # row numbers that one row of work stands for
 
 
 def latest_gold(gold: DataFrame, order: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _numbered_cells(pairs: DataFrame) -> DataFrame:
     any variety are numbered in parallel; only the buckets' totals meet in one task.
     """
     bucket = F.substring(F.md5(F.concat_ws("|", "true", "predicted")), 1, 2)
-    cell = cells(pairs).withColumn("bucket", bucket)
+    cell = cut_lineage(cells(pairs).withColumn("bucket", bucket))
     totals = cell.groupBy("bucket").agg(F.sum("n").alias("_n"))
     starts = totals.select("bucket", (F.sum("_n").over(Window.orderBy("bucket")) - F.col("_n")).alias("_start"))
     inside = Window.partitionBy("bucket").orderBy("true", "predicted")
@@ -130,7 +130,7 @@ def resampled_cells(pairs: DataFrame, iterations: int = ITERATIONS, seed: int =
     rows, so any engine and any task draws the same. Row numbers belong to cells, not to rows: a draw is looked up in
     the few cells of its slot of ``SLOT`` numbers, and draws are counted per replicate and cell before a shuffle.
     """
-    own = cut_lineage(_numbered_cells(pairs))
+    own = _numbered_cells(pairs)
     total = own.select(F.sum("n")).scalar()
     spark = pairs.sparkSession
     # Stretches of numbers, dealt evenly whatever the cells' sizes.
