@@ -9,8 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer,
-    VectorAssembler,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector
@@ -18,7 +17,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, written_table
 
 # Words the keyword count ignores.
 KEYWORD_STOPWORDS = [
@@ -54,44 +53,86 @@ def top_keywords(texts: DataFrame, n: int = 20) -> DataFrame:
     return keyword_counts(texts).orderBy(F.desc("count"), "term").limit(n)
 
 
+def _kept_words(stop_words: list[str]) -> str:
+    """A pattern for whole words of two letters and more that are none of ``stop_words``.
+
+    Letters are Unicode's word characters; ASCII ones are told without its tables.
+    """
+    letter = r"[a-zA-Z0-9_[[^\x00-\x7F]&&\w]]"
+    ignored = "|".join(sorted({w.lower() for w in stop_words if re.fullmatch(r"\w\w+", w)}))
+    return f"(?U)(?<!{letter})" + (f"(?!(?:{ignored})(?!{letter}))" if ignored else "") + f"{letter}{letter}+"
+
+
 def grams(texts: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """Add ``grams``: the words of two letters and more without ``stop_words`` (Spark's English list), and their
-    neighbouring pairs."""
-    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(
-        texts.withColumn("text", F.coalesce("text", F.lit("")))
-    )
+    """Add ``words``, those of two letters and more without ``stop_words`` (Spark's English list), and ``grams``, the
+    words and their neighbouring pairs."""
     ignored = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-    kept = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=ignored, locale="en_US").transform(words)
-    pairs = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(kept)
-    return pairs.withColumn("grams", F.concat("_kept", "_pairs")).drop("_words", "_kept", "_pairs")
+    kept = RegexTokenizer(inputCol="text", outputCol="words", pattern=_kept_words(ignored), gaps=False).transform(
+        texts.withColumn("text", F.coalesce("text", F.lit(""))))
+    return kept.withColumn("grams", _with_pairs())
+
+
+def _with_pairs() -> Column:
+    following = F.slice("words", F.lit(2), F.size("words"))
+    pairs = F.filter(F.zip_with("words", following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+    return F.concat("words", pairs)
+
+
+def _held(rows: DataFrame, items: Column) -> DataFrame:
+    """The fields of the structs in each row's array ``items``, and whether it is the ``first`` such item of the row.
+
+    Equal items of a row are neighbours once sorted, so this needs no shuffle.
+    """
+    ordered = rows.select(F.sort_array(items).alias("_items"))
+    before = F.concat(F.slice("_items", 1, 1), F.col("_items"))
+    held = ordered.select(F.posexplode(F.arrays_zip(F.col("_items").alias("item"), before.alias("before"))).alias("at", "held"))
+    held = held.filter(F.col("held.item").isNotNull())
+    return held.select("held.item.*", ((F.col("at") == 0) | (F.col("held.item") != F.col("held.before"))).alias("first"))
+
+
+def _counts(held: DataFrame, *keys: str) -> DataFrame:
+    return held.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if("first").alias("document_count"))
 
 
 def term_weights(counted: DataFrame, n_terms: int = TERMS) -> DataFrame:
-    """``term, count, document_count, weight`` of the ``n_terms`` most frequent terms of rows with ``grams``.
+    """``term, count, document_count, weight`` of the ``n_terms`` most frequent terms of rows from ``grams``.
 
     Equal counts are taken in alphabetical order, so the vocabulary does not depend on partitions. The weight is
     ln((1 + rows) / (1 + rows with the term)) + 1.
+
+    A pair occurs at most as often as each of its words, and its first word comes before it in the alphabet. So a
+    pair can be a term only if its first word is one of the ``n_terms`` first words, and its second word occurs as
+    often as the last of these at least. Only such pairs are counted.
     """
+    return _weights(written_table(counted.select("words")), n_terms)
+
+
+def _weights(counted: DataFrame, n_terms: int) -> DataFrame:
+    """``term_weights`` of written rows, which are read twice."""
     rows = counted.agg(F.count("*")).scalar()
-    # Numbered before the explode, which would otherwise come first.
-    held = counted.select(F.monotonically_increasing_id().alias("_row"), "grams").select("_row", F.explode("grams").alias("term"))
-    per_row = held.groupBy("term", "_row").agg(F.count("*").alias("n"))
-    terms = per_row.groupBy("term").agg(F.sum("n").alias("count"), F.count("*").alias("document_count"))
-    top = terms.orderBy(F.desc("count"), "term").limit(n_terms)
+    words = written_table(_counts(_held(counted, F.arrays_zip(F.col("words").alias("term"))), "term"))
+    leading = words.orderBy(F.desc("count"), "term").limit(n_terms).collect()  # n_terms rows
+    least = min(r["count"] for r in leading) if len(leading) == n_terms else 0
+    frequent = written_table(words.filter(F.col("count") >= least).select(F.col("term").alias("b")))
+    both = _held(counted, F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b")))
+    both = both.filter(F.col("b").isNotNull() & F.col("a").isin([r["term"] for r in leading])).join(frequent, "b", "left_semi")
+    pairs = _counts(both, "a", "b").select(F.concat("a", F.lit(" "), "b").alias("term"), "count", "document_count")
+    top = words.unionByName(pairs).orderBy(F.desc("count"), "term").limit(n_terms)
     return top.withColumn("weight", F.log((1 + rows) / (1 + F.col("document_count"))) + 1)
 
 
 def tfidf(texts: DataFrame, n_terms: int = TERMS, stop_words: list[str] | None = None):
     """Add ``features``: unit TF-IDF vectors over the ``n_terms`` most frequent words and word pairs.
     Returns the frame and the vocabulary, by falling count and then by term."""
-    counted = grams(texts, stop_words)
-    top = term_weights(counted, n_terms).orderBy(F.desc("count"), "term").collect()  # n_terms rows
+    # Words are cut out of the texts once; what follows reads them several times.
+    kept = written_table(grams(texts, stop_words).drop("grams"))
+    top = _weights(kept.select("words"), n_terms).orderBy(F.desc("count"), "term").collect()  # n_terms rows
     vocabulary = [r["term"] for r in top]
     if not vocabulary:
-        return counted.drop("grams").withColumn("features", array_to_vector(F.array().cast("array<double>"))), vocabulary
+        return kept.drop("words").withColumn("features", array_to_vector(F.array().cast("array<double>"))), vocabulary
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="_tf")
     weighted = ElementwiseProduct(scalingVec=Vectors.dense([r["weight"] for r in top]), inputCol="_tf", outputCol="_weighted").transform(
-        counter.transform(counted).drop("grams"))
+        counter.transform(kept.withColumn("grams", _with_pairs())).drop("words", "grams"))
     unit = Normalizer(inputCol="_weighted", outputCol="features").transform(weighted)
     return unit.drop("_tf", "_weighted"), vocabulary
 
