@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.arrays import let
 
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
-_TOKEN = r'"(?:[^"\\]|\\.)*+"|[,:]|\s++|[^",:\s]++'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def parse_strict(text: Column) -> Column:
@@ -24,6 +24,11 @@ def parse_strict(text: Column) -> Column:
     return F.get(complete, 0)["v"]
 
 
+def may_be_json(text: Column) -> Column:
+    """False only for texts that begin as no JSON value does; parsing those would end in a costly exception."""
+    return text.rlike(r'^[ \t\r\n]*+(?:[\[{"\-0-9]|true|false|null)')
+
+
 def child(value: Column, path: str) -> Column:
     """The member at ``path``; SQL null only where the key is absent."""
     return F.try_variant_get(value, path, "variant")
@@ -106,11 +111,5 @@ def first_truthy_text(*values: Column) -> Column:
 
 def spaced_json(text: Column) -> Column:
     """JSON text with one blank after every comma and colon and no other white space between tokens."""
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).when(t.rlike(r"^\s"), F.lit("")).otherwise(t),
-        ),
-        "",
-    )
+    bare = F.regexp_replace(text, rf'(?s)({_STRING}|[^"\s]++)|\s++', "$1")
+    return F.regexp_replace(bare, rf'(?s)((?:{_STRING}|[^",:]++)*+[,:])', "$1 ")

@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
 
 def not_blank(text: Column) -> Column:
     """True where the text holds something other than white space; null counts as blank."""
-    return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
+    return F.coalesce(F.length(F.ltrim(text, F.lit(WHITESPACE))) > 0, F.lit(False))
 
 
 def nullif_empty(text: Column) -> Column:

@@ -43,11 +43,17 @@ FAILURE_MARKS = ["error", "traceback", "not found", "failed"]
 
 def rendered_arguments(call: Column) -> Column:
     """The arguments as JSON, cut to 300 characters; text that is no JSON goes under ``raw``."""
-    raw = j.child(call, "$.function.arguments")
-    text = F.when(raw.isNull(), F.lit("{}")).otherwise(j.text_of(raw))
-    valid = F.when(j.is_string(raw), j.parse_strict(text).isNotNull()).otherwise(True)
-    wrapped = F.to_json(F.struct(text.alias("raw")))
-    return j.spaced_json(F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(wrapped))
+
+    def rendered(given: Column) -> Column:
+        text = given["text"]
+        valid = ~given["quoted"] | (j.may_be_json(text) & j.parse_strict(text).isNotNull())
+        return F.when(valid, F.coalesce(text, F.lit("null"))).otherwise(F.to_json(F.struct(text.alias("raw"))))
+
+    def read(raw: Column) -> Column:
+        text = F.when(raw.isNull(), F.lit("{}")).otherwise(j.text_of(raw))
+        return let(F.struct(text.alias("text"), j.is_string(raw).alias("quoted")), rendered)
+
+    return j.spaced_json(let(j.child(call, "$.function.arguments"), read))
 
 
 def inferred_exit(answer: Column) -> Column:

@@ -41,12 +41,14 @@ def numbered(steps: Column) -> Column:
 
 def shown(value: Column) -> Column:
     """Text of a present value the way the logs' own tools print it: ``None``, ``True``, ``False``."""
-    text = j.text_of(value)
-    capital = F.when(text == "true", "True").when(text == "false", "False")
-    return F.coalesce(
-        F.when(text.isin("true", "false"), F.when(j.kind(value) == "BOOLEAN", capital)), text,
-        F.when(value.isNotNull(), "None"),
-    )
+    capital = {"true": "True", "false": "False"}
+
+    def printed(text: Column) -> Column:
+        named = F.when(text == "true", capital["true"]).when(text == "false", capital["false"])
+        return F.coalesce(
+            F.when(text.isin(*capital), F.when(j.kind(value) == "BOOLEAN", named)), text, F.when(value.isNotNull(), "None"))
+
+    return let(j.text_of(value), printed)
 
 
 def shown_at(record: Column, path: str, default: str) -> Column:

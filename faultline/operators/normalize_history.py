@@ -99,7 +99,7 @@ def event_text(m: Column, replaced: dict[str, Column] | None = None) -> Column:
     candidates = []
     for key in CONTENT_KEYS:
         if key in replaced:
-            candidates.append(_nonblank(replaced[key]))
+            candidates.append(let(replaced[key], _nonblank))
             continue
         inner = [_nonblank(j.string_at(m[key]["value"], f"$.{sub}")) for sub in CONTENT_SUBKEYS]
         candidates.append(
@@ -146,9 +146,15 @@ def plain_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
 def sdk_event(m: Column, extra_types: dict[str, str] | None = None) -> Column:
     """The same for events whose action is an object with a ``kind`` and whose texts are block lists."""
     structured = F.coalesce(m["action"]["kind"].startswith("OBJECT"), F.lit(False))
-    kind = F.coalesce(j.text_of(m["action"]["value"], "$.kind"), F.lit(""))
-    kind = F.lower(F.when(kind.endswith("Action"), F.replace(kind, F.lit("Action"), F.lit(""))).otherwise(kind))
 
+    def named(kind: Column) -> Column:
+        return F.lower(F.when(kind.endswith("Action"), F.replace(kind, F.lit("Action"), F.lit(""))).otherwise(kind))
+
+    kind = F.when(structured, let(F.coalesce(j.text_of(m["action"]["value"], "$.kind"), F.lit("")), named))
+    return let(kind, lambda kind: _sdk_event(m, structured, kind, extra_types))
+
+
+def _sdk_event(m: Column, structured: Column, kind: Column, extra_types: dict[str, str] | None) -> Column:
     def flattened(key: str) -> Column:
         own, inner = m[key]["value"], j.child(m["action"]["value"], f"$.{key}")
         return F.when(structured, block_text(F.coalesce(own, inner))).otherwise(_string(m[key]))
