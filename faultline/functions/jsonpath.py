@@ -112,4 +112,4 @@ def first_truthy_text(*values: Column) -> Column:
 def spaced_json(text: Column) -> Column:
     """JSON text with one blank after every comma and colon and no other white space between tokens."""
     bare = F.regexp_replace(text, rf'(?s)({_STRING}|[^"\s]++)|\s++', "$1")
-    return F.regexp_replace(bare, rf'(?s)((?:{_STRING}|[^",:]++)*+[,:])', "$1 ")
+    return F.regexp_replace(bare, rf'(?s)\G((?:{_STRING}|[^",:]++)*+[,:])', "$1 ")

@@ -19,7 +19,7 @@ from faultline.functions.barrier import computed_once
 from faultline.functions.sequence import with_ordinal
 from faultline.operators.normalize_common import step
 from faultline.operators.normalize_history import members
-from faultline.session import cut_lineage, written_table
+from faultline.session import cut_lineage
 
 CHUNK_WIDTH = 4096
 END = 1 << 62
@@ -41,8 +41,8 @@ def pair_event_table(events: DataFrame, chunk_width: int = CHUNK_WIDTH) -> DataF
     what ``plain_event`` or ``sdk_event`` say of an event: ``letter, as_action, alone, text, seen, raw``. A chunk spans
     ``chunk_width`` positions.
     """
-    # Written once: the events are read three times, and taking them apart costs more than reading them again.
-    placed = written_table(events.withColumn("chunk", F.floor(F.col("pos") / chunk_width)).withColumn("_order", F.col("pos")))
+    # Written once, in the order they came: the events are read three times, and taking them apart costs more.
+    placed = cut_lineage(events.withColumn("chunk", F.floor(F.col("pos") / chunk_width)).withColumn("_order", F.col("pos")))
     linked = placed.filter("letter != 'N'")
     inside = Window.partitionBy("run_id", "chunk").orderBy("pos")
     here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -168,6 +168,29 @@ def test_chat_calls_join_their_last_answer(spark):
     ]
 
 
+def test_spaced_json_leaves_texts_alone(spark):
+    values = [{"raw": "no json, really"}, {"a": [1, "x: y, \\"], "b": {}}, ["\"q\", ", "\n,"], "a,b", 5, {}, [], [[], {"c": None}]]
+    texts = [json.dumps(v, separators=s) for v in values for s in ((",", ":"), (" ,\n", "\t: "))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").select("i", j.spaced_json(F.col("t")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: json.dumps(values[i // 2]) for i in range(len(texts))}
+
+
+def test_event_table_reads_events_once(spark):
+    """What describes an event runs once an event, however often the pairing looks at it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [("r", i, json.dumps({"source": "agent", "action": "run", "command": f"c{i}"})) for i in range(20)]
+    events = spark.createDataFrame(rows, "run_id STRING, pos LONG, t STRING").select(
+        "run_id", "pos", j.parse_strict(counted("t")).alias("event"))
+    paired = event_pairing.pair_event_table(event_pairing.event_rows(events, plain_event), 4)
+    assert paired.count() == 20 and seen.value == 20
+
+
 @pytest.mark.parametrize("chunk_width", [3, 4096])
 def test_event_table_pairs_like_nested_histories(spark, chunk_width):
     """Random histories, one of them a third of all events, with runs of both-kind events over many chunks."""

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -201,6 +202,28 @@ def test_vocabulary_ties_are_broken_by_term(spark):
         assert vocabulary == [t for t, *_ in top]
 
 
+def test_pairs_are_counted_only_among_frequent_words(spark, monkeypatch):
+    dice = random.Random(8)
+    texts = [" ".join(dice.choice(["aa", "bb", "cc", "dd", f"w{dice.randrange(3000)}"]) for _ in range(40)) for _ in range(60)] + ["", None]
+    held = {}
+
+    def counted(rows, *keys, old=mining._counts):
+        held[keys] = old(rows, *keys)
+        return held[keys]
+
+    monkeypatch.setattr(mining, "_counts", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    top = mining.term_weights(mining.grams(rows, []), 4).orderBy(F.desc("count"), "term").collect()
+    plain, documents = Counter(), Counter()
+    for words in ((t or "").split() for t in texts):
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        plain.update(terms)
+        documents.update(set(terms))
+    best = sorted(plain, key=lambda t: (-plain[t], t))[:4]
+    assert [(r.term, r["count"], r.document_count) for r in top] == [(t, plain[t], documents[t]) for t in best]
+    assert held[("a", "b")].count() <= 16
+
+
 def test_clusters_keep_the_best_start(spark):
     dice = random.Random(8)
     words = ["apple", "pie", "sugar", "engine", "wheel", "brake", "moon", "star", "comet", "salt"]
