@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-from faultline.llm.common import byte_slices, gathered, strings, written
-from faultline.llm.token_counts import RUNS, STABLE
+from faultline.llm.common import RUNS, STABLE, byte_slices, gathered, strings, written
 from faultline.llm.token_files import kind_of
 
 TABLE_ENTRIES, LONGEST_KEPT = 500_000, 48
@@ -105,8 +104,11 @@ class Encoder:
                 del self.kept[part]
         return found
 
-    def _words(self, texts: pa.Array) -> list[bytes]:
-        """Texts whose white space is single or double blanks and line feeds."""
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts whose white space is single or double blanks and line feeds, as words.
+
+        Ids of the distinct words, one after the other, and their numbers; the word at each position; where texts end.
+        """
         marked = pc.binary_join_element_wise("\r", pc.replace_substring(texts, "\n", " \n"), "")
         cut = pc.split_pattern(marked, " ")
         words = cut.flatten().dictionary_encode()
@@ -134,9 +136,12 @@ class Encoder:
         flat, lengths = np.frombuffer(b"".join(ids_of), self.kind), np.array([len(x) // size for x in ids_of], np.int64)
         at = coded.indices.to_numpy().reshape(4, -1).T.ravel()
         flat, lengths = gathered(flat, lengths, at), lengths[at].reshape(-1, 4).sum(axis=1)
-        at = words.indices.to_numpy()
+        return flat, lengths, words.indices.to_numpy(), cut.offsets.to_numpy()
+
+    def _words(self, texts: pa.Array) -> list[bytes]:
+        flat, lengths, at, ends = self._coded(texts)
         data = gathered(flat, lengths, at).tobytes()
-        stops = np.concatenate([[0], np.cumsum(lengths[at])])[cut.offsets.to_numpy()] * size
+        stops = np.concatenate([[0], np.cumsum(lengths[at])])[ends] * np.dtype(self.kind).itemsize
         return [data[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist())]
 
     def _is_plain(self, text: str) -> bool:
@@ -159,6 +164,14 @@ class Encoder:
         words = iter(self._words(pa.array([t for t, p in zip(texts, plain) if p], pa.string())))
         return [next(words) if p else self._one(t) for t, p in zip(texts, plain)]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of ids of each whole text; the ids of plain texts are not put together."""
+        plain = [len(t) <= PIECE and self._is_plain(t) for t in texts]
+        _, lengths, at, ends = self._coded(pa.array([t for t, p in zip(texts, plain) if p], pa.string()))
+        words = iter(np.diff(np.concatenate([[0], np.cumsum(lengths[at])])[ends]).tolist())
+        size = np.dtype(self.kind).itemsize
+        return [next(words) if p else len(self._one(t)) // size for t, p in zip(texts, plain)]
+
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:

@@ -4,8 +4,8 @@ A position between a character that is not white space and one that is white spa
 the byte-level pattern whatever stands around it; so does one between an ASCII letter and an ASCII digit.
 Encoding is the same on either side of such a stable position, wherever the text was cut before it.
 
-* Texts up to ``core`` characters are counted in one task. They are cut at stable positions too, so each
-  distinct word goes to the library once per bounded table.
+* Texts up to ``core`` characters are counted in one task. They are cut into words (``packing.Encoder``), so each
+  distinct part of a word goes to the library once per bounded table.
 * Longer texts become chunk rows, ``core`` characters each with ``overlap`` more on both sides, dealt over
   the cluster and encoded with offsets. Neighbouring chunks are spliced at the first stable position of
   their common zone where both have a token boundary.
@@ -21,28 +21,36 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultline.llm.common import slices, strings, written
+from faultline.llm.common import RUNS, STABLE, WHITE, byte_slices, slices, strings, written
+from faultline.llm.packing import Encoder, encoder
 
-#: The characters of the Unicode property White_Space, as a character class.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WHITE_THEN_SPACE = re.compile(f"[{WHITE}] ")
-STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 TABLE_ENTRIES = 200_000
 LONGEST_KEPT = 48
+SLICE = 1 << 22  # texts are counted in slices of about so many bytes
 
 _COUNTERS: dict[str, Counter] = {}
 
 
 class Counter:
-    """Counts of tokens, with a bounded table of distinct pieces."""
+    """Counts of tokens, with a bounded table of distinct pieces.
+
+    Where the tokenizer parts words at blanks, Arrow kernels number the distinct words and counts are summed by
+    position. Other tokenizers look each word up in the table.
+    """
 
     def __init__(self, path: str):
+        self.words: Encoder | None
+        try:
+            self.words = encoder(path)
+        except ValueError:
+            self.words = None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -52,6 +60,8 @@ class Counter:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
+        if self.words:
+            return self.words.counts(texts)
         heads, tails = [], []
         for text in texts:
             if WHITE_THEN_SPACE.search(text):
@@ -104,9 +114,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = counter(path), TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
+        for batch in byte_slices(batches, "text", SLICE):
             texts, keys = strings(batch, "text"), batch.column("key")
-            sizes = [len(t.encode()) for t in texts]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             short = [i for i, t in enumerate(texts) if len(t) <= core]
             counts = dict(zip(short, own.count([texts[i] for i in short])))
             rows, at = [], []

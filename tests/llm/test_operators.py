@@ -69,6 +69,30 @@ def test_token_counts_equal_the_library(odd, odd_docs, core, overlap):
     assert ordered(token_counts.count_tokens(odd_docs, path, core=core, overlap=overlap).collect()) == ordered(wanted)
 
 
+def test_token_counts_look_up_each_part_of_a_word_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, model = token_counts.Counter(path), Tokenizer.from_file(path)
+    words = ["alpha", "beta", "gamma", "Delta", "é"] * 4
+    texts = [" ".join(a + w + b for w in words) + "\nend" for a in ("", "(", '"', "[") for b in ("", ".", ",", ").", "!?")] + ["", "a\tb  \n c", "<|endoftext|>"]
+    texts.append(" ".join(f"w{i}" for i in range(500)) + " " * 5)
+    assert own.count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+    own = token_counts.Counter(path)
+    own.words = type(own.words)(path)  # a table of its own
+    own.count(texts[:20])
+    assert 0 < len(own.words.kept) < 30  # 100 distinct words of letters and signs
+
+
+def test_token_counts_of_a_tokenizer_that_does_not_part_words(monkeypatch):
+    def refused(path):
+        raise ValueError
+
+    monkeypatch.setattr(token_counts, "encoder", refused)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, model = token_counts.Counter(path), Tokenizer.from_file(path)
+    texts = ["alpha beta, gamma.", "a  b\n c", "", "é " * 30]
+    assert own.words is None and own.count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_files_round_trip(odd, odd_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
