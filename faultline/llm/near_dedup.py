@@ -41,6 +41,8 @@ AGREE = 36
 WIDTH = TREES * LEVELS
 #: Shingles of a block of members that the exact join compares in one task with another.
 BLOCK_SHINGLES = 1 << 19
+#: Links that one task connects at a time.
+LINKS = 1 << 19
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,11 +142,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     One byte of each signature value travels: equal values stay equal, unequal ones meet once in 256.
     """
     short = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
-    classes = classes.select("rep", F.col("n_shingles").alias("n"), short.alias("s"))
-    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    classes = written(classes.join(involved, "rep", "left_semi"))
-    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), short.alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), short.alias("sb"))
     sized = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     return pairs.join(left, "a").join(right, "b").filter(sized).filter(same >= AGREE).select("a", "b")
@@ -174,9 +173,9 @@ def _sets(docs: DataFrame, reps: DataFrame, size: int, key: str, text: str) -> D
     return written(texts.mapInArrow(run, "rep long, shingles array<long>"))
 
 
-def _unsettled(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _unsettled(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of the roots with few members outside the main component; (path, rep, component) of those with many."""
-    members = written(_members(known, range(TREES)).select("path", "rep", "component"))
+    members = written(members)
     sizes = members.groupBy("path", "component").count()
     main = F.max_by("component", F.struct("count", "component"))
     roots = sizes.groupBy("path").agg(F.sum("count").alias("n"), F.max("count").alias("most"), main.alias("main"))
@@ -187,13 +186,15 @@ def _unsettled(known: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _rarity(classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, values, common): signature values as numbers, the rarest among ``reps`` first, and the sum of their counts."""
+    """(rep, values, common): the signature values that several of ``reps`` have, as numbers with their counts, the
+    rarest first, and the sum of the counts of all values. Values of one alone come before them and have no number.
+    """
     position = F.posexplode("signature").alias("at", "value")
     values = classes.join(reps, "rep", "left_semi").select("rep", position).select("rep", F.xxhash64("at", "value").alias("value"))
     values = written(values)
-    counted = values.join(values.groupBy("value").agg(F.count("*").alias("n")), "value")
+    counted = values.join(values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1"), "value")
     grouped = counted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.sum("n").alias("common"))
-    return written(grouped)
+    return written(grouped.withColumn("common", F.col("common") + WIDTH - F.size("values")))
 
 
 def _with_originals(many: DataFrame, rarity: DataFrame) -> DataFrame:
@@ -205,23 +206,42 @@ def _with_originals(many: DataFrame, rarity: DataFrame) -> DataFrame:
     return joined.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
-def _exact(members: DataFrame, rarity: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _exact(members: DataFrame, rarity: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, key: str,
+           text: str) -> DataFrame:
     """(a, b): links that connect whatever pairs of ``members`` (rep, component) at the threshold connect.
 
     Members of one prefix value are cut into blocks of about ``BLOCK_SHINGLES``; each two blocks meet in one task.
+    They meet with their signatures first, and full sets travel only for members that agree with another one there.
     A task gives no link between members that its former links connect, so its rows are fewer than its members.
     """
-    prefix = F.explode(F.slice("values", 1, WIDTH - AGREE + 1)).alias("value")
-    shared = rarity.select("rep", prefix).filter("value.n > 1").select("rep", F.col("value.value").alias("value"))
-    sized = sets.select("rep", F.size("shingles").cast("long").alias("n"))
-    shared = written(shared.join(members, "rep").join(sized, "rep"))
+    first = F.greatest(F.size("values") - AGREE + 1, F.lit(0))  # what the values of one alone leave of the prefix
+    shared = rarity.select("rep", F.explode(F.slice("values", F.lit(1), first)).alias("value"))
+    short = F.transform("signature", lambda x: x.bitwiseAND(F.lit(255)).cast("short"))
+    sized = classes.join(members, "rep").select("rep", "component", F.col("n_shingles").alias("n"), short.alias("short"))
+    shared = written(shared.select("rep", F.col("value.value").alias("value")).join(sized, "rep"))
     groups = shared.groupBy("value").agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     groups = groups.filter("low <> high").select("value", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = shared.join(groups, "value").withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("value", "rep", "component", "own", other).select(
-        "value", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "component")
-    placed = written(placed)
+    placed = placed.select("value", "rep", "component", "n", "short", "own", other).select(
+        "value", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "component", "n", "short")
+
+    def agreeing(group: pa.Table) -> pa.Table:
+        own, first, second, root, n = (group.column(c).to_numpy() for c in ("own", "first", "second", "component", "n"))
+        short = group.column("short").combine_chunks().flatten().to_numpy().astype(np.uint8).reshape(-1, WIDTH)
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        met, sizes, roots = short[right], n[right], root[right]
+        kept = np.zeros(len(own), bool)
+        for i in left:
+            sized = np.minimum(sizes, n[i]) * 100 >= percent * np.maximum(sizes, n[i])
+            near = right[sized & (roots != root[i]) & ((met == short[i]).sum(axis=1) >= AGREE)]
+            kept[near] = True
+            kept[i] |= len(near) > 0
+        return group.select(["value", "first", "second", "own", "rep", "component"]).filter(pa.array(kept))
+
+    placed = written(placed.groupBy("value", "first", "second").applyInArrow(
+        agreeing, "value long, first int, second int, own int, rep long, component long"))
+    sets = _sets(docs, placed.select("rep"), size, key, text)
 
     def compare(group: pa.Table) -> pa.Table:
         own, first, second = (group.column(c).to_numpy() for c in ("own", "first", "second"))
@@ -253,10 +273,28 @@ def _exact(members: DataFrame, rarity: DataFrame, sets: DataFrame, percent: int)
     return joined.groupBy("value", "first", "second").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every linked id but the smallest of its component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    low = np.arange(len(ids))
+    while len(x):
+        least, most = np.minimum(low[x], low[y]), np.maximum(low[x], low[y])
+        np.minimum.at(low, most, least)  # roots hang on smaller roots
+        while (low[low] != low).any():
+            low = low[low]
+        open_ = low[x] != low[y]
+        x, y = x[open_], y[open_]
+    hung = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[hung], ids[low[hung]]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, component) of every linked class: the smallest rep reachable.
 
-    Large and small stars by turns: each step hangs neighbours on the smallest one, until nothing moves.
+    Each task first replaces its links, at most ``LINKS`` at a time, by stars around the smallest rep they connect.
+    Where there were more links, large and small stars by turns: each step hangs neighbours on the smallest one,
+    until every rep hangs on one that hangs on none.
     """
     def both(edges: DataFrame) -> DataFrame:
         return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -264,23 +302,37 @@ def components(links: DataFrame) -> DataFrame:
     def smallest(edges: DataFrame) -> DataFrame:
         return edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
 
-    def state(edges: DataFrame) -> tuple:
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        return tuple(row)
-
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while True:
-        around = both(edges)
+    def settled(edges: DataFrame) -> bool:
+        roles = edges.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            edges.select(F.col("b").alias("v"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        return roles.groupBy("v").agg((F.sum("below") + F.max("above")).alias("n")).filter("n > 1").isEmpty()
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            a, b = _forest(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(2)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            if held and n + batch.num_rows > LINKS:
+                yield flush()
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield flush()
+
+    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    n = edges.count()
+    edges = written(edges.coalesce(max(1, -(-n // LINKS))).mapInArrow(stars, "a long, b long"))
+    while n > LINKS and not settled(edges):
+        around = both(edges.distinct())
         large = around.join(smallest(around), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.filter("a <> b").distinct())
         lower = smallest(large)
         hung = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(hung.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        after = state(edges)
-        if after == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("rep"), "component")
-        before = after
+    return edges.select(F.col("a").alias("rep"), F.col("b").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,38 +345,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     """
     found = written(profiles(docs, size, key, text))
     named = found.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    reps = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = written(reps)
-    classes = named.join(reps, "set_id").filter("doc_id = rep").select("rep", "n_shingles", "signature", "set_id").dropDuplicates(["set_id"])
-    classes = written(classes.select("rep", "n_shingles", "signature"))
+    reps = written(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
+    # By both columns the rows of a class already lie together after the join.
+    classes = named.join(reps, "set_id").filter("doc_id = rep").dropDuplicates(["set_id", "doc_id"])
+    classes = written(classes.select(F.col("doc_id").alias("rep"), "n_shingles", "signature"))
     # Texts under a repeated id belong together: their classes' representatives are linked as they stand.
     repeated = named.join(reps, "set_id").filter("doc_id <> rep").select("doc_id", "rep").distinct()
     several = named.select("doc_id", "set_id").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    links = written(repeated.join(several, "doc_id", "left_semi").select(
-        F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b")))
+    links = repeated.join(several, "doc_id", "left_semi").select(
+        F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b"))
     labels = components(links)
 
-    def known() -> DataFrame:
-        return classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def current(reps: DataFrame) -> DataFrame:
+        return reps.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return confirmed(_agreeing(written(pairs), classes, percent), docs, size, percent, key, text)
 
     def merged(links: DataFrame) -> DataFrame:
-        return written(components(links.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")))))
+        return components(links.unionByName(labels.select(F.col("rep").alias("a"), F.col("component").alias("b"))))
 
     for trees, levels in ROUNDS:
-        labels = merged(linked(candidates(known(), trees, levels)))
-    few, many = _unsettled(known())
-    if not many.isEmpty():
+        labels = merged(linked(candidates(current(classes), trees, levels)))
+    few, many = _unsettled(_members(current(classes), range(TREES)).select("path", "rep", "component"))
+    if many.isEmpty():
+        links = linked(few.distinct())
+    else:
         rarity = _rarity(classes, many.select("rep"))
         labels = merged(linked(few.unionByName(_with_originals(many, rarity)).distinct()))
-        few, many = _unsettled(known())
-    links = linked(few.distinct())
-    if not many.isEmpty():
-        members = written(many.select("rep", "component").distinct())
-        sets = _sets(docs, members.select("rep"), size, key, text)
-        links = links.unionByName(_exact(members, _rarity(classes, members.select("rep")), sets, percent))
+        # Components only grow, so no other root has become a large open one.
+        few, many = _unsettled(current(many.select("path", "rep")))
+        links = linked(few.distinct())
+        if not many.isEmpty():
+            members = written(many.select("rep", "component").distinct())
+            links = links.unionByName(_exact(members, rarity, classes, docs, size, percent, key, text))
     labels = merged(links)
     named_ids = found.join(reps, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(labels, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))

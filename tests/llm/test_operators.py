@@ -211,6 +211,22 @@ def test_exact_join_links_what_no_single_member_holds_together(spark, monkeypatc
     assert ordered(found.collect()) == ordered(wanted)
 
 
+@pytest.mark.parametrize("links", [7, 1 << 19])
+def test_components_of_any_number_of_links(spark, monkeypatch, links):
+    monkeypatch.setattr(near_dedup, "LINKS", links)
+    dice = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(300, i) for i in range(301, 330)] + [(7, 7), (5, 4), (4, 5)]
+    pairs += [tuple(dice.sample(range(1000, 1200), 2)) for _ in range(90)]
+    dice.shuffle(pairs)
+    least = {i: i for p in pairs for i in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    found = near_dedup.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+    assert ordered(found) == ordered((i, c) for i, c in least.items() if i != c)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f"), (1, "z y"), (2, "z y"), (None, "z y"), (3, None), (0, "a b c d e f"), (4, "q"), (4, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
