@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()
     return [(r["text"] or "", int(r["_label"])) for r in found]
+
+
+def forgotten(*tables: dict) -> None:
+    """Empty the tables of words that a fit has filled, and give the memory of its rows back to the system.
+
+    The driver lives on after a fit, and only tasks read such tables later, each from its own process. The texts
+    lie between objects that stay, so the C library would keep their pages; one without ``malloc_trim`` does.
+    """
+    for table in tables:
+        table.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

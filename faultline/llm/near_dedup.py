@@ -24,6 +24,7 @@ with probability 4e-9; a pair that a root holds is proposed unless its signature
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,12 @@ def _members(classes: DataFrame, trees: range) -> DataFrame:
 
 
 def candidates(classes: DataFrame, trees: range, levels: int) -> DataFrame:
-    """(a, b), a < b: pairs of different components that some tree proposes, each once."""
-    members, found = _members(classes, trees), []
+    """(a, b), a < b: pairs of different components that some tree proposes, each once.
+
+    Paths tell the levels apart, so the nodes of all levels are compared in one join for each kind of node: the
+    plan, which the driver holds and makes anew after each of its stages, does not grow with the levels.
+    """
+    members, smalls, fews, drawn = _members(classes, trees), [], [], []
     for level in range(levels):
         # The drawn member is the one whose id, its bits turned by the node's hash, comes first.
         turned = F.col("rep").bitwiseXOR(F.col("path"))
@@ -109,24 +114,21 @@ def candidates(classes: DataFrame, trees: range, levels: int) -> DataFrame:
             F.count("*").alias("n"), F.min(turned).alias("first"), F.min_by("component", turned).alias("main")).filter("n > 1")
         members = members.join(nodes, "path").withColumn("leader", F.col("first").bitwiseXOR(F.col("path")))
         members = written(members.select("rep", "component", "path", "tokens", "n", "leader", "main"))
-        small = members.filter(F.col("n") <= SMALL).select("path", "component", "rep")
-        found.append(_proposed(small, small))
+        smalls.append(members.filter(F.col("n") <= SMALL).select("path", "component", "rep"))
         # In a large node, what the drawn member's component does not hold yet is the rest; without rest it is done.
         large = members.filter(F.col("n") > SMALL)
         rests = large.filter("component <> main").groupBy("path").agg(F.count("*").alias("rest"))
         large = written(large.join(rests, "path"))
-        few = large.filter(F.col("rest") <= SMALL)
-        found.append(_proposed(few.filter("component <> main"), few))
+        fews.append(large.filter(F.col("rest") <= SMALL).select("path", "component", "rep", "main"))
         many = large.filter(F.col("rest") > SMALL)
-        found.append(many.filter("component <> main").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
+        drawn.append(many.filter("component <> main").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
         if level + 1 < levels:
             if many.isEmpty():
                 break
             members = many.select("rep", "component", F.xxhash64("path", F.get("tokens", F.lit(level))).alias("path"), "tokens")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    small, few = reduce(DataFrame.unionByName, smalls), reduce(DataFrame.unionByName, fews)
+    found = [_proposed(small, small), _proposed(few.filter("component <> main"), few), *drawn]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _proposed(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from faultline.llm.labelled import training_sample
+from faultline.llm.labelled import forgotten, training_sample
 from faultline.llm.toxicity import filtered, scored
 
 MOST_ROWS = 12_000
@@ -150,7 +150,9 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Mod
 
 def model_of(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Fitted on at most ``most_rows`` labelled rows; held-out rows (crc32 modulo 3 is 1) take no part."""
-    return fit(training_sample(docs, labels, "quality", most_rows))
+    model = fit(training_sample(docs, labels, "quality", most_rows))
+    forgotten(_BUCKET)
+    return model
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.common import slices, strings
-from faultline.llm.labelled import training_sample
+from faultline.llm.labelled import forgotten, training_sample
 from faultline.llm.lexicon import WORD, Automaton, learn, times
 
 MOST_ROWS = 8_000
@@ -158,7 +158,9 @@ def filtered(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text: str
 
 def model_of(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Fitted on at most ``most_rows`` labelled rows; held-out rows (crc32 modulo 3 is 1) take no part."""
-    return fit(training_sample(docs, labels, "toxic", most_rows))
+    model = fit(training_sample(docs, labels, "toxic", most_rows))
+    forgotten(_AUTOMATA)
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

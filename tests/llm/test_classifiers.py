@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from faultline.llm import lexicon, quality, toxicity
+from faultline.llm import labelled, lexicon, quality, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,17 @@ def test_quality_equals_all_pairs_of_the_machine(spark, texts):
     assert quality.quality(docs.limit(0), model).count() == 0
 
 
+def test_fits_leave_no_tables_in_the_driver(spark):
+    held = [(i, f"word{i} you are a wretch{i % 2} today", i % 2, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in held], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in held], "doc_id long, toxic int, quality int")
+    for module, table, label in ((toxicity, toxicity._AUTOMATA, "toxic"), (quality, quality._BUCKET, "quality")):
+        model = module.model_of(docs, labels)
+        assert not table
+        plain = module.fit(labelled.training_sample(docs, labels, label, 100))
+        assert table and module.probabilities([held[0][1], ""], model) == module.probabilities([held[0][1], ""], plain)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -211,6 +211,23 @@ def test_exact_join_links_what_no_single_member_holds_together(spark, monkeypatc
     assert ordered(found.collect()) == ordered(wanted)
 
 
+def test_trees_compare_the_nodes_of_all_levels_in_two_joins(spark):
+    """The driver holds the plan of the proposed pairs; it had two joins for each level."""
+    rows = [(i, i, [7] * near_dedup.WIDTH) for i in range(40)]  # alike on every level, so that each node branches on
+    rows += [(i, i, [7] * (near_dedup.WIDTH - 1) + [i]) for i in range(40, 50)]
+    rows += [(50, 50, [8] * near_dedup.WIDTH), (51, 51, [8] * near_dedup.WIDTH)]
+    classes = spark.createDataFrame(rows, "rep long, component long, signature array<int>")
+    for levels in (1, 3):
+        pairs = near_dedup.candidates(classes, range(2), levels)
+        assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+        found = [tuple(r) for r in pairs.collect()]
+        assert len(found) == len(set(found)) and all(a < b for a, b in found) and (50, 51) in found
+        reached = {0}
+        for _ in range(50):
+            reached |= {x for p in found if reached & set(p) for x in p}
+        assert reached == set(range(50))
+
+
 @pytest.mark.parametrize("links", [7, 1 << 19])
 def test_components_of_any_number_of_links(spark, monkeypatch, links):
     monkeypatch.setattr(near_dedup, "LINKS", links)
