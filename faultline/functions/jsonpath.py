@@ -9,6 +9,9 @@ from faultline.functions.arrays import let
 
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
+# Texts that a string and a value counting as false share, none longer than the bytes below.
+_UNCLEAR = r"^(?:false|\[\]|\{\}|-?0(?:\.0*)?(?:E[+-]?\d+)?)$"
+_UNCLEAR_BYTES = 64
 
 
 def parse_strict(text: Column) -> Column:
@@ -88,7 +91,22 @@ def integer_of(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """The value counts as true: not absent, null, false, zero, or empty."""
-    return let(value, _truthy)
+    return let(value, lambda x: let(text_of(x), lambda text: _text_truthy(x, text)))
+
+
+def unclear(text: Column) -> Column:
+    """The text alone does not tell whether its value counts as true; null and the empty text do (as false)."""
+    return (F.octet_length(text) <= _UNCLEAR_BYTES) & text.rlike(_UNCLEAR)
+
+
+def _text_truthy(value: Column, text: Column) -> Column:
+    """``_truthy`` by the value's text (a bound variable), which spares most values their type."""
+    return F.when(text.isNull(), F.lit(False)).when(unclear(text), _truthy(value)).otherwise(F.length(text) > 0)
+
+
+def truthy_at(record: Column, path: str) -> Column:
+    """``truthy`` of the member at ``path``, which is taken out as a value only where its text does not tell."""
+    return let(text_of(record, path), lambda text: _text_truthy(child(record, path), text))
 
 
 def _truthy(value: Column) -> Column:
@@ -106,7 +124,9 @@ def _truthy(value: Column) -> Column:
 
 def first_truthy_text(*values: Column) -> Column:
     """Text of the first value that counts as true, else null."""
-    return F.coalesce(*[let(v, lambda x: F.when(_truthy(x), text_of(x))) for v in values])
+    return F.coalesce(*[
+        let(v, lambda x: let(text_of(x), lambda text: F.when(_text_truthy(x, text), text))) for v in values
+    ])
 
 
 def spaced_json(text: Column) -> Column:

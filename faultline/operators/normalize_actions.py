@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
-from faultline.functions.text import contains_any, lookup, nullif_empty, strip
+from faultline.functions.arrays import let
+from faultline.functions.text import WHITESPACE, contains_any, lookup, not_blank, nullif_empty, strip
 from faultline.operators.normalize_common import (
     NO_STATEMENT, metadata, numbered, observation, shown_at, step, task, to_runs,
 )
@@ -39,18 +40,38 @@ UNRESOLVED_STATES = ["error", "cost", "context"]
 
 
 def action_type(action: Column) -> Column:
-    first_word = F.lower(F.regexp_extract(strip(action), r"(?U)^[^\s\x1c-\x1f]+", 0))
+    first_word = F.lower(F.regexp_extract(F.ltrim(action, F.lit(WHITESPACE)), r"(?U)^[^\s\x1c-\x1f]+", 0))
     return lookup(ACTION_WORDS, first_word, "unknown")
 
 
 def inferred_exit(seen: Column) -> Column:
     """0 on the success mark or a blank text, 1 on a failure mark, else unknown."""
-    return F.when(seen.contains(SUCCESS_MARK) | (F.length(strip(seen)) == 0), 0).when(contains_any(seen, FAILURE_MARKS), 1)
+    return F.when(seen.contains(SUCCESS_MARK) | ~not_blank(seen), 0).when(contains_any(seen, FAILURE_MARKS), 1)
+
+
+_EVENT = "struct<action:string,observation:string>"
+
+
+def _events(record: Column) -> Column:
+    """The action and the observation of every entry as texts, null or empty where they count as false."""
+    path = "$.trajectory"
+
+    def checked(texts: Column) -> Column:
+        by_type = F.transform(
+            F.try_variant_get(record, path, "array<variant>"),
+            lambda event: F.struct(
+                j.first_truthy_text(j.child(event, "$.action")).alias("action"),
+                j.first_truthy_text(j.child(event, "$.observation")).alias("observation"),
+            ).cast(_EVENT),
+        )
+        some_unclear = F.exists(texts, lambda e: F.coalesce(j.unclear(e["action"]) | j.unclear(e["observation"]), F.lit(False)))
+        return F.when(some_unclear, by_type).otherwise(texts)
+
+    return F.coalesce(let(F.try_variant_get(record, path, f"array<{_EVENT}>"), checked), F.array().cast(f"array<{_EVENT}>"))
 
 
 def _step(event: Column) -> Column:
-    action = F.coalesce(j.first_truthy_text(j.child(event, "$.action")), F.lit(""))
-    seen = F.coalesce(j.first_truthy_text(j.child(event, "$.observation")), F.lit(""))
+    action, seen = F.coalesce(event["action"], F.lit("")), event["observation"]
     shown = F.when(
         F.length(seen) > 0, observation(seen, inferred_exit(seen))
     )
@@ -79,7 +100,7 @@ def normalize_action_lists(records: DataFrame) -> DataFrame:
             instance_id, "swe-bench", shown_at(holder, "$.repo", ""),
             nullif_empty(shown_at(holder, "$.base_commit", "")), statement,
         ),
-        steps=numbered(F.transform(j.array_at(r, "$.trajectory"), _step)),
+        steps=numbered(F.transform(_events(r), _step)),
         final_patch=nullif_empty(patch), resolved=resolved,
         metadata=metadata({
             "exit_status": state,

@@ -60,9 +60,16 @@ def inferred_exit(answer: Column) -> Column:
     return F.when(contains_any(F.lower(answer), FAILURE_MARKS), 1).otherwise(0)
 
 
-def _entries(message: Column, at: Column) -> Column:
-    """Calls, answers and plain texts of a message as sortable entries: ``id, is_call, pos, sub``."""
-    role, calls = j.string_at(message, "$.role"), j.array_at(message, "$.tool_calls")
+def _read(message: Column) -> Column:
+    """A message with its role and calls. Only a string has one of the texts a role is compared with."""
+    return F.struct(
+        message.alias("message"), j.text_of(message, "$.role").alias("role"), j.array_at(message, "$.tool_calls").alias("calls")
+    )
+
+
+def _entries(read: Column, at: Column) -> Column:
+    """Calls, answers and plain texts of a message (``_read``) as sortable entries: ``id, is_call, pos, sub``."""
+    message, role, calls = read["message"], read["role"], read["calls"]
     none = F.lit(None).cast("string")
 
     def entry(call_id, is_call, sub, name, content) -> Column:
@@ -85,7 +92,7 @@ def _entries(message: Column, at: Column) -> Column:
     return (
         F.when(role == "tool", answer)
         .when((role == "assistant") & (F.size(calls) > 0), called)
-        .when((role == "assistant") & j.truthy(j.child(message, "$.content")), said)
+        .when((role == "assistant") & j.truthy_at(message, "$.content"), said)
         .otherwise(empty)
     )
 
@@ -96,7 +103,7 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
     Sorting by id brings calls and answers together inside the row, so the join is n log n in the
     length of the chat and needs no shuffle.
     """
-    entries = F.flatten(F.transform(messages, _entries))
+    entries = F.flatten(F.transform(F.transform(messages, _read), _entries))
     split = records.withColumn("_entries", F.coalesce(entries, F.array().cast("array<struct<id:string,is_call:int,pos:int,sub:int,name:string,content:string>>")))
     grouped = let(
         F.array_sort(F.filter("_entries", lambda e: e["is_call"] < 2)),
@@ -134,7 +141,7 @@ def chat_steps(records: DataFrame, messages: Column, result: str = "steps") -> D
         F.concat(calls, texts),
         lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(a["sub"] - b["sub"]),
     )
-    return answered.withColumn(result, numbered(F.transform(ordered, lambda x: x["step"]))).drop(
+    return answered.withColumn(result, numbered(ordered, lambda x: x["step"])).drop(
         "_entries", "_groups"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,17 @@ def step(action_type: Column, content: Column, seen: Column, metadata: Column |
     ).cast(STEP)
 
 
-def numbered(steps: Column) -> Column:
-    """Number the steps by their place in the array."""
-    return F.transform(
-        steps,
-        lambda s, i: F.struct(
+def numbered(items: Column, step_of: Callable[[Column], Column] = lambda item: item) -> Column:
+    """Number the steps by their place in the array, whose items are steps or hold one each."""
+
+    def placed(item: Column, i: Column) -> Column:
+        s = step_of(item)
+        return F.struct(
             i.alias("index"), s["action_type"].alias("action_type"), s["content"].alias("content"),
             s["observation"].alias("observation"), s["timestamp"].alias("timestamp"), s["metadata"].alias("metadata"),
-        ),
-    ).cast(f"array<{STEP}>")
+        )
+
+    return F.transform(items, placed).cast(f"array<{STEP}>")
 
 
 def shown(value: Column) -> Column:
@@ -53,7 +57,11 @@ def shown(value: Column) -> Column:
 
 def shown_at(record: Column, path: str, default: str) -> Column:
     """Printed member, or ``default`` where the key is absent."""
-    return F.coalesce(let(j.child(record, path), shown), F.lit(default))
+    printed = F.coalesce(let(j.child(record, path), shown), F.lit(default))
+    # Most texts are printed as they are, whatever the member's type.
+    return let(
+        j.text_of(record, path), lambda text: F.when(text.isNull() | text.isin("true", "false"), printed).otherwise(text)
+    )
 
 
 def task(task_id: Column, source: str, repo: Column, base_commit: Column, statement: Column) -> Column:

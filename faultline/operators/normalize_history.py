@@ -25,6 +25,7 @@ from faultline.operators.normalize_common import numbered, observation, step, ta
 from faultline.schema import STEP
 
 AGENT = "openhands"
+END = (1 << 31) - 1  # behind all positions of a history
 
 # Event type names and the step type they stand for.
 EVENT_TYPES = {
@@ -71,15 +72,14 @@ _MEMBERS_TYPE = "struct<" + ",".join(f"`{key}`:variant" for key in (*MEMBERS, "e
 def members(event: Column, position: Column) -> Column:
     """The event's members with value, JSON type and text, taken apart in one go; null where absent."""
 
+    return let(F.try_variant_get(event, "$", _MEMBERS_TYPE), lambda e: _described(e, position))
+
+
+def _described(e: Column, position: Column) -> Column:
     def member(v: Column) -> Column:
-        return F.struct(v.alias("value"), j.kind(v).alias("kind"), j.text_of(v).alias("text"))
+        return F.when(v.isNotNull(), F.struct(v.alias("value"), j.kind(v).alias("kind"), j.text_of(v).alias("text")))
 
-    return let(
-        F.try_variant_get(event, "$", _MEMBERS_TYPE),
-        lambda e: F.struct(
-            position.alias("pos"), *[member(e[key]).alias(key) for key in MEMBERS], e["extras"].alias("extras")
-        ),
-    )
+    return F.struct(position.alias("pos"), *[member(e[key]).alias(key) for key in MEMBERS], e["extras"].alias("extras"))
 
 
 def _string(member: Column) -> Column:
@@ -179,16 +179,20 @@ def _sdk_event(m: Column, structured: Column, kind: Column, extra_types: dict[st
 
 
 def with_events(records: DataFrame, history: Column, read, extra_types: dict[str, str] | None) -> DataFrame:
-    """Read the members of every event once, then describe the events by them."""
-    read_once = computed_once(records, _members=F.transform(history, members))
+    """Read the members of every event once, then describe the events by them. ``history`` is an array of
+    the members' own type, taken out of the record in one go."""
+    read_once = computed_once(records, _members=F.transform(history, _described))
     return computed_once(read_once, events=F.transform("_members", lambda m: read(m, extra_types))).drop("_members")
 
 
 def _event(position, acts, observes, as_action, alone, text, seen, raw) -> Column:
     letter = F.when(acts & observes, "B").when(acts, "A").when(observes, "O").otherwise("N")
+    # An event that acts is never a step alone, one that does not is never answered, and a pure action answers none.
+    # The letter is not bound by ``let``, which would copy the whole event once more.
     return F.struct(
-        position.alias("pos"), letter.alias("letter"), as_action.alias("as_action"), alone.alias("alone"),
-        text.alias("text"), seen.alias("seen"), raw.alias("raw"),
+        position.alias("pos"), letter.alias("letter"), F.when(acts, as_action).alias("as_action"),
+        F.when(~acts, alone).alias("alone"), text.alias("text"), F.when(~acts | observes, seen).alias("seen"),
+        F.when(acts, raw).alias("raw"),
     )
 
 
@@ -250,26 +254,30 @@ def pair_events(records: DataFrame, events: str = "events", result: str = "steps
         F.filter(events, lambda e: e["letter"] == "N"),
         lambda e: F.struct(e["pos"].alias("pos"), step(e["alone"], e["text"], e["seen"]).alias("step")),
     )
-    emitted = F.filter(F.concat(from_linked, from_others), lambda x: x["step"].isNotNull())
-    # Positions are unique, so sorting by position alone is a total order.
-    ordered = F.transform(
-        F.array_sort(emitted, lambda a, b: (a["pos"] - b["pos"]).cast("int")), lambda x: x["step"]
-    )
     ends_waiting = F.when(F.size("_pieces") > 0, last_waits(F.try_element_at("_pieces", F.lit(-1)))).otherwise(False)
-    trailing = F.when(ends_waiting, F.array(unanswered(F.try_element_at("_linked", F.lit(-1))))).otherwise(
-        F.array().cast(f"array<{STEP}>")
-    )
-    return known.withColumn(result, numbered(F.concat(ordered, trailing))).drop("_linked", "_pieces", "_waiting")
+    last = F.try_element_at("_linked", F.lit(-1))
+    trailing = F.array(F.struct(F.lit(END).alias("pos"), F.when(ends_waiting, unanswered(last)).alias("step")))
+    emitted = F.filter(F.concat(from_linked, from_others, trailing), lambda x: x["step"].isNotNull())
+    # Positions are unique, so sorting by position alone is a total order. Every pass over the steps copies them,
+    # so they are numbered while still beside their positions.
+    ordered = F.array_sort(emitted, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    return known.withColumn(result, numbered(ordered, lambda x: x["step"])).drop("_linked", "_pieces", "_waiting")
 
 
 def _history(record: Column) -> Column:
     """The event list: the record itself if it is a list, else ``history`` or ``events``. Only the first
     elements are looked at to tell them apart, as a record may be large."""
     paths = ("$", "$.history", "$.events")
-    case = F.when(j.child(record, "$[0]").isNotNull(), F.try_variant_get(record, "$", "array<variant>"))
+    case = F.when(j.child(record, "$[0]").isNotNull(), _events(record, "$"))
     for path in paths[1:]:
-        case = case.when(j.child(record, f"{path}[0]").isNotNull(), F.try_variant_get(record, path, "array<variant>"))
-    return F.coalesce(case, F.array().cast("array<variant>"))
+        case = case.when(j.child(record, f"{path}[0]").isNotNull(), _events(record, path))
+    return F.coalesce(case, F.array().cast(f"array<{_MEMBERS_TYPE}>"))
+
+
+def _events(record: Column, path: str) -> Column:
+    """The members of every event of a list; an element that is no object has none."""
+    return F.coalesce(
+        F.try_variant_get(record, path, f"array<{_MEMBERS_TYPE}>"), F.array().cast(f"array<{_MEMBERS_TYPE}>"))
 
 
 def _boolean(value: Column) -> Column:
@@ -324,7 +332,7 @@ def _test_result(passed: Column) -> Column:
 def normalize_sdk(records: DataFrame, extra_types: dict[str, str] | None = None) -> DataFrame:
     """Runs from records ``record VARIANT, file_stem STRING``, one per trace file."""
     r = F.col("record")
-    rows = pair_events(with_events(records, j.array_at(r, "$.events"), sdk_event, extra_types))
+    rows = pair_events(with_events(records, _events(r, "$.events"), sdk_event, extra_types))
     instance_id = F.coalesce(j.text_of(r, "$.instance_id"), F.col("file_stem"))
     return to_runs(
         rows,

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions import jsonpath as j
 from faultline.functions.barrier import computed_once
-from faultline.functions.text import LINE_BREAK
 
 KINDS = 7
+# A point or a line break ("\r\n" counting once): one character class, as it is tried at every character.
+SENTENCE_END = "[.\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(text: str) -> Column:
-    return F.split(F.regexp_replace(text, LINE_BREAK, "."), r"\.")
+    return F.split(text, SENTENCE_END)
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def _list(items: Column) -> Column:
 
 def _record(docs: DataFrame, *members: Column) -> DataFrame:
     text = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-    return computed_once(docs, record=j.parse_strict(text)).select("doc_id", "record")
+    # The text is put together here, so that nothing can follow its value.
+    return computed_once(docs, record=F.try_parse_json(text)).select("doc_id", "record")
 
 
 def _member(name: str, json_text: Column) -> Column:

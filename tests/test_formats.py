@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonpath as j
 from faultline.operators import evaluation, event_pairing, transcript_lines
+from faultline.operators.normalize_actions import normalize_action_lists
 from faultline.operators.normalize_chats import normalize_chats
 from faultline.operators.normalize_history import normalize_histories, plain_event
 from faultline.operators.normalize_sessions import normalize_sessions
@@ -342,6 +343,27 @@ def test_no_filter_repeats_a_normalizer(name, spark, sample):
     assert not [f for f in filters if "transform(" in f or "variant_get" in f]
 
 
+@pytest.mark.parametrize("name, path, reads", [
+    ("action_list_steps", "$.observation", 1), ("action_list_steps", "$.action", 1), ("chat_steps", "$.tool_calls", 1),
+    ("chat_steps", "$.role", 1)])
+def test_members_are_taken_out_once(name, path, reads, spark, sample):
+    """However often a text is looked at, its JSON path is followed once an entry or message."""
+    plan = QUERIES[name](spark, sample)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(f"{path},") == reads
+
+
+def test_entries_that_count_as_false_show_nothing(spark):
+    """A text tells whether its value counts as true, but for those that a string shares with another type."""
+    false = ["", "0", "false", "[]", "{}", "0.0", None]
+    trajectory = [{"action": f"edit {v}", "observation": v} for v in false]
+    trajectory += [{"action": "view", "observation": v} for v in (0, 0.0, -0.0, False, [], {}, [None], 7, True)] + ["no entry", {}]
+    runs = normalize_action_lists(_records(spark, [{"instance_id": "a", "trajectory": trajectory}, {"instance_id": "b", "trajectory": trajectory[:1]}]))
+    steps = _steps(runs)
+    assert [s[3] and s[3][0] for s in steps["swe-agent-a"]] == [None, "0", "false", "[]", "{}", "0.0", None, *[None] * 6, "[null]", "7", "true", None, None]
+    assert [s[1] for s in steps["swe-agent-a"]] == ["file_edit"] * 7 + ["file_read"] * 9 + ["unknown"] * 2
+    assert steps["swe-agent-b"] == [(0, "file_edit", "edit ", None)]
+
+
 def test_single_documents(spark, tmp_path):
     """An indented run, and an event-history document with its outcome at the top or in the test block."""
     one = run("single", [("command", "ls", "ok", 0)], patch="diff")
